@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["panel"]
+MODULES = ["panel", "episodes", "binning", "fills", "transitions"]
 
 
 def load_queries():

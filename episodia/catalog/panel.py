@@ -46,7 +46,7 @@ select user_id, strftime(d, '%Y-%m-%d') as calendar_date, {n8('day_of_stay', 'da
   {r6('click', 'click')}, {r6('"view"', '"view"')}, {r6('purchase', 'purchase')},
   {r6('lead(click) over w', 'next_click')}, {r6('lead("view") over w', 'next_view')},
   {n8('case when lead(d) over w is null then 1 else 0 end', 'done')}, {split_sql('user_id')} as split
-from f window w as (partition by user_id order by day_of_stay)""".replace("\n, j as", ",\nj as", 1)))
+from f window w as (partition by user_id order by day_of_stay)"""))
 def day_spine_panel(t):
     filled = W.filled_forward(user_panel(t), ["user_id"], "day_of_stay", {"click": 2, "view": 3, "purchase": 5})
     w = panel_window(["user_id"], ["day_of_stay"])
@@ -101,7 +101,7 @@ def pivot_first(t):
 select user_id, {n8('day_of_stay', 'day_of_stay')}, {n8('case when micro.pos is null then 0 else 1 end', 'ordered_today')},
   {n8('max(coalesce(pos, 0)) over w', 'positive_ever')}, {n8('max(coalesce(blood, 0)) over w', 'blood_ever')}
 from spine left join micro using (user_id, d)
-window w as (partition by user_id order by day_of_stay rows unbounded preceding)""".replace("\n, micro", ",\nmicro", 1)))
+window w as (partition by user_id order by day_of_stay rows unbounded preceding)"""))
 def daily_flags_latched(t):
     tests = {"positive": F.col("value") > 100, "blood": (F.col("value") > 100) & (F.col("event_type") == "error")}
     hits = A.flags_by_group(ev(t), ["user_id", "day"], tests).withColumnRenamed("day", "calendar_date")
@@ -141,7 +141,7 @@ def unit_stretches(t):
 b as (select *, row_number() over (partition by user_id, d order by inside desc, intime desc, event_id desc) as rn from c)
 select user_id, {n8('day_of_stay', 'day_of_stay')}, case when unit is null then 'other' else {GROUP_SQL} end as unit_group,
   {n8("coalesce(date_diff('day', indate, d), 0)", 'days_in_unit')}
-from b where rn = 1""".replace("\n, c as", ",\nc as", 1)))
+from b where rn = 1"""))
 def unit_by_day(t):
     found = I.containing_interval(user_spine(t), unit_stretches(t), ["user_id"], "calendar_date", "intime", "outtime",
                                   ["event_id"], ["unit"])
@@ -160,7 +160,7 @@ c as (select s.user_id, s.d, s.day_of_stay, v.service,
   from spine s left join svc v on v.user_id = s.user_id and v.svc_date <= s.d)
 select user_id, {n8('day_of_stay', 'day_of_stay')},
   case service when 'MED' then 'medicine' when 'CSURG' then 'surgery' when 'TRAUM' then 'trauma' when 'CCU' then 'icu_svc' else 'other' end as service_group
-from c where rn = 1""".replace("\n, svc", ",\nsvc", 1)))
+from c where rn = 1"""))
 def service_by_day(t):
     codes = {"click": "MED", "view": "CSURG", "purchase": "TRAUM", "signup": "CCU", "error": "XYZ"}
     pairs = [F.lit(x) for kv in codes.items() for x in kv]

@@ -141,7 +141,9 @@ def split_sql(subject: str, seed: int = 42, names=("train", "valid", "test")) ->
 
 
 def with_(*ctes: str, select: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n" + select
+    """CTEs and a final select; a select that starts with a comma adds CTEs."""
+    text = select.strip()
+    return "with " + ",\n".join(ctes) + ("" if text.startswith(",") else "\n") + text
 
 
 def r6(expr: str, name: str, digits: int = 6) -> str:

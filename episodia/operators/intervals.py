@@ -91,6 +91,13 @@ def volume_per_bin(intervals: DataFrame, episodes: DataFrame, keys: list[str], b
     )
 
 
+def _with_duration(intervals: DataFrame, begin: str, finish: str) -> DataFrame:
+    """``_finish`` is one second after the start where there is no duration."""
+    return intervals.withColumn(
+        "_finish", F.when(F.col(finish) > F.col(begin), F.col(finish)).otherwise(F.col(begin) + 1)
+    )
+
+
 def active_flags_per_bin(intervals: DataFrame, episodes: DataFrame, keys: list[str], begin: str,
                          finish: str, item: str, names: Mapping[object, str], start: str, end: str,
                          width: int) -> DataFrame:
@@ -99,10 +106,7 @@ def active_flags_per_bin(intervals: DataFrame, episodes: DataFrame, keys: list[s
     An interval without duration counts in the bin that holds its start.
     """
     listed = intervals.filter(F.col(item).isin(list(names)))
-    held = listed.withColumn(
-        "_finish", F.when(F.col(finish) > F.col(begin), F.col(finish)).otherwise(F.col(begin) + 1)
-    )
-    cut = intervals_to_bins(held, episodes, keys, begin, "_finish", start, end, width)
+    cut = intervals_to_bins(_with_duration(listed, begin, finish), episodes, keys, begin, "_finish", start, end, width)
     return cut.groupBy(*keys, "bin").agg(
         *[F.max((F.col(item) == i).cast("int")).alias(n) for i, n in names.items()]
     )
@@ -110,9 +114,12 @@ def active_flags_per_bin(intervals: DataFrame, episodes: DataFrame, keys: list[s
 
 def active_rates_per_bin(intervals: DataFrame, episodes: DataFrame, keys: list[str], begin: str,
                          finish: str, rate: str, start: str, end: str, width: int) -> DataFrame:
-    """Rows (key, bin, rate) of every interval active in a bin."""
-    live = intervals.filter(F.col(rate).isNotNull())
-    return intervals_to_bins(live, episodes, keys, begin, finish, start, end, width).select(
+    """Rows (key, bin, rate) of every interval active in a bin.
+
+    An interval without duration counts in the bin that holds its start.
+    """
+    live = _with_duration(intervals.filter(F.col(rate).isNotNull()), begin, finish)
+    return intervals_to_bins(live, episodes, keys, begin, "_finish", start, end, width).select(
         *keys, "bin", rate
     )
 
