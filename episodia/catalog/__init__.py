@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["panel", "episodes", "binning", "fills", "transitions"]
+MODULES = ["panel", "episodes", "binning", "fills", "transitions", "summaries", "metrics_queries", "effect_queries",
+           "policy_queries", "graph_queries", "sampling_queries", "source_queries", "model_queries"]
 
 
 def load_queries():

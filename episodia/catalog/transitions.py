@@ -63,7 +63,7 @@ def latched_rows(t):
 select event_id, {r6('sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding)', 'total', 4)} from ev"""), digits=4)
 def running_totals(t):
     rows = ev(t).select("user_id", "ts", "event_id", "value")
-    return W.running_totals(rows, K, O, {"total": "value"}).select("event_id", "total")
+    return W.running_totals(rows, K, O, {"value": "total"}).select("event_id", "total")
 
 
 REPLAY_SQL = PANEL_SQL + f""",
