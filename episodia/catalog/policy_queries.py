@@ -45,7 +45,7 @@ dr as (select user_id, list_reduce(list_prepend({'x': 0.0, 'y': 0.0, 'z': 0.0, '
     lambda acc, s: {'x': 0.0::double, 'y': 0.0::double, 'z': 0.0::double, 'v': s.x + s.y * (s.z + 0.99 * acc.v)}).v as value from st group by 1)"""
 
 
-@query("dr_trajectory_values", "A47", with_(EV_SQL, DR_SQL, select="select user_id, case when abs(value) < 1e6 then round(value, 4) + 0.0 end as value from dr"), digits=4)
+@query("dr_trajectory_values", "A47", with_(EV_SQL, DR_SQL, select=f"select user_id, {r6('case when abs(value) < 1e6 then value end', 'value', 4)} from dr"), digits=4)
 def dr_trajectory_values(t):
     out = V.doubly_robust_values(trajectories(t), ["user_id"], "t", "a", "b", "r", "pi", "q", "rhat")
     return out.select("user_id", F.when(F.abs("value") < 1e6, F.col("value")).alias("value"))

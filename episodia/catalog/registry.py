@@ -40,8 +40,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            # adding zero turns a negative zero into zero
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            # the shift decides ties; adding zero turns a negative zero into zero
+            c = F.round(c.cast("double") + F.lit(float(f"1e-{digits + 3}")), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
             c = c.cast("long") if not isinstance(f.dataType, T.BooleanType) else c.cast("int").cast("long")
         elif isinstance(f.dataType, T.DateType):

@@ -147,7 +147,8 @@ def with_(*ctes: str, select: str) -> str:
 
 
 def r6(expr: str, name: str, digits: int = 6) -> str:
-    return f"round(cast({expr} as double), {digits}) + 0.0 as {name}"
+    """Rounded double; the small shift decides ties the same way in both engines."""
+    return f"round(cast({expr} as double) + 1e-{digits + 3}, {digits}) + 0.0 as {name}"
 
 
 def n8(expr: str, name: str) -> str:

@@ -34,7 +34,7 @@ PROFILE = ["event_type", "value", "user_id"]
 
 
 @query("coverage_profile", "A20", with_(EV_SQL, select=" union all ".join(
-    f"select '{c}' as column_name, count(*)::bigint as n_rows, count({c})::bigint as n_present, count(distinct {c})::bigint as n_distinct, round(count({c})::double / count(*), 6) as coverage from ev"
+    f"select '{c}' as column_name, count(*)::bigint as n_rows, count({c})::bigint as n_present, count(distinct {c})::bigint as n_distinct, {r6(f'count({c})::double / count(*)', 'coverage')} from ev"
     for c in PROFILE)))
 def coverage_profile(t):
     return A.column_profile(ev(t), PROFILE)
