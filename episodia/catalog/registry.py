@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodia.session import use_utc
+from episodia.session import prepared
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Tables:
     """Lazily read tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = use_utc(spark)
+        self.spark = prepared(spark)
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

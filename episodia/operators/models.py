@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from episodia.functions.scalars import add_effects, clip, decode_bit, uniform
 from episodia.operators.aggregates import column_profile, exact_quantiles
-from episodia.operators.joins import with_action_grid
+from episodia.operators.joins import action_grid, with_action_grid
 from episodia.operators.sampling import best_action, rank_of
 
 _X = "_features"
@@ -102,9 +102,11 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, alpha: float
     data = assembled(rows, features, fill, [F.col(label).cast("double").alias("label")])
     reg = 0.0
     if alpha:
-        reg = alpha / max(rows.count(), 1)
+        # Spark divides the penalty by the spread of the label
+        size = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
+        reg = alpha / max(size["n"], 1) * (size["s"] or 1.0)
     model = LinearRegression(featuresCol=_X, labelCol="label", regParam=reg, elasticNetParam=0.0,
-                             standardization=standardised, solver="auto").fit(data)
+                             standardization=standardised, solver="normal").fit(data)
     return LinearScore(list(features), [float(w) for w in model.coefficients], float(model.intercept), fill)
 
 
@@ -322,13 +324,16 @@ def variable_ranking(df: DataFrame, features: Sequence[str], label: str, **optio
 # --- policies -----------------------------------------------------------------------
 
 def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effects: Mapping[tuple[str, str], float],
-                      outcomes: Mapping[str, str], risk) -> DataFrame:
+                      outcomes: Mapping[str, str], risk: LinearScore | TreeScore) -> DataFrame:
     """Best of all drug combinations per row, with the two comparison strategies.
 
     ``outcomes`` maps an outcome to the column of its prediction without any
-    drug; ``risk(df, name, overrides)`` adds a risk column.  The baseline is
-    predicted once per row, before rows are repeated for the combinations.
-    Returns keys, action, policy_risk, nothing_risk and observed_risk.
+    drug.  The baseline is predicted once per row.  A linear or logistic risk
+    is compared inside the row, without a shuffle; a tree risk needs the rows
+    repeated per combination and reduced per key again, which one task does for
+    all combinations of a row before anything is sent.
+    Returns keys, action, policy_risk, nothing_risk, observed_risk and flags;
+    equal risks go to the lowest action.
     """
     def corrected(flag_of) -> dict[str, Column]:
         return {
@@ -336,17 +341,27 @@ def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effe
             for o, base in outcomes.items()
         }
 
-    base = risk(df, "nothing_risk", {o: F.col(b) for o, b in outcomes.items()})
-    base = risk(base, "observed_risk", corrected(lambda d: F.coalesce(F.col(d).cast("int"), F.lit(0))))
-    grid = with_action_grid(base, len(drugs))
     place = {d: i for i, d in enumerate(drugs)}
-    scored = risk(grid, "policy_risk", corrected(lambda d: decode_bit("action", place[d])))
-    # lowest risk, ties to the lowest action; the comparison risks are constant per key
-    best = scored.groupBy(*keys).agg(
-        F.min_by(F.struct("action", "policy_risk", "nothing_risk", "observed_risk"),
-                 F.struct("policy_risk", "action")).alias("_b")
-    )
-    return best.select(*keys, "_b.*").withColumns({f"policy_{d}": decode_bit("action", i) for d, i in place.items()})
+    nothing = {o: F.col(b) for o, b in outcomes.items()}
+    observed = corrected(lambda d: F.coalesce(F.col(d).cast("int"), F.lit(0)))
+    if isinstance(risk, LinearScore):
+        options = F.transform(
+            action_grid(len(drugs)),
+            lambda a: F.struct(risk.column(corrected(lambda d: decode_bit(a, place[d]))).alias("policy_risk"), a.alias("action")),
+        )
+        best = df.select(
+            *keys, F.array_min(options).alias("_b"), risk.column(nothing).alias("nothing_risk"),
+            risk.column(observed).alias("observed_risk"),
+        ).select(*keys, "_b.action", "_b.policy_risk", "nothing_risk", "observed_risk")
+    else:
+        base = risk.score(risk.score(df, "nothing_risk", nothing), "observed_risk", observed)
+        grid = with_action_grid(base, len(drugs))
+        scored = risk.score(grid, "policy_risk", corrected(lambda d: decode_bit("action", place[d])))
+        best = scored.groupBy(*keys).agg(
+            F.min_by(F.struct("action", "policy_risk", "nothing_risk", "observed_risk"),
+                     F.struct("policy_risk", "action")).alias("_b")
+        ).select(*keys, "_b.*")
+    return best.withColumns({f"policy_{d}": decode_bit("action", i) for d, i in place.items()})
 
 
 def fitted_q(transitions: DataFrame, states: Sequence[str], action: str, reward: str, done: str, n_actions: int,

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 ROWS_PER_TASK = 1_000_000
 MAX_SEGMENTS = 1024
+# carried rows beyond this are joined by Spark's own choice of strategy
+BROADCAST_ROWS = 100_000
 
 _SEG = "_segment"
 _HOT = "_is_hot"
@@ -310,7 +312,7 @@ def find_hot_keys(
     top = counts.orderBy(F.desc("_n")).limit(partitions).collect()
     if not top or top[0]["_n"] <= floor:
         return HotKeys(keys)
-    total = df.count()
+    total = counts.agg(F.sum("_n")).first()[0] if keys else top[0]["_n"]
     share = max(floor, total // partitions)
     hot = [r for r in top if r["_n"] > share]
     if not hot:
@@ -452,6 +454,9 @@ def ordered(
     cond = F.lit(True)
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
+    # one row per hot key and segment: the number is known here
+    if len(hot.rows) * (len(hot.rows[0]["_cuts"]) + 1) <= BROADCAST_ROWS:
+        carried = F.broadcast(carried)
     joined = local.join(carried, cond, "left")
     out = [F.col(c) for c in df.columns]
     for name, c in cells.items():

@@ -26,9 +26,4 @@ def score_policies(rows: DataFrame, keys: list[str], drugs: Sequence[str],
         else:
             out = m.score(out, f"_base_{c}", none)
 
-    def add_risk(df, name, overrides):
-        if isinstance(risk, LinearScore):
-            return df.withColumn(name, risk.column(overrides))
-        return risk.score(df, name, overrides)
-
-    return exhaustive_policy(out, keys, drugs, effects, {c: f"_base_{c}" for c in next_state}, add_risk)
+    return exhaustive_policy(out, keys, drugs, effects, {c: f"_base_{c}" for c in next_state}, risk)

@@ -7,10 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
+    # time arithmetic in this package assumes UTC
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join on an episode key followed by a grouping on (episode, bin) would
+    # otherwise keep the join's layout, and a very large episode would stay in
+    # one task.  Splitting it is worth the extra exchange.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -31,10 +36,11 @@ def local_session(name: str = "episodia", cores: int | str = "*", partitions: in
     return spark
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Time arithmetic in this package assumes a UTC session."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepared(spark: SparkSession) -> SparkSession:
+    """Apply the settings this package relies on to a session of any origin."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
