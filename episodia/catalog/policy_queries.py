@@ -112,6 +112,13 @@ def exhaustive_policy(t):
     return T.best_action(scored, ["o_orderkey"], "action", "risk")
 
 
+@query("action_grid_rows", "J23 F25", """
+select n_name, cast(a as bigint) as action, cast(a & 1 as bigint) as b0, cast((a >> 1) & 1 as bigint) as b1, cast((a >> 2) & 1 as bigint) as b2 from nation, range(0, 8) r(a)""")
+def action_grid_rows(t):
+    grid = with_action_grid(t.nation.select("n_name"), 3, "action")
+    return grid.select("n_name", "action", *[S.decode_bit("action", i).alias(f"b{i}") for i in range(3)])
+
+
 @query("effect_correction", "F40", f"""
 select event_id, {r6("value + (case when event_type = 'click' then 1 else 0 end) * 0.5 + (case when event_type = 'view' or event_type = 'click' then 1 else 0 end) * -1.5", 'corrected')} from events""")
 def effect_correction(t):

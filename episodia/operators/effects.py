@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -160,13 +161,13 @@ def bootstrap_draws(df: DataFrame, key: str, psi: str, runs: int, seed: int) ->
     draws = spread.select(
         "_psi",
         F.inline(F.array(*[
-            F.struct(
-                (F.col("_block") * BLOCK + j).alias("draw"),
-                (F.conv(F.substring("_hash", 1 + 8 * j, 8), 16, 10).cast("double") / 4294967296.0).alias("u"),
-            ) for j in range(BLOCK)
+            F.struct((F.col("_block") * BLOCK + j).alias("draw"), F.substring("_hash", 1 + 8 * j, 8).alias("u"))
+            for j in range(BLOCK)
         ])),
     ).filter(F.col("draw") < runs)
-    weight = reduce(lambda a, b: a + b, [(F.col("u") >= s).cast("int") for s in POISSON_STEPS])
+    # eight hex digits compare like the numbers they stand for
+    marks = [format(math.ceil(s * 2**32), "08x") for s in POISSON_STEPS]
+    weight = reduce(lambda a, b: a + b, [(F.col("u") >= m).cast("int") for m in marks])
     return draws.withColumn("w", weight).groupBy("draw").agg(
         (F.sum(F.col("w") * F.col("_psi")) / F.nullif(F.sum("w"), F.lit(0))).alias("estimate")
     )

@@ -1,8 +1,16 @@
 """Daily hospital panel: one row per admission and calendar day.
 
-Inputs are DataFrames; every enrichment is reduced to one row per admission and
-day before it meets the spine, so the joins are equalities on (admission, day)
-and a very busy admission costs no more than its days.
+Inputs are DataFrames.  The plan has three parts, so that wide rows are shuffled
+only twice:
+
+1. every source is reduced to one row per (admission, day); those tables come
+   out of their aggregation already laid out by (admission, day), and the spine
+   is left-joined to all of them in one go;
+2. one layout by admission serves every window: forward fills, latches and the
+   last unit and service;
+3. admission-level columns join on the layout the windows left behind.
+
+A very busy admission costs no more than its days.
 
 Expected columns
 
@@ -22,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodia.functions import fixed_values as fixed
@@ -32,7 +40,8 @@ from episodia.operators import intervals as I
 from episodia.operators import joins as J
 from episodia.operators import sequences as W
 from episodia.operators.quality import coverage_report, with_provenance
-from episodia.operators.sampling import hash_split
+from episodia.operators.sampling import early_sample, hash_split
+from episodia.operators.scan import panel_window
 
 DAY = ["hadm_id", "calendar_date"]
 SCHEMA_VERSION = "daily_v1"
@@ -53,128 +62,164 @@ COLUMNS = [
 ]
 
 
-def spine(admissions: DataFrame, patients: DataFrame, min_age: int = 18) -> DataFrame:
-    """Adult admissions with a known discharge, one row per day."""
+def cohort(admissions: DataFrame, patients: DataFrame, min_age: int = 18) -> DataFrame:
+    """Adult admissions with a known discharge on a later day."""
     people = patients.select("subject_id", "gender", "anchor_age", "anchor_year")
     joined = J.episode_frame(admissions, (people, ["subject_id"]))
     joined = joined.withColumn("age_at_admit", S.age_at("anchor_age", "anchor_year", "admittime"))
-    kept = joined.filter((F.col("age_at_admit") >= min_age) & F.col("dischtime").isNotNull())
-    return I.day_spine(kept.drop("anchor_age", "anchor_year"), "admittime", "dischtime")
+    kept = joined.filter((F.col("age_at_admit") >= min_age) & (F.to_date("dischtime") > F.to_date("admittime")))
+    return kept.drop("anchor_age", "anchor_year")
 
 
-def with_static(days: DataFrame, severity: DataFrame, comorbidity: DataFrame, drg_type: str = "APR") -> DataFrame:
-    top = severity.filter(F.col("drg_type") == drg_type).groupBy("hadm_id").agg(
-        F.max("drg_severity").alias("drg_severity"), F.max("drg_mortality").alias("drg_mortality"))
-    return J.enrich(days, [(top, ["hadm_id"], {}), (comorbidity.select("hadm_id", "charlson_score"), ["hadm_id"], {})])
+# --- one row per admission and day -------------------------------------------------
 
+def frames(kept: DataFrame) -> DataFrame:
+    """First and last day of each admission."""
+    return kept.select("hadm_id", F.to_date("admittime").alias("_first"), F.to_date("dischtime").alias("_last"))
 
-def with_location(days: DataFrame, transfers: DataFrame) -> DataFrame:
-    """Unit group of the transfer that contains the day, else of the last one."""
-    stays = transfers.filter("hadm_id is not null and eventtype != 'discharge'").withColumns({
-        "_in": F.to_date("intime"), "_out": F.to_date(F.coalesce("outtime", F.col("intime") + F.expr("interval 1 day"))),
-    }).select("hadm_id", "_in", "_out", "intime", "transfer_id", "careunit")
-    found = I.containing_interval(days, stays, ["hadm_id"], "calendar_date", "_in", "_out", ["intime", "transfer_id"], ["careunit"])
-    group = F.when(F.col("careunit").isNull(), "other").otherwise(S.care_unit_group("careunit"))
-    return found.withColumns({
-        "careunit_group": group, "is_icu": (group == "icu").cast("int"),
-        "days_in_current_unit": F.coalesce(S.day_count("matched_start", "calendar_date"), F.lit(0)),
-    }).drop("careunit", "matched_start", "contained")
 
+def daily_locations(transfers: DataFrame, frame: DataFrame) -> DataFrame:
+    """Per day: the unit that contains it, and the last unit that began on it.
 
-def with_service(days: DataFrame, services: DataFrame) -> DataFrame:
-    """Group of the last service at or before the day."""
-    moves = services.select("hadm_id", "curr_service", "transfertime", "service_id", F.to_date("transfertime").alias("_on"))
-    found = J.as_of(days, moves, ["hadm_id"], "calendar_date", "_on", ["transfertime", "service_id"], prefix="_s_")
-    return found.withColumn("curr_service_group", S.code_group("_s_curr_service", fixed.SERVICE_GROUPS)).drop(
-        "_s_curr_service", "_s_transfertime", "_s_service_id", "_s__on")
+    Stretches are cut to the admission first; what began earlier counts as
+    begun on the first day.  The latest start wins, then the id.
+    """
+    rows = transfers.filter("hadm_id is not null and eventtype != 'discharge'").select(
+        "hadm_id", "careunit", F.struct("intime", "transfer_id").alias("_rank"), F.to_date("intime").alias("_in"),
+        F.to_date(F.coalesce("outtime", F.col("intime") + F.expr("interval 1 day"))).alias("_out"),
+    ).join(frame, "hadm_id").filter("_in <= _last")
+    begun = F.greatest("_in", "_first")
+    stop = F.least("_out", F.date_add("_last", 1))
+    unit = F.struct("_in", "careunit")
+    spread = rows.select("hadm_id", "_rank", unit.alias("_unit"), F.inline(F.concat(
+        F.array(F.struct(begun.alias("calendar_date"), F.lit(False).alias("_in_it"))),
+        F.transform(F.when(stop > begun, F.sequence(begun, F.date_sub(stop, 1))).otherwise(F.array().cast("array<date>")),
+                    lambda d: F.struct(d.alias("calendar_date"), F.lit(True).alias("_in_it"))),
+    )))
+    return spread.groupBy(*DAY).agg(
+        F.max_by("_unit", F.when(F.col("_in_it"), F.col("_rank"))).alias("_inside"),
+        F.max_by("_unit", F.when(~F.col("_in_it"), F.col("_rank"))).alias("_began"),
+    )
+
+
+def daily_services(services: DataFrame, frame: DataFrame) -> DataFrame:
+    """Last service that began on the day; earlier ones count on the first day."""
+    rows = services.join(frame, "hadm_id").withColumn("_on", F.to_date("transfertime")).filter("_on <= _last")
+    return rows.groupBy("hadm_id", F.greatest("_on", "_first").alias("calendar_date")).agg(
+        F.max_by(F.struct("curr_service"), F.struct("transfertime", "service_id")).alias("_service"))
 
 
 def daily_labs(labs: DataFrame, items: Mapping[int, str] = fixed.DAILY_LAB_ITEMS) -> DataFrame:
     """Daily means per item, ratio, lactate flag and the number of items."""
-    known = labs.filter(F.col("hadm_id").isNotNull() & F.col("valuenum").isNotNull()).withColumn("calendar_date", F.to_date("charttime"))
-    listed = known.filter(F.col("itemid").isin(list(items)))
-    wide = A.mean_wide(listed, DAY, "itemid", "valuenum", items)
-    flags = listed.groupBy(*DAY).agg(F.countDistinct("itemid").alias("n_labs_today"))
-    out = wide.join(flags, DAY)
-    return out.withColumns({
+    known = labs.filter(F.col("hadm_id").isNotNull() & F.col("valuenum").isNotNull())
+    wide = A.mean_wide(known.withColumn("calendar_date", F.to_date("charttime")), DAY, "itemid", "valuenum", items)
+    names = list(items.values())
+    # an item was drawn exactly where its mean is known
+    return wide.withColumns({
+        "n_labs_today": S.active_count([F.col(c).isNotNull().cast("int") for c in names]),
         "nlr": S.capped_ratio("neutrophils", "lymphocytes"), "lactate_elevated": S.above("lactate_raw", fixed.LACTATE_THRESHOLD),
     }).drop("neutrophils", "lymphocytes", "lactate_raw")
 
 
-def with_labs(days: DataFrame, labs: DataFrame, limits: Mapping[str, int] = fixed.FILL_LIMITS) -> DataFrame:
-    joined = J.enrich(days, [(daily_labs(labs), DAY, {"lactate_elevated": 0, "n_labs_today": 0})])
-    fill = {c: limits[tier] for tier, cols in fixed.DAILY_TIERS.items() for c in cols if c in joined.columns}
-    return W.filled_forward(joined, ["hadm_id"], "day_of_stay", fill)
-
-
-def with_cultures(days: DataFrame, cultures: DataFrame) -> DataFrame:
-    """Ordered-today flag and flags that stay on once a culture was positive."""
+def daily_cultures(cultures: DataFrame) -> DataFrame:
     rows = cultures.filter("hadm_id is not null").withColumn("calendar_date", F.to_date(F.coalesce("charttime", "chartdate")))
     grown = F.col("org_name").isNotNull()
     flags = A.flags_by_group(rows, DAY, {"_pos": grown, "_blood": grown & (F.col("spec_type_desc") == "BLOOD CULTURE")})
-    joined = J.enrich(days, [(flags.withColumn("culture_ordered_today", F.lit(1)), DAY, {"_pos": 0, "_blood": 0, "culture_ordered_today": 0})])
-    latch = {"_pos": "positive_culture_cumulative", "_blood": "blood_culture_positive_cumulative"}
-    return W.latched(joined, ["hadm_id"], "day_of_stay", latch).drop(*latch)
+    return flags.withColumn("culture_ordered_today", F.lit(1))
 
 
-def with_prescriptions(days: DataFrame, prescriptions: DataFrame) -> DataFrame:
-    """Active drug classes per day, antibiotic start and stop, class count.
+def daily_prescriptions(prescriptions: DataFrame) -> DataFrame:
+    """Active classes per day (end excluded) and antibiotic start and stop days.
 
-    Prescriptions are classified once and reduced per (admission, start, stop)
-    before they are spread over days.
+    Names repeat far more often than they differ, so each distinct name is
+    classified once; names of no class drop out with the join.
     """
-    rx = prescriptions.filter("hadm_id is not null and drug_type = 'MAIN' and starttime is not null")
-    rx = rx.select("hadm_id", F.to_date("starttime").alias("_from"), F.to_date("stoptime").alias("_to"),
-                   *[S.pattern_flag("drug", p).alias(c) for c, p in fixed.DRUG_PATTERNS.items()])
-    rx = rx.withColumn("_to", F.coalesce("_to", F.date_add("_from", 1))).filter(S.active_count(CLASSES) > 0)
-    rx = rx.groupBy("hadm_id", "_from", "_to").agg(*[F.max(c).alias(c) for c in CLASSES])
-    active = I.interval_days(rx, "_from", "_to").groupBy(*DAY).agg(*[F.max(c).alias(f"{c}_active") for c in CLASSES])
-    anti = rx.filter("antibiotic = 1").select("hadm_id", F.inline(F.array(
-        F.struct(F.col("_from").alias("calendar_date"), F.lit(1).alias("antibiotic_started"), F.lit(0).alias("antibiotic_stopped")),
-        F.struct(F.col("_to").alias("calendar_date"), F.lit(0).alias("antibiotic_started"), F.lit(1).alias("antibiotic_stopped")),
-    ))).groupBy(*DAY).agg(F.max("antibiotic_started").alias("antibiotic_started"), F.max("antibiotic_stopped").alias("antibiotic_stopped"))
-    names = [f"{c}_active" for c in CLASSES]
-    out = J.enrich(days, [(active, DAY, dict.fromkeys(names, 0)), (anti, DAY, {"antibiotic_started": 0, "antibiotic_stopped": 0})])
-    return out.withColumn("n_active_drug_classes", S.active_count(names))
-
-
-def with_care_changes(days: DataFrame, transfers: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    rx = prescriptions.filter("hadm_id is not null and drug_type = 'MAIN' and starttime is not null and drug is not null")
+    found = rx.select("drug").distinct().select("drug", S.matching_classes("drug", fixed.DRUG_PATTERNS).alias("_classes"))
+    named = found.filter(F.size("_classes") > 0).select(
+        "drug", *[F.array_contains("_classes", c).cast("int").alias(c) for c in CLASSES])
+    rx = rx.select("hadm_id", "drug", F.to_date("starttime").alias("_from"), F.to_date("stoptime").alias("_to")).join(named, "drug")
+    rx = rx.withColumn("_to", F.coalesce("_to", F.date_add("_from", 1)))
+
+    def mark(day, active, started, stopped):
+        return F.struct(day.alias("calendar_date"), F.lit(active).alias("_on"), F.lit(started).alias("_a"), F.lit(stopped).alias("_z"))
+
+    days = F.when(F.col("_to") > F.col("_from"), F.sequence("_from", F.date_sub("_to", 1))).otherwise(F.array().cast("array<date>"))
+    edges = F.when(F.col("antibiotic") == 1, F.array(mark(F.col("_from"), 0, 1, 0), mark(F.col("_to"), 0, 0, 1))).otherwise(F.array())
+    spread = rx.select("hadm_id", *CLASSES, F.inline(F.concat(F.transform(days, lambda d: mark(d, 1, 0, 0)), edges)))
+    return spread.groupBy(*DAY).agg(
+        *[F.max(F.col(c) * F.col("_on")).alias(f"{c}_active") for c in CLASSES],
+        F.max("_a").alias("antibiotic_started"), F.max("_z").alias("antibiotic_stopped"))
+
+
+def daily_care_changes(transfers: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Escalation to and step-down from intensive care, and discharge, per day."""
-    rows = transfers.filter("hadm_id is not null").withColumns({
-        "calendar_date": F.to_date("intime"),
-        "_icu": F.coalesce((S.care_unit_group("careunit") == "icu").cast("int"), F.lit(0)),
+    rows = transfers.filter("hadm_id is not null").select(
+        "hadm_id", F.to_date("intime").alias("calendar_date"), "intime", "transfer_id", "eventtype",
+        F.coalesce((S.care_unit_group("careunit") == "icu").cast("int"), F.lit(0)).alias("_icu"))
+    moves = W.entries_and_exits(rows.filter("eventtype != 'discharge'"), ["hadm_id"], ["intime", "transfer_id"], "_icu",
+                                "icu_escalation", "icu_stepdown", rows_per_task)
+    ends = rows.filter("eventtype = 'discharge'").select(*DAY, F.lit(0).alias("icu_escalation"), F.lit(0).alias("icu_stepdown"), F.lit(1).alias("discharged"))
+    both = moves.select(*DAY, "icu_escalation", "icu_stepdown", F.lit(0).alias("discharged")).unionByName(ends)
+    names = ["icu_escalation", "icu_stepdown", "discharged"]
+    return both.groupBy(*DAY).agg(*[F.max(c).alias(c) for c in names])
+
+
+# --- windows -------------------------------------------------------------------------
+
+def with_windows(days: DataFrame, limits: Mapping[str, int] = fixed.FILL_LIMITS) -> DataFrame:
+    """All ordered columns of the panel over one layout by admission."""
+    w = panel_window(["hadm_id"], ["day_of_stay"])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    fills = {c: limits[tier] for tier, cols in fixed.DAILY_TIERS.items() for c in cols if c in days.columns}
+    out = days.withColumns({
+        **{c: F.last(c, ignorenulls=True).over(w.rowsBetween(-n, 0)) for c, n in fills.items()},
+        "positive_culture_cumulative": F.max("_pos").over(so_far), "blood_culture_positive_cumulative": F.max("_blood").over(so_far),
+        "_unit": F.coalesce("_inside", F.last("_began", ignorenulls=True).over(so_far)),
+        "_service": F.last("_service", ignorenulls=True).over(so_far),
     })
-    moves = W.entries_and_exits(rows.filter("eventtype != 'discharge'").select("hadm_id", "calendar_date", "intime", "transfer_id", "_icu"),
-                                ["hadm_id"], ["intime", "transfer_id"], "_icu", "icu_escalation", "icu_stepdown", rows_per_task)
-    per_day = moves.groupBy(*DAY).agg(F.max("icu_escalation").alias("icu_escalation"), F.max("icu_stepdown").alias("icu_stepdown"))
-    out = J.enrich(days, [(per_day, DAY, {"icu_escalation": 0, "icu_stepdown": 0})])
-    return J.presence_flag(out, rows.filter("eventtype = 'discharge'"), DAY, "discharged")
+    group = F.when(F.col("_unit.careunit").isNull(), "other").otherwise(S.care_unit_group("_unit.careunit"))
+    return out.withColumns({
+        "careunit_group": group, "is_icu": (group == "icu").cast("int"),
+        "days_in_current_unit": F.coalesce(S.day_count("_unit._in", "calendar_date"), F.lit(0)),
+        "curr_service_group": S.code_group("_service.curr_service", fixed.SERVICE_GROUPS),
+    }).drop("_pos", "_blood", "_inside", "_began", "_unit", "_service")
 
 
-def with_label(days: DataFrame, admissions: DataFrame) -> DataFrame:
-    """30-day return of the subject after the admission's discharge."""
-    frame = admissions.select("hadm_id", "subject_id", "admittime", "dischtime")
-    known = J.returned_within(frame.filter("dischtime is not null"), "subject_id", "hadm_id", "admittime", "dischtime", 30)
-    return J.enrich(days, [(known.select("hadm_id", "readmit_30d"), ["hadm_id"], {"readmit_30d": 0})])
+# --- admissions ------------------------------------------------------------------------
+
+def with_admission_columns(days: DataFrame, severity: DataFrame, comorbidity: DataFrame, admissions: DataFrame, drg_type: str = "APR") -> DataFrame:
+    """Severity, comorbidity and the 30-day return of the subject."""
+    top = severity.filter(F.col("drg_type") == drg_type).groupBy("hadm_id").agg(
+        F.max("drg_severity").alias("drg_severity"), F.max("drg_mortality").alias("drg_mortality"))
+    known = admissions.select("hadm_id", "subject_id", "admittime", "dischtime").filter("dischtime is not null")
+    label = J.returned_within(known, "subject_id", "hadm_id", "admittime", "dischtime", 30).select("hadm_id", "readmit_30d")
+    return J.enrich(days, [
+        (top, ["hadm_id"], {}), (comorbidity.select("hadm_id", "charlson_score"), ["hadm_id"], {}), (label, ["hadm_id"], {"readmit_30d": 0}),
+    ])
 
 
 def build_daily_panel(t: Mapping[str, DataFrame], built_at: str, min_age: int = 18, seed: int = 42,
                       sample: tuple[int, int] | None = None) -> DataFrame:
     """The whole panel.  ``sample`` = (episodes, seed) keeps a subject sample early."""
-    from episodia.operators.sampling import early_sample
-
-    days = spine(t["admissions"], t["patients"], min_age)
+    kept = cohort(t["admissions"], t["patients"], min_age)
     if sample:
-        days = early_sample(days, "subject_id", "hadm_id", *sample)
-    days = with_static(days, t["severity"], t["comorbidity"])
-    days = with_location(days, t["transfers"])
-    days = with_service(days, t["services"])
-    days = with_labs(days, t["labs"])
-    days = with_cultures(days, t["cultures"])
-    days = with_prescriptions(days, t["prescriptions"])
-    days = with_care_changes(days, t["transfers"])
-    days = with_label(days, t["admissions"])
+        kept = early_sample(kept, "subject_id", "hadm_id", *sample)
+    frame = frames(kept)
+    days = I.day_spine(kept, "admittime", "dischtime")
+    active = [f"{c}_active" for c in CLASSES]
+    zero = lambda *names: dict.fromkeys(names, 0)
+    days = J.enrich(days, [
+        (daily_labs(t["labs"]), DAY, zero("lactate_elevated", "n_labs_today")),
+        (daily_cultures(t["cultures"]), DAY, zero("_pos", "_blood", "culture_ordered_today")),
+        (daily_prescriptions(t["prescriptions"]), DAY, zero(*active, "antibiotic_started", "antibiotic_stopped")),
+        (daily_care_changes(t["transfers"]), DAY, zero("icu_escalation", "icu_stepdown", "discharged")),
+        (daily_locations(t["transfers"], frame), DAY, {}), (daily_services(t["services"], frame), DAY, {}),
+    ])
+    days = with_windows(days)
+    days = with_admission_columns(days, t["severity"], t["comorbidity"], t["admissions"])
     days = hash_split(days, "subject_id", seed=seed)
+    days = days.withColumn("n_active_drug_classes", S.active_count(active))
     days = with_provenance(days, {"schema_version": SCHEMA_VERSION, "build_timestamp_utc": built_at})
     absent = coverage_report(days, COLUMNS)["absent"]
     return days.select(*[c for c in COLUMNS if c not in absent])
