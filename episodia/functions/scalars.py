@@ -131,15 +131,10 @@ def code_group(c, groups: Mapping[str, Sequence[str]], default="other") -> C:
 def pattern_flag(text, patterns: Sequence[str]) -> C:
     """1 if any pattern occurs in ``text``, whatever the case.
 
-    Plain words are searched as words of the lower-cased text, which stays in
-    generated code; anything else is one regular expression.
+    One regular expression per class.  Where texts repeat, as names do,
+    classify the distinct ones and join the result.
     """
-    if all(p.isalnum() and p.isascii() for p in patterns):
-        low = F.lower(col(text))
-        hit = reduce(lambda a, b: a | b, [low.contains(p.lower()) for p in patterns])
-    else:
-        hit = col(text).rlike("(?i)" + "|".join(patterns))
-    return F.coalesce(hit, F.lit(False)).cast("int")
+    return F.coalesce(col(text).rlike("(?i)" + "|".join(patterns)), F.lit(False)).cast("int")
 
 
 def matching_classes(text, classes: Mapping[str, Sequence[str]]) -> C:

@@ -62,11 +62,29 @@ def held_values(df: DataFrame, keys: list[str], at: str, tie: Sequence[str], hou
 
 def filled_forward(panel: DataFrame, keys: list[str], index: str, limits: Mapping[str, int],
                    suffix: str = "") -> DataFrame:
-    """Panel forward fill over at most ``limit`` rows."""
+    """Panel forward fill over at most ``limit`` rows.
+
+    All columns share one running frame that remembers the last value and its
+    row; sliding frames would be evaluated again for every row and column.
+    """
     w = panel_window(keys, [index])
-    return panel.withColumns({
-        f"{c}{suffix}": F.last(c, ignorenulls=True).over(w.rowsBetween(-n, 0)) for c, n in limits.items()
-    })
+    rows = panel.withColumn("_row", F.row_number().over(w))
+    seen = {c: last_known(c, "_row").over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in limits}
+    out = rows.withColumns({f"_seen_{c}": v for c, v in seen.items()})
+    return out.withColumns({
+        f"{c}{suffix}": within_rows(f"_seen_{c}", "_row", n) for c, n in limits.items()
+    }).drop("_row", *[f"_seen_{c}" for c in limits])
+
+
+def last_known(column: str, row: str) -> Column:
+    """Aggregate: last non-null value together with its row number."""
+    known = F.when(F.col(column).isNotNull(), F.struct(F.col(row).alias("at"), F.col(column).alias("v")))
+    return F.last(known, ignorenulls=True)
+
+
+def within_rows(seen: str, row: str, limit: int) -> Column:
+    """The remembered value if it is at most ``limit`` rows old."""
+    return F.when(F.col(row) - F.col(f"{seen}.at") <= limit, F.col(f"{seen}.v"))
 
 
 def latched(panel: DataFrame, keys: list[str], index: str, flags: Mapping[str, str]) -> DataFrame:

@@ -132,13 +132,11 @@ def daily_prescriptions(prescriptions: DataFrame) -> DataFrame:
     """Active classes per day (end excluded) and antibiotic start and stop days.
 
     Names repeat far more often than they differ, so each distinct name is
-    classified once; names of no class drop out with the join.
+    classified once.
     """
     rx = prescriptions.filter("hadm_id is not null and drug_type = 'MAIN' and starttime is not null and drug is not null")
-    found = rx.select("drug").distinct().select("drug", S.matching_classes("drug", fixed.DRUG_PATTERNS).alias("_classes"))
-    named = found.filter(F.size("_classes") > 0).select(
-        "drug", *[F.array_contains("_classes", c).cast("int").alias(c) for c in CLASSES])
-    rx = rx.select("hadm_id", "drug", F.to_date("starttime").alias("_from"), F.to_date("stoptime").alias("_to")).join(named, "drug")
+    named = rx.select("drug").distinct().select("drug", *[S.pattern_flag("drug", p).alias(c) for c, p in fixed.DRUG_PATTERNS.items()])
+    rx = rx.select("hadm_id", "drug", F.to_date("starttime").alias("_from"), F.to_date("stoptime").alias("_to")).join(named, "drug").filter(S.active_count(CLASSES) > 0)
     rx = rx.withColumn("_to", F.coalesce("_to", F.date_add("_from", 1)))
 
     def mark(day, active, started, stopped):
@@ -172,12 +170,15 @@ def with_windows(days: DataFrame, limits: Mapping[str, int] = fixed.FILL_LIMITS)
     w = panel_window(["hadm_id"], ["day_of_stay"])
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     fills = {c: limits[tier] for tier, cols in fixed.DAILY_TIERS.items() for c in cols if c in days.columns}
+    # days are dense, so the day number counts rows; every column shares one running frame
     out = days.withColumns({
-        **{c: F.last(c, ignorenulls=True).over(w.rowsBetween(-n, 0)) for c, n in fills.items()},
+        **{f"_seen_{c}": W.last_known(c, "day_of_stay").over(so_far) for c in fills},
         "positive_culture_cumulative": F.max("_pos").over(so_far), "blood_culture_positive_cumulative": F.max("_blood").over(so_far),
         "_unit": F.coalesce("_inside", F.last("_began", ignorenulls=True).over(so_far)),
         "_service": F.last("_service", ignorenulls=True).over(so_far),
     })
+    out = out.withColumns({c: W.within_rows(f"_seen_{c}", "day_of_stay", n) for c, n in fills.items()})
+    out = out.drop(*[f"_seen_{c}" for c in fills])
     group = F.when(F.col("_unit.careunit").isNull(), "other").otherwise(S.care_unit_group("_unit.careunit"))
     return out.withColumns({
         "careunit_group": group, "is_icu": (group == "icu").cast("int"),
