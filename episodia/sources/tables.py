@@ -107,8 +107,8 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
 
 
 def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small report table as JSON lines, one file."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """A report table as JSON lines."""
+    df.write.mode(mode).json(path)
 
 
 def as_json(df: DataFrame, name: str = "report") -> DataFrame:
