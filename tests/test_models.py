@@ -148,3 +148,21 @@ def test_similar_rows_fill_every_gap(spark):
     assert out.filter("b is null").count() == 0 and out.filter("c is not null").count() == 0
     gap = out.filter("a = 10 and b != 100").count()
     assert gap == 0
+
+
+def test_final_features_fill_and_score(spark):
+    """Gaps are filled, and the scores follow the filled values."""
+    from episodia.plans.icu import final_features
+
+    fields = ["pao2", "fio2_1", "hr", "sysbp", "meanbp", "platelets", "total_bili", "gcs", "creatinine", "temp_c", "rr", "paco2", "wbc"]
+    healthy = [95.0, 0.21, 80.0, 120.0, 85.0, 250.0, 0.8, 15.0, 0.9, 37.0, 16.0, 40.0, 8.0]
+    rows = [(s, b, 400.0, 0, 0.0, *[None if (c == "hr" and s == 1 and b == 3) else v for c, v in zip(fields, healthy)])
+            for s in range(1, 11) for b in range(8)]
+    kinds = ", ".join(f"{c} double" for c in fields)
+    df = spark.createDataFrame(rows, f"stay int, bin int, output_step double, mechvent int, max_dose_vaso double, {kinds}")
+    out = final_features(df, fields, groups=2)
+    assert out.count() == 80 and out.filter("hr is null").count() == 0
+    late = out.filter("bin = 7").first()
+    assert (late.sofa, late.sirs) == (0, 0) and abs(late.pao2_fio2 - 95 / 0.21) < 1e-9 and abs(late.shock_index - 80 / 120) < 1e-9
+    # the first bin has only 400 ml in its day so far: three points for the kidney
+    assert out.filter("bin = 0").first().sofa == 3
