@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episodia.catalog.registry import query
 from episodia.catalog.roles import n8, r6, split_sql
 from episodia.operators.sampling import hash_split
+from episodia.session import fresh_folder
 from episodia.sources import tables as IO
 from episodia.streaming import resume
 
 
 def scratch(t) -> str:
-    """A fresh folder for this run, in the session's shared folder if it names one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="episodia-")
-    import uuid
-    return f"{base.rstrip('/')}/episodia-{uuid.uuid4().hex}"
+    """A fresh folder for this run in the session's shared folder."""
+    return fresh_folder(t.spark, "scratch")
 
 
 @query("sql_extract", "IO1 IO4 F1", """

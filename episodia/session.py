@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +45,42 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it.
 
-    The folder is shared storage, so the cut lineage survives lost executors.
-    A private folder is made only where the session names none.
+    Only a session inside one process (master ``local``) may go without; it
+    gets a folder of its own.  Anywhere else a missing setting is an error,
+    because a folder of one machine is not visible to the others.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="episodia-checkpoint-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="episodia-shared-")
+        context.setCheckpointDir(named)
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, label: str = "table") -> str:
+    """A name for a new folder below the shared one."""
+    return f"{shared_folder(spark)}/episodia-{label}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Unlike a checkpoint the table is compressed and read column by column.
+    """
+    spark = df.sparkSession
+    folder = fresh_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
