@@ -5,7 +5,8 @@ from __future__ import annotations
 from episodia.llm.mixing import OP4_SQL, op4_hash_thresholds
 from episodia.llm.ngram_join import op3_t_occurrence
 from episodia.llm.sharding import op7_sampled_splitters
+from episodia.llm.token_frames import op9_seekable_frames
 from episodia.llm.url_rules import OP8_SQL, op8_sorted_sweep
 
-QUERIES = {f.__name__: f for f in (op3_t_occurrence, op4_hash_thresholds, op7_sampled_splitters, op8_sorted_sweep)}
+QUERIES = {f.__name__: f for f in (op3_t_occurrence, op4_hash_thresholds, op7_sampled_splitters, op8_sorted_sweep, op9_seekable_frames)}
 SQL = {"op4_hash_thresholds": OP4_SQL, "op8_sorted_sweep": OP8_SQL}
