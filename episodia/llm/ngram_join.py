@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodia.llm.graph import components
-from episodia.llm.words import U64, WordTable, mixed, windows, word_codes
+from episodia.llm.words import U64, WordTable, mixed, text_parts, windows, word_codes
 from episodia.session import durable, written
 
 WIDTH, PERCENT = 4, 85
@@ -68,20 +69,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), dtype=np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)) if len(sizes) else []
-    edges = [0, *[int(c) for c in cuts if c > 0], len(sizes)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = WordTable(word_codes)
     for whole in batches:
-        for batch in _parts(whole):
+        for batch in text_parts(whole):
             sets = shingle_sets(batch.column("text").to_pylist(), table)
             n = np.array([len(s) for s in sets], np.int64)
             first = np.array([mixed(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for s in sets], U64)
@@ -98,7 +89,7 @@ def _spread(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("prefix")
-            lens = np.asarray(pa.compute.list_value_length(col), np.int64)
+            lens = np.asarray(pc.list_value_length(col), np.int64)
             hashes = np.asarray(col.flatten()).view(U64)
             ids = np.repeat(np.asarray(batch.column("u"), np.int64), lens)
             order = np.argsort(hashes, kind="stable")
@@ -236,7 +227,7 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = WordTable(word_codes)
     for whole in batches:
-        for batch in _parts(whole):
+        for batch in text_parts(whole):
             sets = shingle_sets(batch.column("text").to_pylist(), table)
             mins = [[int(mixed(s + U64(977 * (i + 1))).min().view(np.int64)) if len(s) else 0 for i in range(MINHASHES)] for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), _lists(sets), pa.array(mins, pa.list_(pa.int64()))], ["c", "n", "hashes", "mins"])

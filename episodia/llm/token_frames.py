@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodia.llm.words import text_parts
 from episodia.session import fresh_folder, written
 
 # fixed values of the seekable format
@@ -224,15 +225,6 @@ def read_frames(store, path: str, wanted: set | None = None) -> Iterator[tuple[i
             k += 1
 
 
-def _text_parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), dtype=np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)) if len(sizes) else []
-    edges = [0, *[int(c) for c in cuts if c > 0], len(sizes)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) -> DataFrame:
     """Write the ids of ``docs`` (``doc_id`` long, ``text``) below ``folder``; one row for each file.
 
@@ -250,7 +242,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         encoder, context, writer, seq, done = Encoder(vocabulary), TaskContext.get(), None, 0, []
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in _text_parts(whole):
+            for batch in text_parts(whole):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
                     if writer is None:
                         writer = FrameWriter(store, f"{base}/ids-{context.partitionId():06d}-{seq:04d}-{context.taskAttemptId()}.zst", encoder.width, end_id)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 
@@ -78,13 +80,11 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
-def in_chunks(items: list, sizes: list[int], most: int) -> Iterator[slice]:
-    """Slices of ``items`` whose sizes add up to about ``most``."""
-    start, total = 0, 0
-    for i, s in enumerate(sizes):
-        if i > start and total + s > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += s
-    if start < len(items):
-        yield slice(start, len(items))
+def text_parts(batch: pa.RecordBatch, most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each (one row at least)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)) if len(sizes) else []
+    edges = [0, *[int(c) for c in cuts if c > 0], len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
