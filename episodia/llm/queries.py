@@ -11,7 +11,9 @@ from episodia.llm.sharding import op7_sampled_splitters
 from episodia.llm.token_frames import op9_seekable_frames
 from episodia.llm.toxicity import op5_gated_recurrent
 from episodia.llm.url_rules import OP8_SQL, op8_sorted_sweep
+from episodia.llm.vector_dedup import op6_product_quantisation
 
-QUERIES = {f.__name__: f for f in (op1_chain_field, op2_template_windows, op3_t_occurrence, op4_hash_thresholds, op5_gated_recurrent, op7_sampled_splitters, op8_sorted_sweep, op9_seekable_frames,
+QUERIES = {f.__name__: f for f in (op1_chain_field, op2_template_windows, op3_t_occurrence, op4_hash_thresholds, op5_gated_recurrent,
+                                    op6_product_quantisation, op7_sampled_splitters, op8_sorted_sweep, op9_seekable_frames,
                                     op10_line_runs)}
 SQL = {"op4_hash_thresholds": OP4_SQL, "op8_sorted_sweep": OP8_SQL}
