@@ -12,8 +12,9 @@ work near the number of documents that do have a partner:
    that thousands share comes last.
 3. Sets that agree in a minimum hash meet in blocks and are linked
    (T-occurrence search).  Then only lists that hold more than one component
-   are looked at, and one document is searched in another component's blocks:
-   no pair inside a component is ever formed, however many copies there are.
+   are looked at; documents over such lists are a family, dealt to blocks, and
+   those outside its largest component are searched in its blocks.  No pairs are
+   formed as rows, and none is compared within the largest component.
 """
 
 from __future__ import annotations
@@ -208,19 +209,21 @@ def _within(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of queries to the members of another component's block."""
+    """Links between components of a family: queries searched in one block of it."""
     a, b = [], []
     for _, part in pdf.sort_values(["block", "role", "c"]).groupby("block", sort=False):
         own, asks = part[part["role"] == 0], part[part["role"] == 1]
         if not len(own) or not len(asks):
             continue
-        sets, ids = _arrays(own["hashes"]), own["c"].to_numpy()
+        sets, ids, of = _arrays(own["hashes"]), own["c"].to_numpy(), own["comp"].to_numpy()
         sizes, lists = np.array([len(s) for s in sets], np.int64), occurrences(sets)
-        for c, s in zip(asks["c"], _arrays(asks["hashes"])):
+        for c, comp, s in zip(asks["c"], asks["comp"], _arrays(asks["hashes"])):
             found = search(s, lists, sizes)
-            if len(found):  # the members are one component: one link joins it
-                a.append(c)
-                b.append(ids[found[0]])
+            others, first = np.unique(of[found], return_index=True)
+            for other, i in zip(others, found[first]):  # one link joins a component
+                if other != comp:
+                    a.append(c)
+                    b.append(ids[i])
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
@@ -270,20 +273,19 @@ def classes_and_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     edges = durable(dealt.join(near_sets.select("c", "hashes"), "c").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_within, "a long, b long"))
     first = components(edges)
     comp = durable(near.select("c", "n", "prefix").join(first.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"))
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    lists = comp.select("c", "n", "comp", F.explode("prefix").alias("h")).join(sizes, "comp")
-    several = lists.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("h")
-    lists = durable(lists.join(several, "h", "left_semi"))
-    there = lists.select("h", F.col("comp").alias("other"), F.col("m").alias("om")).distinct()
-    smaller = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("comp") > F.col("other")))
-    fewest = F.greatest(F.lit(1), F.floor(F.col("n") * PERCENT / (100 * EXTRA)))
-    asked = lists.join(there, "h").filter(smaller).groupBy("c", "n", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= fewest).select("c", "other")
-    asked = durable(asked)
+    # lists that hold several components; documents over such lists form families
+    lists = comp.select("c", "comp", F.explode("prefix").alias("h"))
+    several = lists.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("c").alias("low")).filter("x <> y").select("h", "low")
+    families = components(lists.join(several, "h").select(F.col("c").alias("a"), F.col("low").alias("b")).unionByName(comp.filter("c <> comp").select(F.col("c").alias("a"), F.col("comp").alias("b"))))
+    placed = durable(comp.select("c", "comp").join(families.select(F.col("node").alias("c"), F.col("root").alias("family")), "c"))
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(
+        F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("largest")).filter("comps > 1")
+    placed = placed.join(sizes, "family")
     cut = F.ceil(F.col("m") / BLOCK)
-    members = comp.select("c", "comp").join(asked.select(F.col("other").alias("comp")).distinct(), "comp", "left_semi").join(sizes, "comp")
-    members = members.select("c", F.lit(0).alias("role"), F.xxhash64("comp", F.pmod(F.xxhash64("c"), cut)).alias("block"))
-    queries = asked.join(sizes.withColumnRenamed("comp", "other"), "other").select("c", F.lit(1).alias("role"), "other", F.explode(F.sequence(F.lit(0).cast("long"), (cut - 1).cast("long"))).alias("part"))
-    queries = queries.select("c", "role", F.xxhash64("other", "part").alias("block"))
+    members = placed.select("c", "comp", F.lit(0).alias("role"), F.xxhash64("family", F.pmod(F.xxhash64("c"), cut)).alias("block"))
+    # what is outside the largest component of its family is searched in all its blocks
+    queries = placed.filter("comp <> largest").select("c", "comp", F.lit(1).alias("role"), "family", F.explode(F.sequence(F.lit(0).cast("long"), (cut - 1).cast("long"))).alias("part"))
+    queries = queries.select("c", "comp", "role", F.xxhash64("family", "part").alias("block"))
     rows = members.unionByName(queries).join(near_sets.select("c", "hashes"), "c").withColumn("bucket", bucket)
     more = rows.groupBy("bucket").applyInPandas(_across, "a long, b long")
     last = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
