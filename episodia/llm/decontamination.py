@@ -224,6 +224,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents in which an item of the benchmark is found."""
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
+
+
 def op2_template_windows(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -129,13 +129,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(d.alias("d"), k.alias("k"), F.col(text_col).cast("binary").alias("text"))
     lines = written(rows.mapInArrow(_lines(words), "d long, k long, pos long, h long, m long").dropDuplicates(["d", "k", "pos"]), "lines")
     gone = copied_runs(lines).groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
-    joined = docs.withColumn("_k", k).join(gone, "_k", "left")
-    parts = F.split(F.col(text_col), "\n", -1)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"), k.alias("_k"))
+    joined = packed.join(gone, "_k", "left")
+    parts = F.split("_text", "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.exists("_gone", lambda r: (i >= r["start"]) & (i < r["end"])))
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNull(), parts).otherwise(kept))
     counts = F.struct(F.coalesce(F.size(parts), F.lit(0)).alias("n"), F.coalesce(F.size(parts) - F.size("_kept"), F.lit(0)).alias("deleted"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return joined.withColumn("_lines", counts).withColumn(text_col, text).select(*docs.columns, "_lines")
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
+    return joined.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns], counts.alias("_lines"))
 
 
 def op10_line_runs(spark, sf_dir: str) -> DataFrame:

@@ -103,8 +103,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, id_col: str =
     """All rows of ``docs`` with the number of copies that the mix takes.
 
     Adds ``_mix``, a struct of ``size``, ``source_size``, ``target``, ``copies``
-    and ``taken``; a name that nothing else in the pipeline uses, so columns of
-    the input never clash.  Documents are chosen by the hash of their id, so
+    and ``taken``; other column names may be any but that one.  Documents are chosen by the hash of their id, so
     reruns agree and a larger budget keeps what a smaller one took; rows with
     the same id are taken together.  Null text has size 0, a null source is a
     source of its own, sorted last.  An empty table gives an empty one.
@@ -113,12 +112,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, id_col: str =
     plan = durable(thresholds(sizes, source_targets(sizes, weights, repeats))).withColumnRenamed("_source", "_s")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = docs.withColumns({"_size": word_count(F.col(text_col)), "_hash": place_hash(F.col(id_col))}).join(plan, F.col(source_col).eqNullSafe(F.col("_s")))
+    # the row is packed, so that its column names cannot meet those of the plan
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), word_count(docs[text_col]).alias("_size"), place_hash(docs[id_col]).alias("_hash"), docs[source_col].alias("_source"))
+    joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
     copies = F.col("_copies") + (F.col("_hash") < F.col("_below")).cast("long")
-    return joined.select(*[docs[c] for c in docs.columns], F.struct(
+    return joined.select("_row.*", F.struct(
         F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken")).alias("_mix"))
 
 
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies."""
+    return mix(docs, weights, repeats).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))).select(*docs.columns)
+
+
 def op4_hash_thresholds(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")

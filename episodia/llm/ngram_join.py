@@ -296,6 +296,16 @@ def classes_keys(left: DataFrame) -> DataFrame:
     return left.groupBy("n", "f1", "f2").agg(F.min("u").alias("c"))
 
 
+def _rows_and_roots(docs: DataFrame) -> DataFrame:
+    """``u``, ``doc_id``, ``k`` (hash of id and text), ``n`` and ``root`` of every row."""
+    docs = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("text"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    profile = written(rows.mapInArrow(_profile, f"doc_id {id_type}, u long, k long, n long, f1 long, f2 long, prefix array<long>"), "profile")
+    roots = durable(classes_and_links(docs, profile.filter("n > 0")))
+    return profile.select("u", "doc_id", "k", "n").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``.
 
@@ -307,15 +317,21 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     Needs ``doc_id`` and ``text``; other columns are ignored.  An empty table
     gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("u"), F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("text"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    profile = written(rows.mapInArrow(_profile, f"doc_id {id_type}, u long, k long, n long, f1 long, f2 long, prefix array<long>"), "profile")
-    roots = durable(classes_and_links(docs, profile.filter("n > 0")))
-    all_rows = profile.select("u", "doc_id", "n").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
+    all_rows = _rows_and_roots(docs)
     lowest = all_rows.filter("root <> u").select("root").distinct()
     smallest = all_rows.join(lowest, "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return all_rows.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return all_rows.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest ``doc_id``.
+
+    Rows with an empty set stay, but rows equal in id and text are one row.
+    """
+    kept = _rows_and_roots(docs).groupBy("root").agg(F.min_by("k", F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("_k")).select("_k").distinct()
+    # the join deals rows by the key, so dropping repeated ones needs no exchange
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_k"))
+    return packed.join(kept, "_k").dropDuplicates(["_k"]).select("_row.*")
 
 
 def op3_t_occurrence(spark, sf_dir: str) -> DataFrame:
