@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task.
 ``ordered`` first counts rows per key.  If no key exceeds a task's fair share,
 it emits ordinary window columns.  If some keys do, their rows are cut into
-time segments at approximate quantiles of the order column, each segment gets
+segments at sampled quantiles of the whole order tuple, each segment gets
 its own window, and a small table with one row per (key, segment) carries
 totals, last values and so on from one segment to the next.  Both forms give
 the same rows; only the physical layout differs.
@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodia.session import durable
+
 ROWS_PER_TASK = 1_000_000
-MAX_SEGMENTS = 1024
-# carried rows beyond this are joined by Spark's own choice of strategy
-BROADCAST_ROWS = 100_000
+# sampled rows for each segment
+DRAWS = 16
+# carried bytes (by the columns' default sizes) beyond this are joined by Spark's own choice of strategy
+BROADCAST_BYTES = 8 << 20
 
 _SEG = "_segment"
 _HOT = "_is_hot"
-_NUM = "_order_number"
+_ORDER = "_order_tuple"
 
 
 class Cell:
@@ -273,31 +276,14 @@ class HotKeys:
 
     keys: list[str]
     rows: list[Row] = field(default_factory=list)
-    schema: T.StructType | None = None
+    #: key columns and ``_cuts``, the lower bounds of all segments but the first
+    table: DataFrame | None = None
+    bits: int = 0
 
     def __bool__(self) -> bool:
         return bool(self.rows)
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the order column."""
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.StringType):
-        return F.expr(
-            f"cast(conv(hex(rpad(substring(cast(`{name}` as binary), 1, 6), 6, X'00')), 16, 10) as double)"
-        )
-    if isinstance(kind, T.BooleanType):
-        return c.cast("int").cast("double")
-    raise TypeError(f"cannot cut segments along {name}: {kind.simpleString()}")
-
-
 def find_hot_keys(
     df: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = None
 ) -> HotKeys:
@@ -318,27 +304,43 @@ def find_hot_keys(
     if not hot:
         return HotKeys(keys)
 
-    pieces = min(MAX_SEGMENTS, max(4, 2 * -(-hot[0]["_n"] // share), 2 * -(-hot[0]["_n"] // max(floor, 1))))
+    # segments follow the rows of the largest key
+    pieces = max(4, 2 * -(-hot[0]["_n"] // max(floor, 1)))
     bits = max(2, (int(pieces) - 1).bit_length())
-    cuts = (1 << bits) - 1
-    fractions = [float(i + 1) / (cuts + 1) for i in range(cuts)]
-    numbered = df.select(*keys, _as_number(df, order[0]).alias(_NUM))
+    segments = 1 << bits
+    drawn = df.select(*keys, F.struct(*order).alias(_ORDER))
     if keys:
-        schema = T.StructType([df.schema[k] for k in keys])
-        marks = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
-        numbered = numbered.join(F.broadcast(marks), _same(numbered, marks, keys), "left_semi")
-    bounds = numbered.groupBy(*keys).agg(
-        F.percentile_approx(_NUM, fractions, 10 * (cuts + 1)).alias("_cuts")
-    )
-    rows = bounds.collect()
-    return HotKeys(keys, rows, bounds.schema)
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        schema = T.StructType([*[T.StructField(f"_hot_{k}", df.schema[k].dataType) for k in keys], T.StructField("_n", T.LongType())])
+        marks = df.sparkSession.createDataFrame([(*[r[k] for k in keys], r["_n"]) for r in hot], schema)
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+        drawn = drawn.join(F.broadcast(marks), cond).drop(*[f"_hot_{k}" for k in keys])
+    else:
+        drawn = drawn.withColumn("_n", F.lit(hot[0]["_n"]))
+    # a hash of the order tuple draws, so a lost task draws the same rows again
+    chance = F.lit(float(DRAWS * segments)) / F.col("_n")
+    place = F.shiftrightunsigned(F.xxhash64(_ORDER, *keys), 11) / F.lit(float(1 << 53))
+    drawn = drawn.filter(place < chance)
+    tile = F.ntile(segments).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_ORDER))
+    firsts = drawn.withColumn("_tile", tile).filter("_tile > 1").groupBy(*keys, "_tile").agg(F.min(_ORDER).alias("_cut"))
+    cuts = F.transform(F.array_sort(F.collect_list(F.struct("_tile", "_cut"))), lambda x: x["_cut"])
+    bounds = firsts.groupBy(*keys).agg(cuts.alias("_cuts"))
+    # a key with few drawn rows repeats its last bound; those segments stay empty
+    last = F.element_at("_cuts", -1)
+    padded = F.concat("_cuts", F.array_repeat(last, F.lit(segments - 1) - F.size("_cuts")))
+    table = durable(bounds.withColumn("_cuts", padded))
+    rows = table.select(*keys, F.size("_cuts").alias("_size")).collect()
+    return HotKeys(keys, rows, table, bits)
+
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value, roughly: 8 a number, 32 a text, the sum of a struct."""
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _width(kind.elementType)
+    return 32 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
 
 
 def _segment_number(x: Column, cuts: Column, bits: int) -> Column:
@@ -353,20 +355,17 @@ def _segment_number(x: Column, cuts: Column, bits: int) -> Column:
 
 def with_segments(df: DataFrame, order: list[str], hot: HotKeys) -> DataFrame:
     """Add the segment number; rows of ordinary keys are all in segment 0."""
-    cuts = hot.rows[0]["_cuts"]
-    bits = (len(cuts) + 1).bit_length() - 1
-    number = F.coalesce(_as_number(df, order[0]), F.lit(float("-inf")))
+    place = F.struct(*order)
     if not hot.keys:
-        literal = F.array(*[F.lit(float(c)) for c in cuts])
-        return df.withColumns({_SEG: _segment_number(number, literal, bits), _HOT: F.lit(True)})
-    table = df.sparkSession.createDataFrame([tuple(r) for r in hot.rows], hot.schema)
-    table = table.withColumnsRenamed({k: f"_hot_{k}" for k in hot.keys})
+        cut = df.withColumn("_cuts", hot.table.select("_cuts").scalar())
+        return cut.withColumns({_SEG: _segment_number(place, F.col("_cuts"), hot.bits), _HOT: F.lit(True)}).drop("_cuts")
+    table = hot.table.withColumnsRenamed({k: f"_hot_{k}" for k in hot.keys})
     cond = F.lit(True)
     for k in hot.keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
     joined = df.join(F.broadcast(table), cond, "left")
     seg = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        _segment_number(number, F.col("_cuts"), bits)
+        _segment_number(place, F.col("_cuts"), hot.bits)
     )
     joined = joined.withColumns({_SEG: seg, _HOT: F.col("_cuts").isNotNull()})
     return joined.drop("_cuts", *[f"_hot_{k}" for k in hot.keys])
@@ -454,8 +453,9 @@ def ordered(
     cond = F.lit(True)
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_k_{g}"))
-    # one row per hot key and segment: the number is known here
-    if len(hot.rows) * (len(hot.rows[0]["_cuts"]) + 1) <= BROADCAST_ROWS:
+    # one row per hot key and segment: number and width are known here
+    longest = max([c.n for c in cells.values() if isinstance(c, History)], default=1)
+    if len(hot.rows) << hot.bits <= BROADCAST_BYTES // (longest * _width(carried.schema)):
         carried = F.broadcast(carried)
     joined = local.join(carried, cond, "left")
     out = [F.col(c) for c in df.columns]

@@ -55,7 +55,7 @@ CELLS = dict(
 def test_segments_change_nothing(rows, keys, order):
     cells = {n: make() for n, make in CELLS.items()}
     hot = find_hot_keys(rows, keys, order, TINY)
-    assert hot and len(hot.rows[0]["_cuts"]) >= 3
+    assert hot and hot.rows[0]["_size"] >= 3
     same(ordered(rows, keys, order, cells), ordered(rows, keys, order, cells, hot=hot))
 
 
@@ -65,6 +65,37 @@ def test_only_large_keys_are_hot(rows):
     assert not find_hot_keys(rows, ["k"], ["at"])
 
 
+def test_texts_with_a_common_start_and_equal_first_values_are_cut(spark):
+    from episodia.operators.scan import with_segments
+
+    df = spark.range(4000).select(F.format_string("Customer#%09d", "id").alias("name"), F.lit(0).alias("same"), (F.col("id") * 7 % 4001).alias("id"))
+    for order in (["name"], ["same", "id"]):
+        hot = find_hot_keys(df, [], order, 250)
+        sizes = [r["count"] for r in with_segments(df, order, hot).groupBy("_segment").count().collect()]
+        assert len(sizes) >= 16 and max(sizes) <= 500 and sum(sizes) == 4000
+
+
+def test_null_keys_match_nothing(spark):
+    df = spark.createDataFrame([(1, None, 10, 12), (2, None, 14, 15), (3, 7, 1, 2), (4, 7, 3, 4)], "e int, s int, a long, b long")
+    df = df.withColumns({c: F.timestamp_seconds(F.col(c) * 86400) for c in ("a", "b")})
+    assert {r.e: r.readmit_30d for r in J.returned_within(df, "s", "e", "a", "b", 30).collect()} == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_equal_probes_stay_apart(spark):
+    probes = spark.createDataFrame([(1, 5, 0), (1, 5, 0), (None, 5, 0)], "k int, at int, since int")
+    visits = spark.createDataFrame([(1, 2), (1, 3), (None, 2)], "k int, seen int")
+    assert sorted(r.n for r in J.prior_count(probes, visits, ["k"], "at", "since", "seen", "n").collect()) == [0, 2, 2]
+
+
+def test_rules_of_a_column_apply_one_after_the_other(spark):
+    from episodia.operators.cleaning import component_total, defaults_filled
+
+    df = spark.createDataFrame([(300.0, None, 4.0, 9.0), (None, 1.0, 2.0, None), (50.0, None, None, None)], "age double, p double, q double, total double")
+    got = [r.age for r in defaults_filled(df.withColumn("m", F.lit(70.0)), {}, {"age": (200, None)}, {"age": "m"}).collect()]
+    assert got == [70.0, 70.0, 50.0]
+    assert [r.total for r in component_total(df, ["p", "q"], "total").collect()] == [9.0, 3.0, None]
+
+
 OPS = {
     "next_state": lambda d, n: W.next_state(d, ["k"], ["at", "id"], ["v", "c"], index="i", rows_per_task=n),
     "held": lambda d, n: W.held_values(d, ["k"], "at", ["id"], {"v": 0.01}, rows_per_task=n),
@@ -107,7 +138,7 @@ def test_as_of_by_brute_force(rows):
     got = {r.id: r.r for r in J.as_of(left, right, ["k"], "at", "b", ["r"], rows_per_task=TINY).collect()}
     data = right.collect()
     for q in left.collect():
-        hits = [(x.b, x.r) for x in data if x.k == q.k and x.b <= q.at]
+        hits = [(x.b, x.r) for x in data if x.k == q.k and q.k is not None and x.b <= q.at]
         assert got[q.id] == (max(hits)[1] if hits else None)
 
 
@@ -115,7 +146,7 @@ def test_prior_count_by_brute_force(rows):
     out = OPS["prior"](rows, TINY).collect()
     seen = rows.filter("id % 4 = 0").collect()
     for q in out:
-        assert q.n == sum(1 for s in seen if s.k == q.k and q.since <= s["at"] < q["at"])
+        assert q.n == sum(1 for s in seen if s.k == q.k and q.k is not None and q.since <= s["at"] < q["at"])
 
 
 def test_backward_fold_of_long_runs(spark):
@@ -127,3 +158,12 @@ def test_backward_fold_of_long_runs(spark):
     for i in range(n - 1, -1, -1):
         v = (i % 7) / 10 + (0.0 if i % 300 == 299 else 0.9) * v
     assert abs(got - v) < 1e-9
+
+
+def test_backward_fold_has_no_longest_run(spark, monkeypatch):
+    from episodia.operators import policy_value
+
+    monkeypatch.setattr(policy_value, "FAN", 4)
+    df = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    got = backward_fold(df, ["k"], "t", F.lit(1.0), F.lit(0.5)).first()["value"]
+    assert abs(got - 2.0) < 1e-9
