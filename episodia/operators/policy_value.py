@@ -29,24 +29,23 @@ def return_summary(returns: DataFrame, value: str = "discounted_return") -> Data
 
 
 def backward_fold(df: DataFrame, keys: list[str], step: str, a: Column, b: Column,
-                  name: str = "value", levels: int = 2) -> DataFrame:
+                  name: str = "value") -> DataFrame:
     """First value of ``V_t = a_t + b_t * V_{t+1}`` with ``V = 0`` after the end.
 
     Such steps compose: a run of steps is again of the form ``A + B * V``.  Runs
-    of up to 1024 steps are folded first, then runs of runs, so no array holds
-    more than 1024 elements however long a trajectory is.  ``step`` is the
-    0-based row index.
+    of up to 1024 steps are folded first, then runs of runs until one run is
+    left, so no array holds more than 1024 elements however long a trajectory
+    is.  ``step`` is the 0-based row index.
     """
+    longest = (df.agg(F.max(F.col(step).cast("long"))).first()[0] or 0) + 1
+    levels = 1
+    while longest > FAN ** levels:
+        levels += 1
     rows = df.select(*keys, F.col(step).cast("long").alias("_i"), a.cast("double").alias("_a"),
                      b.cast("double").alias("_b"))
-    for level in range(levels):
-        final = level == levels - 1
+    for _ in range(levels):
         here = F.struct("_i", "_a", "_b")
         run = F.floor(F.col("_i") / FAN).cast("long")
-        if final:
-            run = F.when(run == 0, run).otherwise(
-                F.raise_error(F.lit("trajectory too long: raise levels")).cast("long")
-            )
         start = F.struct(F.lit(0.0).alias("A"), F.lit(1.0).alias("B"))
 
         def join_step(acc, x):
