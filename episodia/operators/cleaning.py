@@ -41,11 +41,11 @@ def reciprocal_fill(df: DataFrame, fraction: str, percent: str) -> DataFrame:
 
 
 def component_total(df: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
-    """Sum of the parts where all of them are present."""
+    """Sum of the parts where all of them are present; else an existing total stays."""
     total = F.col(parts[0])
     for p in parts[1:]:
         total = total + F.col(p)
-    return df.withColumn(name, total)
+    return df.withColumn(name, F.coalesce(total, F.col(name)) if name in df.columns else total)
 
 
 def pressure_fill(df: DataFrame, systolic: str, mean: str, diastolic: str) -> DataFrame:
@@ -119,12 +119,17 @@ def outlier_keys(df: DataFrame, keys: list[str], limits: Mapping[str, float]) ->
 
 def defaults_filled(df: DataFrame, constants: Mapping[str, object], capped: Mapping[str, tuple] = {},
                     medians: Mapping[str, str] = {}) -> DataFrame:
-    """Constants for nulls, replacement of extremes, and medians.
+    """Constants for nulls, then replacement of extremes, then medians.
+
+    A column may be in several of them; the rules apply one after the other.
 
     ``capped`` maps a column to (above, replacement); ``medians`` maps a column
     to the name of a one-row median column already attached.
     """
     out = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in constants.items()}
-    out.update({c: F.when(F.col(c) > limit, F.lit(new)).otherwise(F.col(c)) for c, (limit, new) in capped.items()})
-    out.update({c: F.coalesce(F.col(c), F.col(m)) for c, m in medians.items()})
+    for c, (limit, new) in capped.items():
+        value = out.get(c, F.col(c))
+        out[c] = F.when(value > limit, F.lit(new)).otherwise(value)
+    for c, m in medians.items():
+        out[c] = F.coalesce(out.get(c, F.col(c)), F.col(m))
     return df.withColumns(out)

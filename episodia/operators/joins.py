@@ -139,8 +139,13 @@ def as_of(
     first forward.  Right columns come back with ``prefix``; unmatched are null.
 
     Both sides are stacked and read in time order, so the cost is one sort of
-    the two inputs, whatever the number of matches per key.
+    the two inputs, whatever the number of matches per key.  As in an equality
+    join a null key matches nothing; such left rows are spread over tasks.
     """
+    absent = F.lit(False)
+    for k in keys:
+        absent = absent | F.col(k).isNull()
+    right = right.filter(~absent)
     brought = [c for c in right.columns if c not in keys]
     # at equal times, right rows sort first when they may match backward and
     # last when they may match forward
@@ -149,14 +154,15 @@ def as_of(
     l_rows = left.select(
         *keys, F.col(left_time).alias("_at"), F.lit(1 if right_first else 0).alias("_side"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+        F.when(absent, F.xxhash64(*left.columns)).otherwise(F.lit(0)).alias("_apart"),
     )
     r_rows = right.select(
         *keys, F.col(right_time).alias("_at"), F.lit(0 if right_first else 1).alias("_side"),
-        payload.alias("_right"), F.struct(*[F.col(c) for c in tie]).alias("_tie"),
+        payload.alias("_right"), F.struct(*[F.col(c) for c in tie]).alias("_tie"), F.lit(0).cast("long").alias("_apart"),
     )
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     cell = LastSeen("_right") if direction == "backward" else NextSeen("_right")
-    found = ordered(both, keys, ["_at", "_side", "_tie"], {"_found": cell}, rows_per_task=rows_per_task)
+    found = ordered(both, [*keys, "_apart"], ["_at", "_side", "_tie"], {"_found": cell}, rows_per_task=rows_per_task)
     return found.filter(F.col("_left").isNotNull()).select(
         "_left.*", *[F.col(f"_found.{prefix}{c}").alias(f"{prefix}{c}") for c in brought]
     )
@@ -194,26 +200,27 @@ def prior_count(
     """Visits of the key with ``since <= time < at``, optionally capped.
 
     Two running counts (visits before ``at`` and before ``since``) and their
-    difference; ``probes`` must be unique and ``visits`` must hold one row per visit.
+    difference, once for each distinct (key, at, since) and joined back, so equal
+    probes stay apart.  ``visits`` must hold one row per visit.  A null key or
+    time counts nothing.
     """
-    tagged = probes.withColumn("_row", F.struct(*[F.col(c) for c in probes.columns]))
-    edges = tagged.select(
-        *keys, F.inline(F.array(
+    asked = list(dict.fromkeys([*keys, at, since]))
+    points = probes.select(*asked).dropna().distinct()
+    edges = points.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*asked).alias("_point"), F.inline(F.array(
             F.struct(F.col(at).alias("_at"), F.lit(1).alias("_sign")),
             F.struct(F.col(since).alias("_at"), F.lit(-1).alias("_sign")),
-        )), "_row",
+        )),
     ).withColumn("_one", F.lit(0))
-    seen = visits.select(*keys, F.col(visit_time).alias("_at"), F.lit(0).alias("_sign"),
-                         F.lit(1).alias("_one"))
+    seen = visits.dropna(subset=[*keys, visit_time]).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(visit_time).alias("_at"), F.lit(0).alias("_sign"), F.lit(1).alias("_one"))
     # probes sort before visits at the same time, so the counts are strict
     both = edges.unionByName(seen, allowMissingColumns=True).withColumn("_side", F.col("_one"))
-    counted = ordered(both, keys, ["_at", "_side"], {"_n": RunningSum("_one")},
-                      rows_per_task=rows_per_task)
-    per_probe = counted.filter(F.col("_sign") != 0).groupBy("_row").agg(
-        F.sum(F.col("_sign") * F.col("_n")).alias("_count")
-    )
+    counted = ordered(both, [f"_k{i}" for i in range(len(keys))], ["_at", "_side"], {"_n": RunningSum("_one")}, rows_per_task=rows_per_task)
+    per_point = counted.filter(F.col("_sign") != 0).groupBy("_point").agg(F.sum(F.col("_sign") * F.col("_n")).alias("_count"))
+    out = probes.join(per_point.select("_point.*", "_count"), asked, "left").select(*[probes[c] for c in probes.columns], F.coalesce("_count", F.lit(0)).alias("_count"))
     count = F.col("_count") if cap is None else F.least(F.col("_count"), F.lit(cap))
-    return per_probe.select("_row.*", count.alias(name))
+    return out.select(*probes.columns, count.alias(name))
 
 
 def action_grid(n_flags: int) -> Column:
