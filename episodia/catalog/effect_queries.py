@@ -100,13 +100,13 @@ def _boot_sql(runs: int, seed: int) -> str:
     bs as (select draw, sum(({steps}) * psi) / nullif(sum({steps}), 0) as estimate from dr where draw < {runs} group by 1)"""
 
 
-@query("bootstrap_effect", "A40", with_(EV_SQL, RX_SQL, PSI_SQL, _boot_sql(40, 42), select=f"""
+@query("bootstrap_effect", "A40", with_(EV_SQL, RX_SQL, PSI_SQL, _boot_sql(500, 42), select=f"""
 select {r6('(select avg(psi) from psi)', 'effect', 5)}, {r6('quantile_cont(estimate, 0.025)', 'ci_lower', 5)}, {r6('quantile_cont(estimate, 0.975)', 'ci_upper', 5)} from bs"""), digits=5)
 def bootstrap_effect(t):
-    return E.bootstrap_interval(rx(t), "event_id", "drug", "next_y", "p", "mu1", "mu0", runs=40)
+    return E.bootstrap_interval(rx(t), "event_id", "drug", "next_y", "p", "mu1", "mu0", runs=500)
 
 
-@query("effect_driver", "A41 A36 A37 A39 A40 F39", with_(EV_SQL, RX_SQL, PSI_SQL, _boot_sql(16, 7), select=f"""
+@query("effect_driver", "A41 A36 A37 A39 A40 F39", with_(EV_SQL, RX_SQL, PSI_SQL, _boot_sql(500, 7), select=f"""
 , one as (select 'drug' as treatment, 'next_y' as outcome, sum(t) as n_treated, sum(1 - t) as n_control, avg(case when p < 0.1 or p > 0.9 then 1.0 else 0.0 end) as share_outside,
    (select avg(next_y) filter (drug = 1) - avg(next_y) filter (drug = 0) from pc where drug is not null and next_y is not null) as naive,
    (select avg(psi) from psi) as effect, (select quantile_cont(estimate, 0.025) from bs) as ci_lower, (select quantile_cont(estimate, 0.975) from bs) as ci_upper from pc)
@@ -115,7 +115,7 @@ select treatment, outcome, {n8('n_treated', 'n_treated')}, {n8('n_control', 'n_c
 from one, (values ('up'), ('down')) v(x)"""), digits=5)
 def effect_driver(t):
     return E.effect_table([
-        E.effect_row(rx(t), "event_id", "drug", "next_y", "p", "mu1", "mu0", x, runs=16, seed=7) for x in ("up", "down")])
+        E.effect_row(rx(t), "event_id", "drug", "next_y", "p", "mu1", "mu0", x, runs=500, seed=7) for x in ("up", "down")])
 
 
 @query("effect_compare", "J26", with_(EV_SQL, RX_SQL, PSI_SQL, select=f"""

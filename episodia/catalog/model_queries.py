@@ -50,7 +50,7 @@ def effect_study(t):
     from episodia.plans.effects import estimate_effects
     rows = steps(t)
     pairs = [("vaso", "bun", "up"), ("fluid", "hb", "down")]
-    return estimate_effects(rows.filter("split = 'train'"), rows.filter("split != 'train'"), "key", pairs, [*STATES, *ACTIONS], runs=40)
+    return estimate_effects(rows.filter("split = 'train'"), rows.filter("split != 'train'"), "key", pairs, [*STATES, *ACTIONS], runs=500)
 
 
 @query("next_state_models", "M4 M5 A28 A30")

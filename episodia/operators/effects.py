@@ -147,8 +147,8 @@ def bootstrap_draws(df: DataFrame, key: str, psi: str, runs: int, seed: int) ->
     """One estimate per resample: ``sum(w * psi) / sum(w)``.
 
     A row's weight in a resample is a Poisson(1) number made from a hash of
-    (seed, block, key); one hash serves eight resamples.  Rows are repeated
-    inside the task only: each task sends one row per resample.
+    (seed, block, key); one hash serves the eight resamples of a block, whose
+    sums are columns of one aggregation.  Each task sends one row per block.
     """
     blocks = -(-runs // BLOCK)
     spread = df.select(
@@ -158,19 +158,20 @@ def bootstrap_draws(df: DataFrame, key: str, psi: str, runs: int, seed: int) ->
         "_hash", F.sha2(F.concat_ws(":", F.lit("boot"), F.lit(str(seed)), F.col("_block").cast("string"),
                                     F.col("_key").cast("string")), 256)
     )
-    draws = spread.select(
-        "_psi",
-        F.inline(F.array(*[
-            F.struct((F.col("_block") * BLOCK + j).alias("draw"), F.substring("_hash", 1 + 8 * j, 8).alias("u"))
-            for j in range(BLOCK)
-        ])),
-    ).filter(F.col("draw") < runs)
     # eight hex digits compare like the numbers they stand for
     marks = [format(math.ceil(s * 2**32), "08x") for s in POISSON_STEPS]
-    weight = reduce(lambda a, b: a + b, [(F.col("u") >= m).cast("int") for m in marks])
-    return draws.withColumn("w", weight).groupBy("draw").agg(
-        (F.sum(F.col("w") * F.col("_psi")) / F.nullif(F.sum("w"), F.lit(0))).alias("estimate")
-    )
+
+    def weight(j: int) -> Column:
+        u = F.substring("_hash", 1 + 8 * j, 8)
+        return reduce(lambda a, b: a + b, [(u >= m).cast("int") for m in marks])
+
+    spread = spread.withColumns({f"_w{j}": weight(j) for j in range(BLOCK)})
+    sums = spread.groupBy("_block").agg(*[
+        F.struct(F.sum(F.col(f"_w{j}") * F.col("_psi")).alias("s"), F.sum(f"_w{j}").alias("n")).alias(f"_d{j}") for j in range(BLOCK)])
+    return sums.select(F.inline(F.array(*[
+        F.struct((F.col("_block") * BLOCK + j).alias("draw"), (F.col(f"_d{j}.s") / F.nullif(F.col(f"_d{j}.n"), F.lit(0))).alias("estimate"))
+        for j in range(BLOCK)
+    ]))).filter(F.col("draw") < runs)
 
 
 def bootstrap_interval(df: DataFrame, key: str, treatment: str, outcome: str, p: str, mu1: str, mu0: str,

@@ -111,9 +111,15 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, alpha: float
 
 
 def fit_propensities(df: DataFrame, treatments: Sequence[str], confounders: Sequence[str],
-                     reg: float = 0.0) -> dict[str, LinearScore]:
-    """One propensity model per treatment; the treatment itself is left out."""
-    return {t: fit_logistic(df, [c for c in confounders if c != t], t, reg) for t in treatments}
+                     c: float = 1.0) -> dict[str, LinearScore]:
+    """One propensity model per treatment; the treatment itself is left out.
+
+    A missing treatment counts as not given.  The squared weights of the
+    standardised features are penalised by ``1 / (2 * c)`` against the summed loss.
+    """
+    rows = df.withColumns({t: F.coalesce(F.col(t).cast("int"), F.lit(0)) for t in treatments})
+    reg = 1 / (c * max(rows.count(), 1))
+    return {t: fit_logistic(rows, [x for x in confounders if x != t], t, reg) for t in treatments}
 
 
 def score_propensities(df: DataFrame, models: Mapping[str, LinearScore], prefix: str = "p_") -> DataFrame:
