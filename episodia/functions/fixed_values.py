@@ -60,7 +60,11 @@ SERVICE_GROUPS = {
     "trauma": ["TRAUM"],
 }
 
-# Diagnosis-code prefixes (without dots): category, weight, prefixes.
+# Diagnosis-code prefixes: category, weight, prefixes.  Dots are removed, since
+# codes come without them.  A code is tried down to SHORTEST_PREFIX characters,
+# so with the value here the two-character entries never match; set it to 2 to
+# let them.
+SHORTEST_PREFIX = 3
 COMORBIDITY_PREFIXES = [
     ("mi", 1, ["I21", "I22", "I252"]),
     ("chf", 1, ["I50", "I110", "I130", "I132", "I42"]),
@@ -78,7 +82,7 @@ COMORBIDITY_PREFIXES = [
                            "E114", "E115", "E132", "E133", "E134", "E135"]),
     ("hemiplegia", 2, ["G81", "G82", "G041"]),
     ("renal", 2, ["N03", "N05", "N18", "N19", "N250"]),
-    ("cancer", 2, ["C70", "C71", "C72", "C73", "C74", "C75", "C76", "C81", "C82",
+    ("cancer", 2, ["C0", "C1", "C2", "C3", "C4", "C5", "C6", "C70", "C71", "C72", "C73", "C74", "C75", "C76", "C81", "C82",
                    "C83", "C84", "C85", "C88", "C90", "C91", "C92", "C93", "C94",
                    "C95", "C96"]),
     ("severe_liver", 3, ["K72", "K766", "K767"]),

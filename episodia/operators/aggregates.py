@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodia.functions import fixed_values as fixed
 from episodia.operators.scan import RunningSum, Total, ordered
 
 
@@ -26,14 +27,16 @@ def weighted_flags(df: DataFrame, weights: Mapping[str, int], name: str) -> Data
 
 
 def prefix_score(codes: DataFrame, dimension: DataFrame, keys: list[str], code: str,
-                 name: str = "score") -> DataFrame:
+                 name: str = "score", shortest: int = fixed.SHORTEST_PREFIX) -> DataFrame:
     """Longest matching prefix per code, largest weight per category, summed.
 
     ``dimension`` has (prefix, category, weight).  Each code is tried at every
-    prefix length that occurs in the dimension, so the join is by equality.
+    prefix length from ``shortest`` on that occurs in the dimension, so the join
+    is by equality.
     Repeated codes are removed before anything is expanded.
     """
     lengths = F.array_sort(F.collect_set(F.length("prefix")))
+    dimension = dimension.filter(F.length("prefix") >= shortest)
     sizes = dimension.agg(lengths.alias("n")).first()["n"] or []
     tries = F.explode(F.array(*[F.substring(F.trim(code), 1, n) for n in sizes]))
     parts = (
@@ -227,9 +230,9 @@ def manifest(df: DataFrame, subject: str, episode: str, split: str) -> DataFrame
 
 def zero_variance_columns(df: DataFrame, columns: Sequence[str], min_coverage: float = 0.0) -> list[str]:
     """Columns with fewer than two values or too little coverage (one small job)."""
-    rows = column_profile(df, columns).collect()
-    return sorted(r["column_name"] for r in rows
-                  if r["n_distinct"] < 2 or r["coverage"] < min_coverage)
+    seen = df.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.struct(F.count(c).alias("n"), F.min(F.col(c).cast("string")).alias("low"), F.max(F.col(c).cast("string")).alias("high")).alias(c) for c in columns]).first()
+    return sorted(c for c in columns if seen[c]["low"] == seen[c]["high"] or seen[c]["n"] < min_coverage * seen["_n"])
 
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

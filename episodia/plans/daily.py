@@ -223,4 +223,6 @@ def build_daily_panel(t: Mapping[str, DataFrame], built_at: str, min_age: int =
     days = days.withColumn("n_active_drug_classes", S.active_count(active))
     days = with_provenance(days, {"schema_version": SCHEMA_VERSION, "build_timestamp_utc": built_at})
     absent = coverage_report(days, COLUMNS)["absent"]
-    return days.select(*[c for c in COLUMNS if c not in absent])
+    if absent:
+        raise ValueError(f"the panel lacks {absent}")
+    return days.select(*COLUMNS)

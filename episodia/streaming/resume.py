@@ -26,15 +26,17 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.write.mode("append").parquet(path)
 
 
-def resume_stream(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, keys: Sequence[str],
+def resume_stream(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, row_key: Sequence[str],
                   checkpoint: str):
-    """Run ``build`` over newly arrived files and append rows with new keys.
+    """Run ``build`` over newly arrived files and append the rows not there yet.
 
+    ``row_key`` must identify a row (an episode and its step, not the episode
+    alone): a later file may bring more rows of an episode already there.
     ``source`` is a streaming DataFrame.  The query stops when all available
     files are read; the checkpoint remembers them for the next run, and the key
     check makes a repeated batch harmless.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_new(build(batch), path, keys)
+        append_new(build(batch), path, row_key)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
