@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["panel", "daily_flow", "icu_flow", "episodes", "binning", "fills", "transitions", "summaries", "metrics_queries", "effect_queries",
-           "policy_queries", "graph_queries", "sampling_queries", "source_queries", "model_queries"]
+           "policy_queries", "graph_queries", "sampling_queries", "source_queries", "model_queries", "given_models"]
 
 
 def load_queries():

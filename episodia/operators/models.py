@@ -76,6 +76,9 @@ class LinearScore:
                         F.lit(float(self.intercept)))
         return 1 / (1 + F.exp(-margin)) if self.logistic else margin
 
+    def score(self, df: DataFrame, name: str, overrides: Mapping[str, Column] | None = None) -> DataFrame:
+        return df.withColumn(name, self.column(overrides))
+
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0,
                  balanced: bool = False) -> LinearScore:
@@ -372,29 +375,32 @@ def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effe
 
 def fitted_q(transitions: DataFrame, states: Sequence[str], action: str, reward: str, done: str, n_actions: int,
              iterations: int = 3, gamma: float = 0.99, next_prefix: str = "next_", **options) -> TreeScore:
-    """Fitted Q over logged transitions: ``r + gamma * max_a Q(s', a)``.
+    """Fitted Q over logged transitions, from the targets of :func:`q_backup`.
 
     Each round scores the next states once per action as extra columns and
     takes the row-wise maximum, so rows are never repeated.
     """
-    features = [*states, action]
     q: TreeScore | None = None
     for _ in range(iterations):
-        rows = transitions
-        if q is None:
-            target = F.col(reward)
-        else:
-            following = {s: F.col(f"{next_prefix}{s}") for s in states}
-            names = []
-            for a in range(n_actions):
-                rows = q.score(rows, f"_q{a}", {**following, action: F.lit(float(a))})
-                names.append(f"_q{a}")
-            best = F.greatest(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
-            target = F.col(reward) + F.when(F.col(done) == 1, F.lit(0.0)).otherwise(gamma * best)
-        q = fit_trees(rows.withColumn("_target", target.cast("double")), features, "_target", **options)
+        rows = q_backup(transitions, q, states, action, reward, done, n_actions, gamma, next_prefix)
+        q = fit_trees(rows, [*states, action], "_target", **options)
     return q
 
 
+def q_backup(transitions: DataFrame, q: TreeScore | LinearScore | None, states: Sequence[str], action: str, reward: str, done: str,
+             n_actions: int, gamma: float, next_prefix: str = "next_", name: str = "_target") -> DataFrame:
+    """``r + gamma * max_a Q(s', a)``, the reward alone at the end or without a Q."""
+    if q is None:
+        return transitions.withColumn(name, F.col(reward).cast("double"))
+    rows, following = transitions, {s: F.col(f"{next_prefix}{s}") for s in states}
+    for a in range(n_actions):
+        rows = q.score(rows, f"_q{a}", {**following, action: F.lit(float(a))})
+    values = [F.col(f"_q{a}") for a in range(n_actions)]
+    best = F.greatest(*values) if n_actions > 1 else values[0]
+    target = F.col(reward) + F.when(F.col(done) == 1, F.lit(0.0)).otherwise(gamma * best)
+    return rows.withColumn(name, target.cast("double")).drop(*[f"_q{a}" for a in range(n_actions)])
+
+
 def greedy_action(df: DataFrame, q: TreeScore, action: str, n_actions: int, name: str = "best_action",
                   value: str = "best_value") -> DataFrame:
     """Action with the largest Q value; ties go to the lowest action."""
