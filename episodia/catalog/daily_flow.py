@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from episodia.catalog.registry import query
 from episodia.catalog.roles import n8, r6, split_sql
 from episodia.functions import fixed_values as fixed
+from episodia.session import written
 
 ITEMS = [50912, 51006, 51244, 51256, 50862, 50813, 51237]
 UNITS = ["Medical Intensive Care Unit (MICU)", "Emergency Department", "Med/Surg", "Vascular", "Coronary Care Unit (CCU)"]
@@ -29,6 +30,8 @@ def inputs(t):
         F.col("l_orderkey").alias("hadm_id"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("seq"), "l_returnflag",
         F.expr("o_orderdate + make_dt_interval(cast(l_partkey % 9 as int), cast(l_quantity as int))").alias("at"))
+    # seven roles come from these rows, so the join runs once
+    lines = written(lines, "lines")
     line = F.col("l_linenumber")
     supp, part = F.col("l_suppkey"), F.col("l_partkey")
     later = lambda days: F.expr(f"at + make_dt_interval(cast({days} as int))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from episodia.functions.scalars import number_or_null
 from episodia.operators.quality import require_columns
+from episodia.session import durable
 
 
 # --- databases ------------------------------------------------------------------
@@ -43,9 +44,27 @@ def key_ranges(low: int, high: int, step: int) -> list[tuple[int, int]]:
     return [(a, min(a + step, high)) for a in range(low, high, step)]
 
 
+def write_key_ranges(df: DataFrame, key: str, step: int, folder: str) -> list[tuple[int, int]]:
+    """Write ``df`` in folders of ``step`` keys each, in one pass; returns the ranges.
+
+    A range can be read, or written again, on its own.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        df.withColumn("key_range", F.lit(0)).write.mode("overwrite").parquet(folder)
+        return []
+    number = F.floor((F.col(key) - F.lit(low)) / F.lit(step)).cast("long")
+    df.withColumn("key_range", number).write.mode("overwrite").partitionBy("key_range").parquet(folder)
+    return key_ranges(low, high + 1, step)
+
+
 def shared_view(df: DataFrame, name: str) -> DataFrame:
-    """Register an intermediate that several queries read, computed once."""
-    df.cache().createOrReplaceTempView(name)
+    """Register an intermediate that several queries read, computed once.
+
+    It is a checkpoint, which Spark removes when nothing refers to it any more;
+    drop the view to let it go.
+    """
+    durable(df).createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 
@@ -128,14 +147,19 @@ def effect_lookup(effects: DataFrame) -> dict[tuple[str, str], float]:
 
 # --- configuration and plans --------------------------------------------------------
 
-def read_config(path: str) -> dict:
+def read_config(path: str, spark: SparkSession | None = None) -> dict:
     """Parameters from JSON, or from YAML where a parser is installed.
 
+    With a session the file is read by Spark, from any file system it knows.
     Values of keys ending in ``_path`` or ``_dir`` are resolved against the
     folder of the file.
     """
-    where = Path(path).resolve()
-    text = where.read_text()
+    if spark is None:
+        where = Path(path).resolve()
+        text = where.read_text()
+    else:
+        where = PurePosixPath(path)
+        text = spark.read.text(path, wholetext=True).first()[0]
     if where.suffix in (".yml", ".yaml"):
         try:
             import yaml
@@ -149,7 +173,7 @@ def read_config(path: str) -> dict:
         if isinstance(node, dict):
             return {k: resolved(v, k) for k, v in node.items()}
         if isinstance(node, str) and key.endswith(("_path", "_dir")) and "://" not in node:
-            return str(where.parent / node)
+            return f"{path.rpartition('/')[0]}/{node}" if spark is not None else str(where.parent / node)
         return node
 
     return resolved(values)

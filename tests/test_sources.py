@@ -23,6 +23,35 @@ def test_config_paths_are_resolved(tmp_path):
     assert got == {"output": {"data_dir": str(tmp_path / "out"), "url_path": "s3://b/x"}, "n": 3}
 
 
+def test_config_is_read_by_spark(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"data_dir": "out"}))
+    assert IO.read_config(f"file://{tmp_path}/c.json", spark) == {"data_dir": f"file://{tmp_path}/out"}
+
+
+def test_key_ranges_are_written_in_one_pass(spark, tmp_path):
+    folder = f"file://{tmp_path}/r"
+    assert IO.write_key_ranges(spark.range(3, 28), "id", 10, folder) == [(3, 13), (13, 23), (23, 28)]
+    back = spark.read.parquet(folder)
+    assert back.count() == 25 and {r["key_range"]: r["count"] for r in back.groupBy("key_range").count().collect()} == {0: 10, 1: 10, 2: 5}
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from episodia import session
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
 def test_jdbc_reader_is_partitioned(spark):
     assert IO.key_ranges(0, 25, 10) == [(0, 10), (10, 20), (20, 25)]
     # no database here: the reader only holds its options
