@@ -235,11 +235,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc {id_type}, lang_pred string, score double, n_switches long")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """``docs`` without rows that are of no language or of none with at least ``least``.
 
-    A text that no language claims half of is neither of one language nor
-    switched between a few; all other rows come back as they are.
+    A text spread evenly over the languages is none of them; one that switches
+    between two or three stays.  Rows that stay come back as they are.
     """
     rows = predict(docs.select("doc_id", "text"), fit(training_pieces(docs)))
     rejected = rows.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc", F.lit(1).alias("_out")).distinct()
