@@ -55,26 +55,33 @@ def _lines(words: int):
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (distinct keys) with ``rank``: the number of smaller rows.
 
-    Range partitions are sorted each by itself; one sum for each partition is
-    all that is put together.
+    Range partitions are sorted each by itself and numbered; one count for each
+    partition is all that is put together.
     """
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    sorted_ = durable(sorted_)
+    # the number holds the partition above its 33 lowest bits and the row below
+    sorted_ = durable(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_part").orderBy(*keys)
-    return sorted_.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_o") + F.col("_i") - 1).drop("_part", "_i", "_o")
+    offsets = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbered = sorted_.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn("rank", F.col("_o") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_o")
 
 
 def doubled(lines: DataFrame) -> DataFrame:
-    """Ranks of all runs of ``2^level`` lines that occur more than once."""
+    """Ranks of all runs of ``2^level`` lines that occur more than once.
+
+    The order is refined up to the longest opening passage; beyond it runs are
+    compared line by line.
+    """
+    deepest = int(lines.agg(F.max("m")).first()[0] or 1).bit_length() - 1
+
     def named(rows: DataFrame, keys: list[str]) -> DataFrame:
         several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
         return durable(rows.join(ranked(several, keys), keys).select("d", "k", "pos", "rank"))
 
     level, now = 0, named(lines.select("d", "k", "pos", "h"), ["h"])
     all_ = now.withColumn("level", F.lit(0))
-    while not now.isEmpty():
+    while level < deepest and not now.isEmpty():
         ahead = Window.partitionBy("d", "k").orderBy("pos").rangeBetween(1 << level, 1 << level)
         pairs = now.withColumn("next", F.max("rank").over(ahead)).filter("next is not null").withColumnRenamed("rank", "own")
         level += 1
