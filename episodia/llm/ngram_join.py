@@ -36,7 +36,9 @@ WIDTH, PERCENT = 4, 85
 #: one in so many members is looked at beyond the shortest prefix
 EXTRA = 12
 MINHASHES = 3
-BUCKET_POSTINGS, BLOCK = 1_000_000, 1000
+BUCKET_POSTINGS = 1_000_000
+#: a block holds about so many sets and so many of their members at most
+BLOCK, BLOCK_MEMBERS = 1000, 400_000
 
 
 def needed(n):
@@ -236,6 +238,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), _lists(sets), pa.array(mins, pa.list_(pa.int64()))], ["c", "n", "hashes", "mins"])
 
 
+def _blocks(n) -> Column:
+    """Blocks that rows with sets of ``n`` members are dealt to."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(n) / BLOCK_MEMBERS))
+
+
 def _buckets(total: int) -> int:
     return 1 << max(5, int(np.ceil(np.log2(max(total, 1) / BUCKET_POSTINGS + 1))))
 
@@ -254,20 +261,21 @@ def classes_and_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     left = durable(with_partners(profile))
     classes = left.groupBy("n", "f1", "f2").agg(F.min_by(F.struct("u", "k"), "u").alias("x")).select("n", F.col("x.u").alias("c"), F.col("x.k").alias("k"))
     text = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("text").cast("binary").alias("text"))
-    # one row per class and copy of that very row; equal rows give equal sets
-    sets = text.join(classes, "k").mapInArrow(_full_sets, "c long, n long, hashes array<long>, mins array<long>")
-    sets = written(sets.dropDuplicates(["c"]), "sets")
-    postings = sets.select("c", "n", F.explode("hashes").alias("h"))
-    common = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = postings.join(common, "h").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))  # at most one set's members
+    # rows equal in id and text are one; the join has dealt them by that key
+    chosen = text.join(classes, "k").dropDuplicates(["k"]).select("c", "n", "text")
+    sets = written(chosen.mapInArrow(_full_sets, "c long, n long, hashes array<long>, mins array<long>"), "sets")
+    postings = sets.select("c", F.explode("hashes").alias("h"))
+    common = postings.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1")
+    ranked = postings.join(common, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("l"))  # at most one set's members
+    ranked = ranked.join(sets.select("c", "n"), "c")
     n, s = F.col("n"), F.size("l")
     keep = n - _needed(n) + _extra(n) - (n - s)  # members that occur nowhere else come first
     near = durable(ranked.filter((s >= _needed(n)) & (keep > 0)).select("c", "n", F.transform(F.slice("l", F.lit(1), keep.cast("int")), lambda x: x["h"]).alias("prefix")))
     near_sets = written(sets.join(near.select("c"), "c", "left_semi"), "near")
     # blocks of sets with an equal minimum hash; large ones are cut
-    keys = near_sets.select("c", F.posexplode("mins").alias("round", "key"))
-    many = keys.groupBy("round", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    dealt = keys.join(many, ["round", "key"]).select("c", F.xxhash64("round", "key", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / BLOCK))).alias("block"))
+    keys = near_sets.select("c", "n", F.posexplode("mins").alias("round", "key"))
+    many = keys.groupBy("round", "key").agg(F.count(F.lit(1)).alias("m"), _blocks("n").alias("cut")).filter("m > 1")
+    dealt = keys.join(many, ["round", "key"]).select("c", F.xxhash64("round", "key", F.pmod(F.xxhash64("c"), "cut")).alias("block"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
     bucket = F.pmod(F.xxhash64("block", F.lit(1)), F.lit(parts))
     edges = durable(dealt.join(near_sets.select("c", "hashes"), "c").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_within, "a long, b long"))
@@ -277,11 +285,11 @@ def classes_and_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     lists = comp.select("c", "comp", F.explode("prefix").alias("h"))
     several = lists.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("c").alias("low")).filter("x <> y").select("h", "low")
     families = components(lists.join(several, "h").select(F.col("c").alias("a"), F.col("low").alias("b")).unionByName(comp.filter("c <> comp").select(F.col("c").alias("a"), F.col("comp").alias("b"))))
-    placed = durable(comp.select("c", "comp").join(families.select(F.col("node").alias("c"), F.col("root").alias("family")), "c"))
-    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(
-        F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("largest")).filter("comps > 1")
+    placed = durable(comp.select("c", "n", "comp").join(families.select(F.col("node").alias("c"), F.col("root").alias("family")), "c"))
+    sizes = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).groupBy("family").agg(
+        F.ceil(F.greatest(F.sum("m") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).alias("cut"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("largest")).filter("comps > 1")
     placed = placed.join(sizes, "family")
-    cut = F.ceil(F.col("m") / BLOCK)
+    cut = F.col("cut")
     members = placed.select("c", "comp", F.lit(0).alias("role"), F.xxhash64("family", F.pmod(F.xxhash64("c"), cut)).alias("block"))
     # what is outside the largest component of its family is searched in all its blocks
     queries = placed.filter("comp <> largest").select("c", "comp", F.lit(1).alias("role"), "family", F.explode(F.sequence(F.lit(0).cast("long"), (cut - 1).cast("long"))).alias("part"))
