@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodia.llm.words import text_parts
-from episodia.session import durable, written
+from episodia.session import written
 
 #: a run is a passage, and deleted where it comes again, from so many words on
 PASSAGE_WORDS = 50
@@ -59,7 +59,7 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     partition is all that is put together.
     """
     # the number holds the partition above its 33 lowest bits and the row below
-    sorted_ = durable(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    sorted_ = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("_id", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
@@ -77,7 +77,8 @@ def doubled(lines: DataFrame) -> DataFrame:
 
     def named(rows: DataFrame, keys: list[str]) -> DataFrame:
         several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        return durable(rows.join(ranked(several, keys), keys).select("d", "k", "pos", "rank"))
+        # a table, not a checkpoint: small parts are read together, so later stages have few tasks
+        return written(rows.join(ranked(several, keys), keys).select("d", "k", "pos", "rank"), "ranks")
 
     level, now = 0, named(lines.select("d", "k", "pos", "h"), ["h"])
     all_ = now.withColumn("level", F.lit(0))
@@ -98,14 +99,14 @@ def copied_runs(lines: DataFrame) -> DataFrame:
     starts = lines.filter("m > 0").select("d", "k", "pos", "m", level.alias("level")).withColumn("tail", F.col("pos") + F.col("m") - F.expr("shiftleft(1L, level)"))
     first = ranks.withColumnRenamed("rank", "ra")
     second = ranks.select("d", "k", "level", F.col("pos").alias("tail"), F.col("rank").alias("rb"))
-    opened = durable(starts.join(first, ["d", "k", "level", "pos"]).join(second, ["d", "k", "level", "tail"]).select("d", "k", "pos", "m", "ra", "rb"))
+    opened = written(starts.join(first, ["d", "k", "level", "pos"]).join(second, ["d", "k", "level", "tail"]).select("d", "k", "pos", "m", "ra", "rb"), "opened")
     interval = opened.groupBy("m", "ra", "rb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "pos", "k")).alias("src")).filter("n > 1").drop("n")
     later = opened.join(interval, ["m", "ra", "rb"]).filter(F.struct("d", "pos", "k") > F.col("src"))
     later = later.select("d", "k", "pos", "m", F.col("src.d").alias("sd"), F.col("src.k").alias("sk"), F.col("src.pos").alias("sp"))
     same = Window.partitionBy("d", "k", "sd", "sk", F.col("sp") - F.col("pos")).orderBy("pos")
     runs = later.withColumn("chain", F.col("pos") - F.row_number().over(same))
     runs = runs.groupBy("d", "k", "sd", "sk", (F.col("sp") - F.col("pos")).alias("shift"), "chain").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("m")).alias("end"))
-    runs = durable(runs.drop("chain"))
+    runs = written(runs.drop("chain"), "runs")
     # what follows the last passage of a run, line by line; a row holds one document's lines
     involved = runs.select("d", "k").union(runs.select(F.col("sd").alias("d"), F.col("sk").alias("k"))).distinct()
     whole = lines.join(involved, ["d", "k"], "left_semi").groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l")).select("d", "k", F.col("l.h").alias("ids"))
