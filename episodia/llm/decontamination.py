@@ -214,11 +214,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     met = ours.join(theirs, ["form", "h"])
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("values").alias("v"), F.col("slots").alias("s")))))
     # one group: the windows of one item along one alignment
-    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.countDistinct("q").alias("m"), F.max("total").alias("total"), pairs.alias("pairs"))
+    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("qs"), F.max("total").alias("total"), pairs.alias("pairs"))
     n = F.size("pairs")
     lines = lines.filter((F.size(F.array_distinct(F.col("pairs.v"))) == n) & (F.size(F.array_distinct(F.col("pairs.s"))) == n))
     same = F.forall("pairs", lambda x: x["v"] == x["s"])
-    best = lines.groupBy("doc", "row", "form").agg((F.least(F.sum("m"), F.max("total")) / F.max("total")).alias("coverage"), F.sum(n).alias("slots"), F.min(same).alias("verbatim"))
+    each = lines.select("doc", "row", "form", "total", n.alias("n"), same.alias("same"), F.posexplode("qs").alias("at", "q"))
+    # an item's window counts once, however often and along whatever alignment it is met
+    each = each.groupBy("doc", "row", "form", "q").agg(F.max("total").alias("total"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"), F.min("same").alias("same"))
+    best = each.groupBy("doc", "row", "form").agg((F.count("q") / F.max("total")).alias("coverage"), F.coalesce(F.sum("n"), F.lit(0)).alias("slots"), F.min("same").alias("verbatim"))
     best = best.filter(F.col("coverage") >= coverage).groupBy("doc", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
     named = best.join(items.select("row", "item"), "row")
     return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")

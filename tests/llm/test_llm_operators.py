@@ -144,6 +144,16 @@ def test_leaks_find_every_benchmark_passage(spark, small):
     assert {(r[0], r[1]) for r in op2_template_windows(spark, small).collect()} == want
 
 
+def test_leaks_count_a_repeated_window_once(spark):
+    from episodia.llm import decontamination as D
+
+    words = [f"w{chr(97 + i)}x" for i in range(16)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    line = "\n".join(" ".join(words[:8] + [f"own{chr(97 + i)}", "thing"]) for i in range(6))  # one of nine windows, six times
+    df = spark.createDataFrame([(1, line), (2, " ".join(words))], "doc_id long, text string")
+    assert [(r["doc_id"], r["coverage"]) for r in D.leaks(df, bench).collect()] == [(2, 1.0)]
+
+
 # mixing
 
 def test_mix_reaches_targets(spark, docs):
