@@ -4,7 +4,8 @@ Numbers, units and names become typed placeholders, so a question whose figures
 or names were exchanged keeps its template.  Windows of eight template tokens are
 hash-joined with those of the benchmark; along one alignment of a document and an
 item the exchanged values must be consistent: each value of the item always turns
-into the same value of the document, and the other way round.
+into the same value of the document.  Where one does not, the unchanged windows
+still count.
 """
 
 from __future__ import annotations
@@ -180,7 +181,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     """Documents that hold an item of the benchmark, verbatim or re-parameterised.
 
     One row for each ``doc_id`` and ``item_id`` with ``coverage`` (part of the
-    item's windows met along consistent alignments; at least the given part),
+    item's windows met along consistent alignments, at least the given part; more
+    than that part where unchanged windows of other alignments are needed),
     ``slots`` (slot values compared) and ``verbatim`` (all of them equal).
     Windows with fewer than four literal words do not count.  An item of
     fewer than eight tokens matches a text that is that item and no more.  Null
@@ -213,16 +215,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
         theirs = F.broadcast(theirs)
     met = ours.join(theirs, ["form", "h"])
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("values").alias("v"), F.col("slots").alias("s")))))
+    kept = F.col("values") == F.col("slots")
     # one group: the windows of one item along one alignment
-    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("qs"), F.max("total").alias("total"), pairs.alias("pairs"))
-    n = F.size("pairs")
-    lines = lines.filter((F.size(F.array_distinct(F.col("pairs.v"))) == n) & (F.size(F.array_distinct(F.col("pairs.s"))) == n))
+    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set(F.struct("q", kept.alias("kept"))).alias("met"), F.max("total").alias("total"), pairs.alias("pairs"))
+    # each value of the item turns into one value of the document; two may turn into the same
+    fits = F.size(F.array_distinct(F.col("pairs.v"))) == F.size("pairs")
     same = F.forall("pairs", lambda x: x["v"] == x["s"])
-    each = lines.select("doc", "row", "form", "total", n.alias("n"), same.alias("same"), F.posexplode("qs").alias("at", "q"))
+    lines = lines.select("doc", "row", "form", "total", "met", F.size("pairs").alias("n"), same.alias("same"), fits.alias("fits"))
+    # where a value turns into several, only unchanged windows are met
+    each = lines.withColumn("met", F.filter("met", lambda x: F.col("fits") | x["kept"])).select("*", F.posexplode("met").alias("at", "window")).withColumn("q", F.col("window.q"))
     # an item's window counts once, however often and along whatever alignment it is met
-    each = each.groupBy("doc", "row", "form", "q").agg(F.max("total").alias("total"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"), F.min("same").alias("same"))
-    best = each.groupBy("doc", "row", "form").agg((F.count("q") / F.max("total")).alias("coverage"), F.coalesce(F.sum("n"), F.lit(0)).alias("slots"), F.min("same").alias("verbatim"))
-    best = best.filter(F.col("coverage") >= coverage).groupBy("doc", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
+    one = F.when(F.col("at") == 0, F.col("n"))
+    each = each.groupBy("doc", "row", "form", "q").agg(
+        F.max("total").alias("total"), F.max("fits").alias("fits"), F.sum(F.when(F.col("fits"), one)).alias("n"), F.sum(one).alias("n_all"), F.min(F.when(F.col("fits"), F.col("same"))).alias("same"))
+    best = each.groupBy("doc", "row", "form").agg(
+        (F.count_if("fits") / F.max("total")).alias("whole"), (F.count("q") / F.max("total")).alias("coverage"), F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.min("same").alias("same"))
+    whole = F.col("whole") >= coverage
+    best = best.filter(whole | (F.col("coverage") > coverage)).withColumns({"slots": F.coalesce(F.when(whole, F.col("n")).otherwise(F.col("n_all")), F.lit(0)), "verbatim": whole & F.col("same")})
+    best = best.groupBy("doc", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
     named = best.join(items.select("row", "item"), "row")
     return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")
 

@@ -154,6 +154,18 @@ def test_leaks_count_a_repeated_window_once(spark):
     assert [(r["doc_id"], r["coverage"]) for r in D.leaks(df, bench).collect()] == [(2, 1.0)]
 
 
+def test_leaks_with_equal_or_half_changed_values(spark):
+    from episodia.llm import decontamination as D
+
+    text = "the farmer carried {} apples and then {} pears over to the market where nobody wanted any of them today"
+    tail = " while the old baker with {} loaves watched from a window across the square and did not say one word about it"
+    bench = spark.createDataFrame([(1, text.format(3, 5)), (2, tail.format(12) + text.format(12, 9))], "item_id long, text string")
+    rows = [(1, text.format(4, 4)), (2, tail.format(12) + text.format(13, 9))]
+    got = {(r["doc_id"], r["item_id"]): r for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert (1, 1) in got and got[1, 1]["coverage"] == 1.0  # 3 and 5 both turn into 4
+    assert (2, 2) in got and not got[2, 2]["verbatim"]  # one of two 12 became 13
+
+
 # mixing
 
 def test_mix_reaches_targets(spark, docs):
