@@ -15,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodia.llm.words import U64, WordTable, mixed, text_parts, word_codes
 from episodia.session import durable
 
 WIDTH = 8
-#: a window needs so many literal words, and a document this part of an item's windows
+#: a window with fewer literal words is compared by its values; a document needs this part of an item's windows
 LITERALS, COVERAGE = 4, 0.5
+#: or a passage of so many tokens, met window by window
+PASSAGE = 50
 #: bits of the filter that tasks get: 16 for each benchmark window, within these bounds
 FILTER_BITS = (1 << 16, 1 << 27)
 #: benchmark windows up to this number are sent to all executors; more are shuffled
@@ -76,10 +78,11 @@ def word_kinds(words: list[bytes]) -> np.ndarray:
 
 
 class Templates:
-    """Template tokens of several texts at once, in one of two forms.
+    """Template tokens of several texts at once, in one of three forms.
 
-    With ``names``, a run of capitalised words inside a sentence is one name
-    slot; without, such words are literal (for texts in changed case).
+    In form 0 capitalised words are literal (for texts in changed case); in form
+    1 a run of them inside a sentence is one name slot; in form 2 also one that
+    opens a sentence.
     """
 
     def __init__(self, texts: list[bytes | None], table: WordTable):
@@ -91,53 +94,70 @@ class Templates:
         self.kind = flag & 3
         first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]])[:len(self.doc)]
         opens = first | np.concatenate([[True], (flag[:-1] & STOP) > 0])[:len(self.doc)]
-        self.name = ((flag & CAPITAL) > 0) & ~opens & (self.kind == LITERAL_)
+        self.capital = ((flag & CAPITAL) > 0) & (self.kind == LITERAL_)
+        self.opens = opens
         table.trim()
 
-    def windows(self, names: bool):
-        """(document, window number in it, hash) and what :meth:`slots` needs."""
+    def windows(self, form: int, short: list[int] | None = None):
+        """(document, window number in it, hash, by value, token, width) of each window.
+
+        Windows are ``WIDTH`` tokens wide.  A shorter text is one window; with
+        ``short``, windows of these widths are taken from every text instead.
+        """
         use = self.kind != NOTHING_
-        doc, value, kind = self.doc[use], self.value[use], self.kind[use]
-        name = self.name[use] if names else np.zeros(len(doc), bool)
-        if names and name.any():
-            go_on = np.concatenate([[False], name[1:] & name[:-1] & (doc[1:] == doc[:-1])])[:len(doc)]
+        doc, value, kind, opens = self.doc[use], self.value[use], self.kind[use], self.opens[use]
+        name = np.zeros(len(doc), bool) if form == 0 else self.capital[use] & (~opens | (form == 2))
+        if name.any():
+            go_on = np.concatenate([[False], name[1:] & name[:-1] & ~opens[1:] & (doc[1:] == doc[:-1])])[:len(doc)]
             start = np.flatnonzero(~go_on)
             with np.errstate(over="ignore"):
                 value = np.add.reduceat(mixed(value), start) if len(start) else value
             doc, kind, name = doc[start], kind[start], name[start]
         token = mixed(value)
+        by_value = token.copy()
         token[kind == NUMBER_], token[kind == UNIT_], token[name] = NUM, UNIT, NAME
         slot = (kind != LITERAL_) | name
         n = np.bincount(doc, minlength=int(doc[-1]) + 1 if len(doc) else 0)
         begin = np.concatenate([[0], np.cumsum(n)])[:-1]
         place = np.arange(len(doc)) - begin[doc] if len(doc) else np.empty(0, np.int64)
-        width = np.minimum(n, WIDTH)[doc] if len(doc) else np.empty(0, np.int64)
-        full = place + width <= n[doc] if len(doc) else np.empty(0, bool)
-        at = np.flatnonzero(full)
-        with np.errstate(over="ignore"):
-            h = np.full(len(at), U64(0xA0761D6478BD642F if names else 0xE7037ED1A0B428DB), U64) * (width[at].astype(U64) + U64(1))
-            literal = np.zeros(len(at), np.int64)
-            for i in range(WIDTH):
-                on = i < width[at]
-                j = np.minimum(at + i, max(len(doc) - 1, 0))
-                h = np.where(on, h * U64(0xD1342543DE82EF95) + mixed(token[j] + U64(i)), h)
-                literal += on & ~slot[j]
-        good = literal >= np.minimum(LITERALS, width[at])
-        self._values, self._slot, self._width = value, slot, width
-        at, h = at[good], mixed(h[good])
-        return doc[at], place[at], h, at
-
-    def slots(self, at: int) -> list[int]:
-        """Values in the slots of the window that starts at token ``at``."""
-        part = slice(at, at + int(self._width[at]))
+        left = n[doc] - place if len(doc) else np.empty(0, np.int64)
+        if short is None:
+            width = np.minimum(n, WIDTH)[doc] if len(doc) else np.empty(0, np.int64)
+            at = np.flatnonzero(width <= left)
+            width = width[at]
+        else:
+            some = [np.flatnonzero(left >= w) for w in (*short, WIDTH)]
+            at, width = np.concatenate(some), np.repeat([*short, WIDTH], [len(x) for x in some])
+        filled = np.concatenate([[0], np.cumsum(~slot)])
+        low = filled[at + width] - filled[at] < np.minimum(LITERALS, width)
+        h = np.empty(len(at), U64)
+        for some, tokens, salt in ((~low, token, (0xE7037ED1A0B428DB, 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3)[form]), (low, by_value, (0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)[form])):
+            where, wide = at[some], width[some]
+            with np.errstate(over="ignore"):
+                x = np.full(len(where), U64(salt), U64) * (wide.astype(U64) + U64(1))
+                for i in range(WIDTH):
+                    on = i < wide
+                    j = np.minimum(where + i, max(len(doc) - 1, 0))
+                    x = np.where(on, x * U64(0xD1342543DE82EF95) + mixed(tokens[j] + U64(i)), x)
+            h[some] = mixed(x)
+        self._values, self._slot = value, slot
+        return doc[at], place[at], h, low, at, width
+
+    def slots(self, at: int, width: int) -> list[int]:
+        """Values in the slots of the window of ``width`` tokens from token ``at``."""
+        part = slice(at, at + width)
         return self._values[part][self._slot[part]].view(np.int64).tolist()
 
 
-OUT = pa.schema([("row", pa.int64()), ("form", pa.int32()), ("p", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64())), ("total", pa.int64())])
+FORMS = (0, 1, 2)
+OUT = pa.schema([("row", pa.int64()), ("form", pa.int32()), ("p", pa.int64()), ("h", pa.int64()), ("low", pa.bool_()), ("width", pa.int32()), ("slots", pa.list_(pa.int64()))])
 
 
-def _window_rows(bits: np.ndarray | None):
-    """Windows of each text, all of them or those that may be in the filter."""
+def _window_rows(bits: np.ndarray | None, short: dict[int, list[int]] | None = None):
+    """Windows of each text, all of them or those that may be in the filter.
+
+    ``short`` has the widths below ``WIDTH`` of each form to look for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(word_kinds)
@@ -146,22 +166,23 @@ def _window_rows(bits: np.ndarray | None):
             for batch in text_parts(whole):
                 ids = np.asarray(batch.column("row"))
                 templates = Templates(batch.column("text").to_pylist(), table)
-                for form in (0, 1):
-                    doc, place, h, at = templates.windows(form == 1)
-                    total = np.bincount(doc, minlength=len(ids))
+                for form in FORMS:
+                    doc, place, h, low, at, width = templates.windows(form, None if short is None else short.get(form, []))
                     if bits is not None:
                         keep = np.ones(len(h), bool)
                         for probe in (h & size, (h >> U64(32)) & size):
                             keep &= (bits[(probe >> U64(6)).astype(np.int64)] >> (probe & U64(63))) & U64(1) > 0
-                        doc, place, h, at = doc[keep], place[keep], h[keep], at[keep]
+                        doc, place, h, low, at, width = doc[keep], place[keep], h[keep], low[keep], at[keep], width[keep]
+                    # windows compared by value have no slots to compare
+                    slots = [[] if v else templates.slots(int(i), int(w)) for v, i, w in zip(low, at, width)]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(ids[doc], pa.int64()), pa.array(np.full(len(h), form), pa.int32()), pa.array(place, pa.int64()), pa.array(h.view(np.int64)),
-                        pa.array([templates.slots(int(i)) for i in at], pa.list_(pa.int64())), pa.array(total[doc], pa.int64())], schema=OUT)
+                        pa.array(low), pa.array(width, pa.int32()), pa.array(slots, pa.list_(pa.int64()))], schema=OUT)
 
     return run
 
 
-SCHEMA = "row long, form int, p long, h long, slots array<long>, total long"
+SCHEMA = "row long, form int, p long, h long, low boolean, width int, slots array<long>"
 
 
 def window_filter(windows: DataFrame, count: int) -> np.ndarray:
@@ -183,9 +204,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     One row for each ``doc_id`` and ``item_id`` with ``coverage`` (part of the
     item's windows met along consistent alignments, at least the given part; more
     than that part where unchanged windows of other alignments are needed),
-    ``slots`` (slot values compared) and ``verbatim`` (all of them equal).
-    Windows with fewer than four literal words do not count.  An item of
-    fewer than eight tokens matches a text that is that item and no more.  Null
+    ``slots`` (slot values compared) and ``verbatim`` (all of them equal).  A
+    passage of ``PASSAGE`` tokens met in one piece suffices, whatever its part.
+    Windows with fewer than four literal words are met by equal values only.  An
+    item of fewer than eight tokens is one window of its own width.  Null
     and empty texts match nothing; equal items are reported once, under the
     smallest id; repeated documents report the same row; empty tables give none.
     """
@@ -196,6 +218,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     theirs = durable(items.select("row", "text").mapInArrow(_window_rows(None), SCHEMA))
     count = theirs.count()
     bits = spark.sparkContext.broadcast(window_filter(theirs, count))
+    short: dict[int, list[int]] = {}
+    for r in theirs.filter(F.col("width") < WIDTH).select("form", "width").distinct().collect():  # at most seven widths in each form
+        short.setdefault(r["form"], []).append(r["width"])
     rows = docs.select(F.col(doc_id).alias("doc"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,33 +230,51 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["row", "text"])
 
         ids: list = []
-        for out in _window_rows(bits.value)(numbered()):
+        for out in _window_rows(bits.value, short)(numbered()):
             yield pa.RecordBatch.from_arrays([ids[-1].take(out.column("row")), *out.columns[1:]], ["doc", *OUT.names[1:]])
             del ids[:-1]
 
-    ours = rows.mapInArrow(run, SCHEMA.replace("row long", f"doc {id_type}")).drop("total")
-    theirs = theirs.select("row", "form", "h", "total", F.col("p").alias("q"), F.col("slots").alias("values"))
+    ours = rows.mapInArrow(run, SCHEMA.replace("row long", f"doc {id_type}")).drop("low", "width")
+    totals = theirs.groupBy("row", "form").agg(F.count_if(~F.col("low")).alias("templates"), F.count(F.lit(1)).alias("total"))
+    theirs = theirs.select("row", "form", "h", "low", F.col("p").alias("q"), F.col("slots").alias("values"))
     if count <= BROADCAST_WINDOWS:
         theirs = F.broadcast(theirs)
     met = ours.join(theirs, ["form", "h"])
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("values").alias("v"), F.col("slots").alias("s")))))
     kept = F.col("values") == F.col("slots")
     # one group: the windows of one item along one alignment
-    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set(F.struct("q", kept.alias("kept"))).alias("met"), F.max("total").alias("total"), pairs.alias("pairs"))
+    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set(F.struct("q", "low", kept.alias("kept"))).alias("met"), pairs.alias("pairs"))
     # each value of the item turns into one value of the document; two may turn into the same
     fits = F.size(F.array_distinct(F.col("pairs.v"))) == F.size("pairs")
     same = F.forall("pairs", lambda x: x["v"] == x["s"])
-    lines = lines.select("doc", "row", "form", "total", "met", F.size("pairs").alias("n"), same.alias("same"), fits.alias("fits"))
+    lines = lines.select("doc", "row", "form", "met", F.size("pairs").alias("n"), same.alias("same"), fits.alias("fits"))
     # where a value turns into several, only unchanged windows are met
-    each = lines.withColumn("met", F.filter("met", lambda x: F.col("fits") | x["kept"])).select("*", F.posexplode("met").alias("at", "window")).withColumn("q", F.col("window.q"))
+    lines = lines.withColumn("met", F.sort_array(F.filter("met", lambda x: F.col("fits") | x["kept"])))
+    none = F.struct(F.lit(-2).cast("long").alias("q"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def grown(so_far, x):
+        run = F.when(x["q"] == so_far["q"] + 1, so_far["run"] + 1).otherwise(1)
+        return F.struct(x["q"].alias("q"), run.alias("run"), F.greatest(so_far["most"], run).alias("most"))
+
+    lines = lines.withColumn("run", F.aggregate("met", none, grown)["most"])
+    each = lines.select("*", F.posexplode("met").alias("at", "window")).withColumns({"q": F.col("window.q"), "low": F.col("window.low")})
     # an item's window counts once, however often and along whatever alignment it is met
     one = F.when(F.col("at") == 0, F.col("n"))
-    each = each.groupBy("doc", "row", "form", "q").agg(
-        F.max("total").alias("total"), F.max("fits").alias("fits"), F.sum(F.when(F.col("fits"), one)).alias("n"), F.sum(one).alias("n_all"), F.min(F.when(F.col("fits"), F.col("same"))).alias("same"))
-    best = each.groupBy("doc", "row", "form").agg(
-        (F.count_if("fits") / F.max("total")).alias("whole"), (F.count("q") / F.max("total")).alias("coverage"), F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.min("same").alias("same"))
+    each = each.groupBy("doc", "row", "form", "q", "low").agg(
+        F.max("fits").alias("fits"), F.sum(F.when(F.col("fits"), one)).alias("n"), F.sum(one).alias("n_all"), F.min(F.when(F.col("fits"), F.col("same"))).alias("same"), F.max("run").alias("run"))
+    template = ~F.col("low")
+    counts = each.groupBy("doc", "row", "form").agg(
+        F.count_if("fits").alias("w_all"), F.count_if(F.col("fits") & template).alias("w_templates"), F.count("q").alias("c_all"), F.count_if(template).alias("c_templates"),
+        F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.min("same").alias("same"), F.max("run").alias("run")).join(totals, ["row", "form"])
+
+    def share(what: str) -> Column:
+        # of the template windows or of all, whichever is larger
+        return F.greatest(F.try_divide(what + "_templates", "templates"), F.try_divide(what + "_all", "total"))
+
+    best = counts.withColumns({"whole": share("w"), "coverage": share("c")})
     whole = F.col("whole") >= coverage
-    best = best.filter(whole | (F.col("coverage") > coverage)).withColumns({"slots": F.coalesce(F.when(whole, F.col("n")).otherwise(F.col("n_all")), F.lit(0)), "verbatim": whole & F.col("same")})
+    best = best.filter(whole | (F.col("coverage") > coverage) | (F.col("run") > PASSAGE - WIDTH))
+    best = best.withColumns({"slots": F.coalesce(F.when(whole, F.col("n")).otherwise(F.col("n_all")), F.lit(0)), "verbatim": whole & F.col("same")})
     best = best.groupBy("doc", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
     named = best.join(items.select("row", "item"), "row")
     return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")

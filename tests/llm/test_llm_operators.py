@@ -166,6 +166,22 @@ def test_leaks_with_equal_or_half_changed_values(spark):
     assert (2, 2) in got and not got[2, 2]["verbatim"]  # one of two 12 became 13
 
 
+def test_leaks_of_short_numeric_long_and_named_items(spark):
+    from episodia.llm import decontamination as D
+
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    long = [f"w{letters(i)}" for i in range(500)]
+    names = "Tom has 5 apples. Tom buys 9 pears. Tom eats 2 plums."
+    items = [(1, "which river crosses the old town?"), (2, "12 45 7 kg 88 3 cm 91 14 62"), (3, " ".join(long)), (4, names), (5, "What is 17 + 25?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    fill = "and now for something that is not in any list at all, namely "
+    rows = [(1, fill + items[0][1] + " nobody knows"), (2, fill + items[1][1] + " as said"), (3, fill + " ".join(long[150:350]) + " " + fill), (4, fill + "this. " + names.replace("Tom", "Eve")), (5, fill + items[4][1]),
+            (6, fill + "12 45 7 kg 88 9 cm 33 14 62"), (7, fill + "What is 18 + 25?"), (8, fill + " ".join(long[150:190])), (9, fill)]
+    got = {(r["doc_id"], r["item_id"]): r for r in D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(i, i) for i in range(1, 6)}
+    assert got[1, 1]["coverage"] == 1.0 and 0.3 < got[3, 3]["coverage"] < 0.5 and not got[4, 4]["verbatim"]
+
+
 # mixing
 
 def test_mix_reaches_targets(spark, docs):
