@@ -198,19 +198,12 @@ def window_filter(windows: DataFrame, count: int) -> np.ndarray:
     return out.view(U64)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
-    """Documents that hold an item of the benchmark, verbatim or re-parameterised.
+def text_key(doc_id: str) -> Column:
+    return F.xxhash64(doc_id, "text")
 
-    One row for each ``doc_id`` and ``item_id`` with ``coverage`` (part of the
-    item's windows met along consistent alignments, at least the given part; more
-    than that part where unchanged windows of other alignments are needed),
-    ``slots`` (slot values compared) and ``verbatim`` (all of them equal).  A
-    passage of ``PASSAGE`` tokens met in one piece suffices, whatever its part.
-    Windows with fewer than four literal words are met by equal values only.  An
-    item of fewer than eight tokens is one window of its own width.  Null
-    and empty texts match nothing; equal items are reported once, under the
-    smallest id; repeated documents report the same row; empty tables give none.
-    """
+
+def _text_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+    """The rows of :func:`leaks` for each text of an id, with ``_key``, a hash of both."""
     spark = docs.sparkSession
     id_type, item_type = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     items = benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min(item_id).alias("item"))
@@ -221,20 +214,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     short: dict[int, list[int]] = {}
     for r in theirs.filter(F.col("width") < WIDTH).select("form", "width").distinct().collect():  # at most seven widths in each form
         short.setdefault(r["form"], []).append(r["width"])
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc"), text_key(doc_id).alias("key"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbered():
             for batch in batches:
-                ids.append(batch.column("doc"))
+                ids.append((batch.column("doc"), batch.column("key")))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["row", "text"])
 
         ids: list = []
         for out in _window_rows(bits.value, short)(numbered()):
-            yield pa.RecordBatch.from_arrays([ids[-1].take(out.column("row")), *out.columns[1:]], ["doc", *OUT.names[1:]])
+            yield pa.RecordBatch.from_arrays([*[x.take(out.column("row")) for x in ids[-1]], *out.columns[1:]], ["doc", "key", *OUT.names[1:]])
             del ids[:-1]
 
-    ours = rows.mapInArrow(run, SCHEMA.replace("row long", f"doc {id_type}")).drop("low", "width")
+    ours = rows.mapInArrow(run, SCHEMA.replace("row long", f"doc {id_type}, key long")).drop("low", "width")
     totals = theirs.groupBy("row", "form").agg(F.count_if(~F.col("low")).alias("templates"), F.count(F.lit(1)).alias("total"))
     theirs = theirs.select("row", "form", "h", "low", F.col("p").alias("q"), F.col("slots").alias("values"))
     if count <= BROADCAST_WINDOWS:
@@ -243,11 +236,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("values").alias("v"), F.col("slots").alias("s")))))
     kept = F.col("values") == F.col("slots")
     # one group: the windows of one item along one alignment
-    lines = met.groupBy("doc", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set(F.struct("q", "low", kept.alias("kept"))).alias("met"), pairs.alias("pairs"))
+    lines = met.groupBy("doc", "key", "row", "form", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_set(F.struct("q", "low", kept.alias("kept"))).alias("met"), pairs.alias("pairs"))
     # each value of the item turns into one value of the document; two may turn into the same
     fits = F.size(F.array_distinct(F.col("pairs.v"))) == F.size("pairs")
     same = F.forall("pairs", lambda x: x["v"] == x["s"])
-    lines = lines.select("doc", "row", "form", "met", F.size("pairs").alias("n"), same.alias("same"), fits.alias("fits"))
+    lines = lines.select("doc", "key", "row", "form", "met", F.size("pairs").alias("n"), same.alias("same"), fits.alias("fits"))
     # where a value turns into several, only unchanged windows are met
     lines = lines.withColumn("met", F.sort_array(F.filter("met", lambda x: F.col("fits") | x["kept"])))
     none = F.struct(F.lit(-2).cast("long").alias("q"), F.lit(0).alias("run"), F.lit(0).alias("most"))
@@ -260,10 +253,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     each = lines.select("*", F.posexplode("met").alias("at", "window")).withColumns({"q": F.col("window.q"), "low": F.col("window.low")})
     # an item's window counts once, however often and along whatever alignment it is met
     one = F.when(F.col("at") == 0, F.col("n"))
-    each = each.groupBy("doc", "row", "form", "q", "low").agg(
+    each = each.groupBy("doc", "key", "row", "form", "q", "low").agg(
         F.max("fits").alias("fits"), F.sum(F.when(F.col("fits"), one)).alias("n"), F.sum(one).alias("n_all"), F.min(F.when(F.col("fits"), F.col("same"))).alias("same"), F.max("run").alias("run"))
     template = ~F.col("low")
-    counts = each.groupBy("doc", "row", "form").agg(
+    counts = each.groupBy("doc", "key", "row", "form").agg(
         F.count_if("fits").alias("w_all"), F.count_if(F.col("fits") & template).alias("w_templates"), F.count("q").alias("c_all"), F.count_if(template).alias("c_templates"),
         F.sum("n").alias("n"), F.sum("n_all").alias("n_all"), F.min("same").alias("same"), F.max("run").alias("run")).join(totals, ["row", "form"])
 
@@ -275,15 +268,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id
     whole = F.col("whole") >= coverage
     best = best.filter(whole | (F.col("coverage") > coverage) | (F.col("run") > PASSAGE - WIDTH))
     best = best.withColumns({"slots": F.coalesce(F.when(whole, F.col("n")).otherwise(F.col("n_all")), F.lit(0)), "verbatim": whole & F.col("same")})
-    best = best.groupBy("doc", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
+    best = best.groupBy("doc", "key", "row").agg(F.max("coverage").alias("coverage"), F.max("slots").cast("long").alias("slots"), F.max("verbatim").alias("verbatim"))
     named = best.join(items.select("row", "item"), "row")
-    return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")
+    return named.select(F.col("doc").cast(id_type).alias("doc_id"), F.col("key").alias("_key"), F.col("item").cast(item_type).alias("item_id"), "coverage", "slots", "verbatim")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
+    """Documents that hold an item of the benchmark, verbatim or re-parameterised.
+
+    One row for each ``doc_id`` and ``item_id`` with ``coverage`` (part of the
+    item's windows met along consistent alignments, at least the given part; more
+    than that part where unchanged windows of other alignments are needed),
+    ``slots`` (slot values compared) and ``verbatim`` (all of them equal).  A
+    passage of ``PASSAGE`` tokens met in one piece suffices, whatever its part.
+    Windows with fewer than four literal words are met by equal values only.  An
+    item of fewer than eight tokens is one window of its own width.  Null
+    and empty texts match nothing; equal items are reported once, under the
+    smallest id; repeated documents report the same row; empty tables give none.
+    """
+    found = _text_leaks(docs, benchmark, doc_id, item_id, coverage).groupBy("doc_id", "item_id")
+    return found.agg(F.max("coverage").alias("coverage"), F.max("slots").alias("slots"), F.max("verbatim").alias("verbatim"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents in which an item of the benchmark is found."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
+    """``docs`` without the documents in which an item of the benchmark is found.
+
+    Rows that share an id with such a document but not its text stay.
+    """
+    found = _text_leaks(docs, benchmark).select("_key").distinct()
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == found["_key"], "left_anti")
 
 
 def op2_template_windows(spark, sf_dir: str) -> DataFrame:

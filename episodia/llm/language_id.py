@@ -235,15 +235,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"doc {id_type}, lang_pred string, score double, n_switches long")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without rows that are of no language or of none with at least ``least``.
 
-    A text spread evenly over the languages is none of them; one that switches
-    between two or three stays.  Rows that stay come back as they are.
+    A text spread evenly over four or more languages is none of them; one that
+    switches between two or three stays.  The decision is one for each id and
+    text, so rows that share an id alone do not fall together.  Rows that stay
+    come back as they are.
     """
-    rows = predict(docs.select("doc_id", "text"), fit(training_pieces(docs)))
-    rejected = rows.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc", F.lit(1).alias("_out")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc"]), "left_anti")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
+    rows = predict(keyed, fit(training_pieces(docs)), "_key")
+    rejected = rows.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc").alias("_out")).distinct()
+    return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == rejected["_out"], "left_anti")
 
 
 def identify(docs: DataFrame) -> DataFrame:

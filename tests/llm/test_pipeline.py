@@ -39,3 +39,25 @@ def test_run_on_awkward_rows(spark, small, tmp_path):
     spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     rows = C.run(spark, f"file://{tmp_path}").collect()
     assert rows and all(r["n_tokens"] >= 1 for r in rows)
+
+
+def test_stages_reject_texts_not_ids(spark, monkeypatch):
+    from episodia.llm import decontamination as D
+    from episodia.llm import language_id as L
+
+    item = "the small brown dog ran across the wide green field to fetch his ball"
+    good, other = "a text in plain words about the weather of the day", "some more plain words about the sea and its boats"
+    rows = [(None, good, "en"), (None, "", "en"), (None, None, "en"), (7, good, "en"), (7, "12 !!", "en"), (7, item, "en"), (None, item, "en"), (None, other, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(L, "fit", lambda pieces: L.Model(["a", "b"], *[L.np.zeros(s, L.np.float32) for s in ((1 << L.BITS, 2), (2, 2), 2)]))
+    kept = sorted(((r[0], r[1]) for r in L.keep_identified(df).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(None, good), (7, good), (7, item), (None, item), (None, other)], key=str)
+    left = sorted(((r[0], r[1]) for r in D.drop_leaks(df, bench).select("doc_id", "text").collect()), key=str)
+    assert left == sorted([(d, t) for d, t, _ in rows if t != item], key=str)
+    # halves of an item in two texts of one id are no leak, and three even languages stay
+    words = item.split()
+    halves = spark.createDataFrame([(5, " ".join(words[:9])), (5, " ".join(words[5:]))], "doc_id long, text string")
+    assert {r["coverage"] for r in D.leaks(halves, bench, coverage=0.25).collect()} == {2 / 7}
+    monkeypatch.setattr(L, "fit", lambda pieces: L.Model(["a", "b", "c"], *[L.np.zeros(s, L.np.float32) for s in ((1 << L.BITS, 3), (3, 3), 3)]))
+    assert L.keep_identified(df).count() == 5
