@@ -132,6 +132,9 @@ class Encoder:
             code, words = "utf-8", []
             if t:
                 try:
+                    # special tokens are found in their own case only
+                    if b"<|" in t:
+                        raise UnicodeError
                     words = LONE_MARK.sub(r" \1", t.decode("utf-8").lower()).encode("latin-1").split()
                     code = "latin-1"
                 except UnicodeError:

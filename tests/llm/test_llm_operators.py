@@ -419,6 +419,17 @@ def test_token_frames_are_plain_zstandard_and_checked(spark, tmp_path):
         list(K.read_frames(store, path))
 
 
+def test_special_tokens_are_found_in_their_own_case_only():
+    from tokenizers import Tokenizer
+
+    from episodia.llm import token_frames as K
+
+    texts = ["One <|EndOfText|> two", "One <|endoftext|> two.", "A<|StartOfText|>b, <|ENDOFTEXT|>", "\u00c9t\u00e9 <| plain |> Done.", "No such mark, None."]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = K.Encoder(VOCABULARY).encode([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # lines
 
 def test_line_runs_equal_brute_force(spark, docs):
