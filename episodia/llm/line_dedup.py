@@ -1,11 +1,13 @@
-"""Line runs repeated across documents, by prefix doubling over line ids.
-
-The corpus is a set of line-id sequences.  Ranks of runs of 1, 2, 4, ... lines,
-in the order of their ids, come from sorting pairs of ranks (prefix doubling);
-suffixes whose run of ``2^k`` lines occurs once are settled and leave.  Two ranks
-that overlap name a run of any length, and equal names form the interval of the
-suffix order with that common prefix: its first place is the original, the others
-are later copies.  Copies that go on along the same original are one maximal run.
+"""Line runs repeated across documents, by names of line windows.
+
+The corpus is a set of line-id sequences.  From each line a passage opens, the
+shortest run with enough words; a run is also followed to every end before the
+next line's passage ends.  These windows are at most two for each line, and every
+run that an earlier place shares is a union of windows that it shares: each line
+opens a passage inside the run, and the last of them goes on to the run's end.
+A window's name is made of the hashes of two runs of ``2^k`` lines that overlap in
+it, which come from doubling.  Of the windows with one name the first is the
+original, the others are later copies.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodia.llm.words import text_parts
+from episodia.llm.words import U64, mixed, text_parts
 from episodia.session import written
 
 #: a run is a passage, and deleted where it comes again, from so many words on
@@ -25,100 +27,70 @@ PASSAGE_WORDS = 50
 LAST = (1 << 63) - 1
 
 
-def _lines(words: int):
-    """Place, line id and lines to the end of the opening passage, for each line."""
+def window_ends(upto: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end (exclusive) of each window of a text with so many words up to each line."""
+    n = len(upto)
+    last = np.searchsorted(upto, np.concatenate([[0], upto[:-1]]) + words)
+    end = last[last < n] + 1
+    many = np.maximum(1, np.concatenate([end[1:], [n + 1]])[:len(end)] - end)
+    start = np.repeat(np.arange(len(end)), many)
+    return start, end[start] + np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def window_names(ids: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the ``length`` ids from ``start`` on, for each window."""
+    level = np.frexp(length.astype(np.float64))[1] - 1
+    out, run = np.empty(len(start), U64), mixed(ids ^ U64(seed))
+    with np.errstate(over="ignore"):
+        for k in range(int(level.max()) + 1 if len(level) else 0):
+            at = np.flatnonzero(level == k)
+            s, n = start[at], length[at]
+            out[at] = mixed(run[s] * U64(0xD1342543DE82EF95) + mixed(run[s + n - (1 << k)] + n.astype(U64)))
+            run = mixed(run[:-(1 << k)] * U64(0x9E3779B97F4A7C15) + mixed(run[1 << k:] + U64(k)))
+    return out
+
+
+def _windows(words: int):
+    """Place, end and name of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for whole in batches:
             for batch in text_parts(whole):
-                place, ids, need, n = [], [], [], []
-                for t in batch.column("text").to_pylist():
+                ids, row, start, end, offset = [], [], [], [], []
+                for i, t in enumerate(batch.column("text").to_pylist()):
                     lines = t.split(b"\n") if t is not None else []
-                    n.append(len(lines))
+                    if not lines:
+                        continue
+                    a, e = window_ends(np.cumsum([len(x.split()) for x in lines]), words)
+                    if not len(a):
+                        continue
+                    row.append(np.full(len(a), i))
+                    offset.append(np.full(len(a), len(ids)))
+                    start.append(a)
+                    end.append(e)
                     ids.extend(xxhash.xxh3_64_intdigest(x.strip()) for x in lines)
-                    upto = np.cumsum([len(x.split()) for x in lines]) if lines else np.empty(0, np.int64)
-                    before = np.concatenate([[0], upto])[:-1]
-                    at = np.arange(len(lines))
-                    end = np.searchsorted(upto, before + words)
-                    need.append(np.where(end < len(lines), end - at + 1, 0))
-                    place.append(at)
-                rows = np.repeat(np.arange(len(n)), n)
+                if not row:
+                    continue
+                row, start, end, offset = (np.concatenate(x).astype(np.int64) for x in (row, start, end, offset))
+                names = [window_names(np.array(ids, U64), offset + start, end - start, seed).view(np.int64) for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("d").take(pa.array(rows)), batch.column("k").take(pa.array(rows)), pa.array(np.concatenate(place).astype(np.int64)),
-                    pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.concatenate(need).astype(np.int64))], ["d", "k", "pos", "h", "m"])
+                    batch.column("d").take(pa.array(row)), batch.column("k").take(pa.array(row)), pa.array(start), pa.array(end), pa.array(names[0]), pa.array(names[1])],
+                    ["d", "k", "pos", "end", "g", "h"])
 
     return run
 
 
-def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` (distinct keys) with ``rank``: the number of smaller rows.
-
-    Range partitions are sorted each by itself and numbered; one count for each
-    partition is all that is put together.
-    """
-    # the number holds the partition above its 33 lowest bits and the row below
-    sorted_ = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftright("_id", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sorted_.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    numbered = sorted_.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return numbered.withColumn("rank", F.col("_o") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_id", "_o")
-
-
-def doubled(lines: DataFrame) -> DataFrame:
-    """Ranks of all runs of ``2^level`` lines that occur more than once.
-
-    The order is refined up to the longest opening passage; beyond it runs are
-    compared line by line.
-    """
-    deepest = int(lines.agg(F.max("m")).first()[0] or 1).bit_length() - 1
-
-    def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-        several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        # a table, not a checkpoint: small parts are read together, so later stages have few tasks
-        return written(rows.join(ranked(several, keys), keys).select("d", "k", "pos", "rank"), "ranks")
-
-    level, now = 0, named(lines.select("d", "k", "pos", "h"), ["h"])
-    all_ = now.withColumn("level", F.lit(0))
-    while level < deepest and not now.isEmpty():
-        ahead = Window.partitionBy("d", "k").orderBy("pos").rangeBetween(1 << level, 1 << level)
-        pairs = now.withColumn("next", F.max("rank").over(ahead)).filter("next is not null").withColumnRenamed("rank", "own")
-        level += 1
-        now = named(pairs, ["own", "next"])
-        all_ = all_.unionByName(now.withColumn("level", F.lit(level)))
-    return all_
-
-
-def copied_runs(lines: DataFrame) -> DataFrame:
-    """Later copies of passages: ``d``, ``k`` and the lines ``start`` to ``end`` (exclusive)."""
-    ranks = doubled(lines)
-    level = F.floor(F.log2(F.col("m").cast("double")) + 1e-9).cast("int")
-    # level of the longest power of two within the opening passage
-    starts = lines.filter("m > 0").select("d", "k", "pos", "m", level.alias("level")).withColumn("tail", F.col("pos") + F.col("m") - F.expr("shiftleft(1L, level)"))
-    first = ranks.withColumnRenamed("rank", "ra")
-    second = ranks.select("d", "k", "level", F.col("pos").alias("tail"), F.col("rank").alias("rb"))
-    opened = written(starts.join(first, ["d", "k", "level", "pos"]).join(second, ["d", "k", "level", "tail"]).select("d", "k", "pos", "m", "ra", "rb"), "opened")
-    interval = opened.groupBy("m", "ra", "rb").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "pos", "k")).alias("src")).filter("n > 1").drop("n")
-    later = opened.join(interval, ["m", "ra", "rb"]).filter(F.struct("d", "pos", "k") > F.col("src"))
-    later = later.select("d", "k", "pos", "m", F.col("src.d").alias("sd"), F.col("src.k").alias("sk"), F.col("src.pos").alias("sp"))
-    same = Window.partitionBy("d", "k", "sd", "sk", F.col("sp") - F.col("pos")).orderBy("pos")
-    runs = later.withColumn("chain", F.col("pos") - F.row_number().over(same))
-    runs = runs.groupBy("d", "k", "sd", "sk", (F.col("sp") - F.col("pos")).alias("shift"), "chain").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("m")).alias("end"))
-    runs = written(runs.drop("chain"), "runs")
-    # what follows the last passage of a run, line by line; a row holds one document's lines
-    involved = runs.select("d", "k").union(runs.select(F.col("sd").alias("d"), F.col("sk").alias("k"))).distinct()
-    whole = lines.join(involved, ["d", "k"], "left_semi").groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("l")).select("d", "k", F.col("l.h").alias("ids"))
-    source = whole.select(F.col("d").alias("sd"), F.col("k").alias("sk"), F.col("ids").alias("theirs"))
-    both = runs.join(whole, ["d", "k"]).join(source, ["sd", "sk"])
-
-    def rest(ids: str, at: Column) -> Column:
-        return F.slice(ids, (at + 1).cast("int"), F.greatest(F.size(ids) - at, F.lit(0)).cast("int"))
-
-    differ = F.zip_with(rest("ids", F.col("end")), rest("theirs", F.col("end") + F.col("shift")), lambda x, y: ~x.eqNullSafe(y))
-    more = F.when(F.array_contains(differ, True), F.array_position(differ, True) - 1).otherwise(F.size(differ))
-    return both.select("d", "k", "start", (F.col("end") + more).alias("end"))
+def copied_runs(windows: DataFrame) -> DataFrame:
+    """Runs with an earlier occurrence: ``k`` and the lines ``start`` to ``end`` (exclusive), apart from each other."""
+    place = F.struct("d", "pos", "k")
+    first = windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("src")).filter("n > 1").drop("n")
+    later = windows.join(first, ["g", "h"]).filter(place > F.col("src")).groupBy("k", "pos").agg(F.max("end").alias("end"))
+    lines = Window.partitionBy("k").orderBy("pos")
+    apart = F.col("pos") > F.max("end").over(lines.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(lines.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("k", "_run").agg(F.min("pos").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
@@ -127,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are compared without white space at their ends.  Of a passage (the
     shortest run of lines from a line on with that many words) the occurrence
     first in order of id and line stays; a later one is deleted together with
-    all lines that go on like the first.  All columns return, with the text
+    all lines that go on like any earlier one.  All columns return, with the text
     shortened, and ``_lines``, a struct of ``n`` and ``deleted``.  Null text stays
     null with no lines; a text deleted whole becomes empty.  Rows equal in id and
     text are one document and get the same result; null ids come last.  An
@@ -135,8 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     d, k = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(id_col, text_col)
     rows = docs.select(d.alias("d"), k.alias("k"), F.col(text_col).cast("binary").alias("text"))
-    lines = written(rows.mapInArrow(_lines(words), "d long, k long, pos long, h long, m long").dropDuplicates(["d", "k", "pos"]), "lines")
-    gone = copied_runs(lines).groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
+    windows = written(rows.mapInArrow(_windows(words), "d long, k long, pos long, end long, g long, h long"), "windows")
+    gone = copied_runs(windows).groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text_col].alias("_text"), k.alias("_k"))
     joined = packed.join(gone, "_k", "left")
     parts = F.split("_text", "\n", -1)

@@ -453,6 +453,39 @@ def test_line_runs_equal_brute_force(spark, docs):
     assert dedup_lines(empty(df)).count() == 0
 
 
+def runs_like_any_earlier(rows, least=50):
+    """Deleted lines of each row (distinct ids) when all earlier occurrences are compared."""
+    lines = [[x.strip() for x in t.split("\n")] for _, t in sorted(rows)]
+    where, gone = defaultdict(list), [set() for _ in lines]
+    for i, l in enumerate(lines):
+        for p in range(len(l)):
+            e = next((e for e in range(p + 1, len(l) + 1) if sum(len(x.split()) for x in l[p:e]) >= least), None)
+            if e is not None:
+                for j, q in where[tuple(l[p:e])]:
+                    n = e - p
+                    while p + n < len(l) and q + n < len(lines[j]) and l[p + n] == lines[j][q + n]:
+                        n += 1
+                    gone[i].update(range(p, p + n))
+                where[tuple(l[p:e])].append((i, p))
+    return {r[0]: len(g) for r, g in zip(sorted(rows), gone)}
+
+
+def test_line_runs_go_on_like_any_earlier_text(spark):
+    from episodia.llm.line_dedup import dedup_lines
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 10), ("c", 10)))
+    rows = [(1, f"{a}\n{c}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}")]
+    got = {r["doc_id"]: (r["text"], r["deleted"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "_lines.*").collect()}
+    assert got == {1: (rows[0][1], 0), 2: (b, 1), 3: ("", 2)}
+
+    rng = random.Random(11)
+    bank = [" ".join(f"l{j}w{k}" for k in range(rng.choice([0, 1, 3, 12, 30, 55, 70]))) for j in range(12)]
+    rows = [(i, "\n".join(rng.choice(bank[:rng.choice([2, 5, 12])]) for _ in range(rng.randrange(1, 40)))) for i in range(150)]
+    got = {r["doc_id"]: r["deleted"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "_lines.*").collect()}
+    want = runs_like_any_earlier(rows)
+    assert got == want and got != {d: T.kept_lines(rows)[d, t][1] for d, t in rows}
+
+
 # pieces
 
 def test_components_of_random_graphs(spark):
