@@ -167,7 +167,7 @@ def stability_selection(t):
     from episodia.operators.aggregates import episode_summary
     from episodia.operators.graphs import stability
     e = episode_summary(panel(t), ["user_id"], ["bin"], first=STATES, delta=STATES, fraction=ACTIONS)
-    runs = M.stability_runs(e, "user_id", [f"frac_{a}" for a in ACTIONS], [f"delta_{s}" for s in STATES], [f"first_{s}" for s in STATES], 30, 0.6)
+    runs = M.stability_runs(e, "user_id", [f"frac_{a}" for a in ACTIONS], [f"delta_{s}" for s in STATES], [f"first_{s}" for s in STATES], 4000, 0.6)
     return stability(runs, ["drug", "delta"])
 
 
@@ -175,7 +175,7 @@ def stability_selection(t):
 def similar_row_fill(t):
     from episodia.operators.aggregates import fill_gain
     rows = durable(panel(t).select("user_id", "bin", *STATES))
-    return fill_gain(rows, M.imputed_from_similar(rows, STATES, groups=8), STATES)
+    return fill_gain(rows, M.imputed_from_similar(rows, STATES), STATES)
 
 
 @query("least_squares_effect", "M3 A39", with_(EV_SQL, LATE_SQL, PANEL_SQL, select=f"""

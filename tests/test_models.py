@@ -166,3 +166,15 @@ def test_final_features_fill_and_score(spark):
     assert (late.sofa, late.sirs) == (0, 0) and abs(late.pao2_fio2 - 95 / 0.21) < 1e-9 and abs(late.shock_index - 80 / 120) < 1e-9
     # the first bin has only 400 ml in its day so far: three points for the kidney
     assert out.filter("bin = 0").first().sofa == 3
+
+
+def test_registered_runs_and_groups_are_full(spark, small, monkeypatch):
+    from episodia.catalog import load_queries, model_queries
+
+    seen = {}
+    fill = model_queries.M.imputed_from_similar
+    monkeypatch.setattr(model_queries.M, "imputed_from_similar", lambda df, columns, **options: seen.update(options) or fill(df, columns, **options))
+    queries = load_queries()
+    queries["similar_row_fill"].run(spark, small)
+    assert "groups" not in seen  # the operator's own default
+    assert max(r["n_runs_included"] for r in queries["stability_selection"].run(spark, small).collect()) > 30
