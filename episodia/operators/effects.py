@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,67 +142,153 @@ POISSON_STEPS = [
     0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
     0.9999988747974149, 0.9999998885745217,
 ]
-BLOCK = 8
+# steps and multipliers of the 32-bit mixing of resample weights; fixed values
+GOLDEN, MIX_1, MIX_2 = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+#: rows whose weights in all resamples are held at once
+ROWS_AT_ONCE = 2048
+
+
+def row_seed(key: str, seed: int) -> list[Column]:
+    """Two 32-bit numbers, ``_lo`` and ``_hi``, from a hash of the seed and the key."""
+    text = F.sha2(F.concat_ws(":", F.lit("boot"), F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return [F.conv(F.substring(text, at, 8), 16, 10).cast("long").alias(name) for name, at in (("_lo", 1), ("_hi", 9))]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(MIX_1)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(MIX_2)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def poisson_weights(lo: np.ndarray, hi: np.ndarray, runs: int) -> np.ndarray:
+    """Weights of the rows (columns) in the resamples (rows); a first row of ones is the sample itself.
+
+    A weight depends on the row's seed and the resample alone, so a lost task
+    draws the same ones again.
+    """
+    marks = np.array([math.ceil(s * 2**32) for s in POISSON_STEPS], np.uint32)
+    out = np.ones((runs + 1, len(lo)))
+    with np.errstate(over="ignore"):
+        for b in range(runs):
+            u = _mixed(_mixed(lo.astype(np.uint32) + np.uint32(b * GOLDEN & 0xFFFFFFFF)) ^ hi.astype(np.uint32))
+            out[b + 1] = np.searchsorted(marks, u, side="right")
+    return out
+
+
+def resampled_sums(df: DataFrame, key: str, values: Sequence[Column], expand, width: int, runs: int, seed: int) -> DataFrame:
+    """``draw`` and ``s0 .. s{width - 1}``: weighted sums of ``expand(values)`` in each resample; draw -1 is the sample.
+
+    A task multiplies its weights with its rows in blocks and sends one row a
+    resample, however many rows it has.
+    """
+    rows = df.select(*row_seed(key, seed), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    names = [f"s{i}" for i in range(width)]
+
+    def run(batches):
+        total = np.zeros((runs + 1, width))
+        for batch in batches:
+            lo, hi, *cells = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = slice(at, at + ROWS_AT_ONCE)
+                total += poisson_weights(lo[some], hi[some], runs) @ expand(*[c[some] for c in cells])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, runs)), *[pa.array(c) for c in total.T]], ["draw", *names])
+
+    parts = rows.mapInArrow(run, "draw long, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("draw").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_draws(df: DataFrame, key: str, psi: str, runs: int, seed: int) -> DataFrame:
-    """One estimate per resample: ``sum(w * psi) / sum(w)``.
+    """``draw, estimate``: the weighted mean of ``psi`` in each resample; draw -1 is the sample."""
+    rows = df.filter(F.col(psi).isNotNull())
+    sums = resampled_sums(rows, key, [F.col(psi)], lambda v: np.stack([np.ones(len(v)), v], 1), 2, runs, seed)
+    return sums.select("draw", (F.col("s1") / F.nullif(F.col("s0"), F.lit(0.0))).alias("estimate"))
+
+
+def refitted_draws(df: DataFrame, key: str, treatment: str, outcome: str, p: str, confounders: Sequence[str], runs: int = 500, seed: int = 42) -> DataFrame:
+    """``draw, estimate``: the doubly robust effect with an outcome model fitted anew in each resample.
 
-    A row's weight in a resample is a Poisson(1) number made from a hash of
-    (seed, block, key); one hash serves the eight resamples of a block, whose
-    sums are columns of one aggregation.  Each task sends one row per block.
+    The model is linear in the confounders (medians of the sample for missing values) and the
+    treatment.  Its cross products and those of the inverse propensities are sums
+    over rows, so one pass has all that the fits and the estimates of all resamples need.
+    Resamples without a unique fit take the one with the smallest coefficients.
+    Rows without treatment, outcome or propensity are left out.
     """
-    blocks = -(-runs // BLOCK)
-    spread = df.select(
-        F.col(key).alias("_key"), F.col(psi).alias("_psi"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
-    ).withColumn(
-        "_hash", F.sha2(F.concat_ws(":", F.lit("boot"), F.lit(str(seed)), F.col("_block").cast("string"),
-                                    F.col("_key").cast("string")), 256)
+    rows = _valid(df, treatment, outcome).filter(F.col(p).isNotNull())
+    k = len(confounders)
+    fill = rows.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(confounders)]).first() if k else []
+    centre = [float(m or 0.0) for m in fill]
+    features = [F.coalesce(F.col(c).cast("double") - F.lit(m), F.lit(0.0)) for c, m in zip(confounders, centre)]
+    upper = np.triu_indices(k + 2)
+    width = len(upper[0]) + 3 * (k + 2) + 2
+
+    def expand(y, t, q, *x):
+        z = np.stack([np.ones(len(y)), *x, t], 1)
+        bare = z.copy()
+        bare[:, -1] = 0.0
+        on, off = t / q, (1 - t) / (1 - q)
+        return np.concatenate([z[:, upper[0]] * z[:, upper[1]], z * y[:, None], z * on[:, None], bare * off[:, None], (on * y)[:, None], (off * y)[:, None]], 1)
+
+    values = [F.col(outcome), F.col(treatment).cast("int"), clipped(p), *features]
+    sums = resampled_sums(rows, key, values, expand, width, runs, seed)
+
+    def solve(batches):
+        for batch in batches:
+            estimates = []
+            for row in np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(width)], 1) if batch.num_rows else []:
+                n, m = row[0], k + 2
+                gram = np.zeros((m, m))
+                gram[upper] = row[:len(upper[0])]
+                gram = gram + np.triu(gram, 1).T
+                target, on, off = row[len(upper[0]):-2].reshape(3, m)
+                if not n:
+                    estimates.append(None)
+                    continue
+                beta = np.linalg.lstsq(gram, target, rcond=None)[0]
+                estimates.append(float(beta[-1] + (row[-2] - on @ beta - row[-1] + off @ beta) / n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(estimates, pa.float64())], ["draw", "estimate"])
+
+    return sums.mapInArrow(solve, "draw long, estimate double")
+
+
+def percentile_interval(draws: DataFrame) -> DataFrame:
+    """The sample's estimate and the middle 95 % of the resamples', as ``effect, ci_lower, ci_upper``."""
+    drawn = F.when(F.col("draw") >= 0, F.col("estimate"))
+    return draws.agg(
+        F.max(F.when(F.col("draw") < 0, F.col("estimate"))).alias("effect"),
+        F.percentile(drawn, F.lit(0.025)).alias("ci_lower"), F.percentile(drawn, F.lit(0.975)).alias("ci_upper"),
     )
-    # eight hex digits compare like the numbers they stand for
-    marks = [format(math.ceil(s * 2**32), "08x") for s in POISSON_STEPS]
-
-    def weight(j: int) -> Column:
-        u = F.substring("_hash", 1 + 8 * j, 8)
-        return reduce(lambda a, b: a + b, [(u >= m).cast("int") for m in marks])
-
-    spread = spread.withColumns({f"_w{j}": weight(j) for j in range(BLOCK)})
-    sums = spread.groupBy("_block").agg(*[
-        F.struct(F.sum(F.col(f"_w{j}") * F.col("_psi")).alias("s"), F.sum(f"_w{j}").alias("n")).alias(f"_d{j}") for j in range(BLOCK)])
-    return sums.select(F.inline(F.array(*[
-        F.struct((F.col("_block") * BLOCK + j).alias("draw"), (F.col(f"_d{j}.s") / F.nullif(F.col(f"_d{j}.n"), F.lit(0))).alias("estimate"))
-        for j in range(BLOCK)
-    ]))).filter(F.col("draw") < runs)
-
-
-def bootstrap_interval(df: DataFrame, key: str, treatment: str, outcome: str, p: str, mu1: str, mu0: str,
-                       runs: int = 500, seed: int = 42) -> DataFrame:
-    """Point estimate and percentile interval; models are not refitted."""
-    rows = _valid(df, treatment, outcome).select(
-        key, pseudo_outcome(treatment, outcome, p, mu1, mu0).alias("psi")
-    )
-    draws = bootstrap_draws(rows, key, "psi", runs, seed)
-    interval = draws.agg(
-        F.percentile("estimate", F.lit(0.025)).alias("ci_lower"),
-        F.percentile("estimate", F.lit(0.975)).alias("ci_upper"),
-    )
-    point = rows.agg(F.avg("psi").alias("effect"))
-    return point.select("effect", *[interval.select(c).scalar().alias(c) for c in interval.columns])
 
 
-def effect_row(df: DataFrame, key: str, treatment: str, outcome: str, p: str, mu1: str, mu0: str,
+def bootstrap_interval(df: DataFrame, key: str, treatment: str, outcome: str, p: str, confounders: Sequence[str], runs: int = 500, seed: int = 42) -> DataFrame:
+    """Doubly robust effect and percentile interval; the outcome model is refitted in every resample."""
+    return percentile_interval(refitted_draws(df, key, treatment, outcome, p, confounders, runs, seed))
+
+
+def fixed_model_interval(df: DataFrame, key: str, treatment: str, outcome: str, p: str, mu1: str, mu0: str, runs: int = 500, seed: int = 42) -> DataFrame:
+    """The same with predictions that stay as they are."""
+    rows = _valid(df, treatment, outcome).select(key, pseudo_outcome(treatment, outcome, p, mu1, mu0).alias("_psi"))
+    return percentile_interval(bootstrap_draws(rows, key, "_psi", runs, seed))
+
+
+def effect_row(df: DataFrame, key: str, treatment: str, outcome: str, p: str, confounders: Sequence[str],
                expected: str, runs: int = 500, seed: int = 42) -> DataFrame:
-    """Arm sizes, naive and doubly robust effect, interval and verdict of a pair."""
-    arms = overlap_summary(df, treatment, p).select("treatment", "n_treated", "n_control", "share_outside")
-    naive = naive_effect(df, treatment, outcome)
-    robust = bootstrap_interval(df, key, treatment, outcome, p, mu1, mu0, runs, seed)
-    out = arms.select(
-        "treatment", F.lit(outcome).alias("outcome"), "n_treated", "n_control", "share_outside",
-        naive.scalar().alias("naive"),
-        *[robust.select(c).scalar().alias(c) for c in robust.columns],
-        F.lit(expected).alias("expected"),
+    """Arm sizes, naive and doubly robust effect, interval and verdict of a pair.
+
+    One aggregation has all but the refitted effects, a second pass those.
+    """
+    t, low, high = _treated(treatment), *fixed.OVERLAP_RANGE
+    y = F.when(F.col(treatment).isNotNull(), F.col(outcome))
+    arms = df.agg(
+        F.sum((t == 1).cast("long")).alias("n_treated"), F.sum((t == 0).cast("long")).alias("n_control"),
+        F.avg(((F.col(p) < low) | (F.col(p) > high)).cast("double")).alias("share_outside"),
+        (F.avg(F.when(t == 1, y)) - F.avg(F.when(t == 0, y))).alias("naive"),
     )
+    robust = bootstrap_interval(df, key, treatment, outcome, p, confounders, runs, seed)
+    out = arms.withColumn("_pair", F.lit(0)).join(robust.withColumn("_pair", F.lit(0)), "_pair").drop("_pair").select(
+        F.lit(treatment).alias("treatment"), F.lit(outcome).alias("outcome"), "*", F.lit(expected).alias("expected"))
     return out.withColumn("verdict", verdict("effect", "expected"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from episodia.operators.effects import balance_tables, effect_row, effect_table
-from episodia.operators.models import fit_linear, fit_propensities, potential_outcomes, score_propensities
+from episodia.operators.models import fit_propensities, score_propensities
 
 
 def estimate_effects(train: DataFrame, test: DataFrame, key: str, pairs: Sequence[tuple[str, str, str]],
@@ -15,17 +15,14 @@ def estimate_effects(train: DataFrame, test: DataFrame, key: str, pairs: Sequenc
     """One row per (treatment, outcome, expected direction).
 
     Propensity models are fitted once per treatment on ``train``; the outcome
-    model of each pair is fitted on ``test``.  The rows of the result are lazy.
+    model of each pair is fitted on ``test`` and again in each of its resamples.
     """
     models = fit_propensities(train, sorted({t for t, _, _ in pairs}), confounders)
     scored = score_propensities(test, models)
     rows = []
     for treatment, outcome, expected in pairs:
-        target = f"{prefix}{outcome}"
-        features = [*[c for c in confounders if c != treatment], treatment]
-        mu = fit_linear(test.filter(test[treatment].isNotNull()), features, target)
-        both = potential_outcomes(scored, mu, treatment)
-        rows.append(effect_row(both, key, treatment, target, f"p_{treatment}", "mu1", "mu0", expected, runs, seed))
+        others = [c for c in confounders if c != treatment]
+        rows.append(effect_row(scored, key, treatment, f"{prefix}{outcome}", f"p_{treatment}", others, expected, runs, seed))
     return effect_table(rows)
 
 

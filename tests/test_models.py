@@ -61,11 +61,39 @@ def test_weighting_improves_balance(study):
 def test_bootstrap_weights_are_poisson(spark):
     df = spark.range(3000).select("id", F.lit(1.0).alias("one"))
     draws = E.bootstrap_draws(df.withColumn("v", (F.col("id") % 2).cast("double")), "id", "v", 64, 3).collect()
-    est = np.array([r.estimate for r in draws])
+    assert [r.estimate for r in draws if r.draw == -1] == [0.5]
+    est = np.array([r.estimate for r in draws if r.draw >= 0])
     assert len(est) == 64 and abs(est.mean() - 0.5) < 0.01
     assert abs(est.std() - 0.5 / np.sqrt(3000)) < 0.003
 
 
+def test_refitted_draws_equal_a_fit_for_each_resample(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x, t = rng.normal(size=n), rng.integers(0, 2, n)
+    z = np.where(rng.uniform(size=n) < 0.2, np.nan, rng.normal(size=n))
+    p, y = rng.uniform(0.0, 1.0, n), 1 + x + 2 * t + rng.normal(size=n)
+    rows = [(i, float(x[i]), None if np.isnan(z[i]) else float(z[i]), int(t[i]), float(p[i]), float(y[i])) for i in range(n)]
+    rows += [(n, 1.0, 1.0, None, 0.5, 1.0), (n + 1, 1.0, 1.0, 1, 0.5, None), (n + 2, 1.0, 1.0, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, t int, p double, y double").repartition(3)
+    # one confounder is twice another, so no fit is unique
+    df = df.withColumn("twice", 2 * F.col("x"))
+    got = {r.draw: r.estimate for r in E.refitted_draws(df, "id", "t", "y", "p", ["x", "z", "twice"], 20, 9).collect()}
+    numbers = {r["id"]: (r["_lo"], r["_hi"]) for r in df.select("id", *E.row_seed("id", 9)).collect()}
+    lo, hi = np.array([numbers[i] for i in range(n)]).T
+    weights = E.poisson_weights(lo, hi, 20)
+    zf, q = np.where(np.isnan(z), np.nanmedian(z), z), np.clip(p, 0.01, 0.99)
+    design = np.column_stack([np.ones(n), x, zf, 2 * x, t])
+    for b, w in enumerate(weights):
+        root = np.sqrt(w)
+        beta = np.linalg.lstsq(design * root[:, None], y * root, rcond=None)[0]
+        on, off = design.copy(), design.copy()
+        on[:, -1], off[:, -1] = 1, 0
+        psi = (on - off) @ beta + t / q * (y - on @ beta) - (1 - t) / (1 - q) * (y - off @ beta)
+        assert np.isclose(got[b - 1], (w * psi).sum() / w.sum(), rtol=1e-7)
+    assert len(got) == 21
+
+
 def test_row_effects_find_the_modifier(study):
     df, _, z, *_ = study
     got = M.row_effects(df, "id", "t", "next_y", ["x", "z"]).groupBy("z").agg(F.avg("row_effect").alias("e")).collect()
