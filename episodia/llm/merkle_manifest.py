@@ -1,6 +1,6 @@
 """A manifest of a dataset as hash trees, with a version of the tree for each changed leaf.
 
-Leaves are put in order and cut into aligned blocks of ``BLOCK``; a task holds one
+Leaves are put in order and cut into aligned blocks of ``2 ** HEIGHT``; a task holds one
 block at a time.  Roots of blocks are the leaves of the next level's blocks, so
 levels above are tables again, each a thousandth of the one below.  From the top
 down every block learns its siblings on the way to the root.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from episodia.llm.numbering import numbered
 from episodia.session import written
 
+#: levels of a block; a block has 2 ** HEIGHT leaves
 HEIGHT = 10
-BLOCK = 1 << HEIGHT
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -90,40 +90,40 @@ def climbed(start: str, steps: list[str]) -> list[str]:
     return out
 
 
-def block_tree(leaves: list[str], block: int) -> VersionedTree:
+def block_tree(leaves: list[str], block: int, height: int) -> VersionedTree:
     """Only a first block that is not full can be a whole tree; others go up all levels."""
-    return VersionedTree(leaves, HEIGHT if block else 0)
+    return VersionedTree(leaves, height if block else 0)
 
 
-def in_blocks(nodes: DataFrame, label: str) -> DataFrame:
-    """Nodes (``tree``, ``place``, ``node``, a struct) as rows ``tree, block, nodes`` of at most ``BLOCK``."""
-    at = F.struct((F.col("place") % BLOCK).alias("at"), F.col("node"))
-    rows = nodes.groupBy("tree", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(at)).alias("nodes"))
+def in_blocks(nodes: DataFrame, label: str, height: int) -> DataFrame:
+    """Nodes (``tree``, ``place``, ``node``, a struct) as rows ``tree, block, nodes``."""
+    at = F.struct((F.col("place") % (1 << height)).alias("at"), F.col("node"))
+    rows = nodes.groupBy("tree", F.shiftright("place", height).alias("block")).agg(F.array_sort(F.collect_list(at)).alias("nodes"))
     return written(rows.withColumn("nodes", F.col("nodes.node")), label)
 
 
-def block_roots(blocks: DataFrame) -> DataFrame:
+def block_roots(blocks: DataFrame, height: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [block_tree(leaves, block) for leaves, block in zip(batch.column("hashes").to_pylist(), batch.column("block").to_pylist())]
+            trees = [block_tree(leaves, block, height) for leaves, block in zip(batch.column("hashes").to_pylist(), batch.column("block").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("block"), pa.array([t.digests[t.root] for t in trees], pa.string())],
                                              ["tree", "block", "hash"])
 
     return blocks.select("tree", "block", F.col("nodes.hash").alias("hashes")).mapInArrow(run, "tree string, block long, hash string")
 
 
-def levels_of(nodes: DataFrame, label: str) -> tuple[list[DataFrame], DataFrame]:
+def levels_of(nodes: DataFrame, label: str, height: int) -> tuple[list[DataFrame], DataFrame]:
     """The tables of blocks from the leaves up, and the root of each tree (``tree``, ``hash``)."""
     levels = []
     while True:
-        levels.append(in_blocks(nodes, f"{label}-{len(levels)}"))
-        roots = written(block_roots(levels[-1]), f"{label}-roots")
+        levels.append(in_blocks(nodes, f"{label}-{len(levels)}", height))
+        roots = written(block_roots(levels[-1], height), f"{label}-roots")
         if not roots.agg(F.max("block")).first()[0]:
             return levels, roots.select("tree", "hash")
         nodes = roots.select("tree", F.col("block").alias("place"), F.struct("hash").alias("node"))
 
 
-def passed_down(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+def passed_down(blocks: DataFrame, paths: DataFrame, height: int) -> DataFrame:
     """``tree, place, name, hash, subroot, root, above`` of all nodes, from what their blocks know.
 
     Nodes of the tree of trees have a name; they are subroots themselves.
@@ -135,9 +135,9 @@ def passed_down(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tree, n = block_tree(row["hashes"], row["block"]), len(row["hashes"])
+                tree, n = block_tree(row["hashes"], row["block"], height), len(row["hashes"])
                 yield pa.RecordBatch.from_pydict({
-                    "tree": [row["tree"]] * n, "place": [row["block"] * BLOCK + i for i in range(n)], "name": row["names"] or [None] * n, "hash": row["hashes"],
+                    "tree": [row["tree"]] * n, "place": [(row["block"] << height) + i for i in range(n)], "name": row["names"] or [None] * n, "hash": row["hashes"],
                     "subroot": [row["subroot"]] * n, "root": [row["root"]] * n, "above": [tree.steps(i) + row["above"] for i in range(n)],
                 }, schema=pa.schema([("tree", pa.string()), ("place", pa.int64()), ("name", pa.string()), ("hash", pa.string()),
                                      ("subroot", pa.string()), ("root", pa.string()), ("above", pa.list_(pa.string()))]))
@@ -155,7 +155,7 @@ def leaf_hash(columns: list[Column]) -> Column:
 
 
 def manifest(docs: DataFrame, changes: dict[str, Column], where: Column, fields: list[str] | None = None,
-             id_col: str = "doc_id", tree_col: str = "lang") -> DataFrame:
+             id_col: str = "doc_id", tree_col: str = "lang", height: int = HEIGHT) -> DataFrame:
     """Proofs of all rows of ``docs`` and the versions in which a row is changed.
 
     A leaf hashes the ``fields``, each with its length.  Every value of ``tree_col`` has a
@@ -177,30 +177,30 @@ def manifest(docs: DataFrame, changes: dict[str, Column], where: Column, fields:
     rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col(tree_col)), F.lit("")).alias("tree"), F.col(id_col).alias("doc_id"), leaf.alias("hash"), other.alias("other"))
     rows = written(rows.withColumn("other", F.when(F.col("other") != F.col("hash"), F.col("other"))), "leaves")
     placed = numbered(rows, "tree", ["doc_id", "hash"], "leaf-order")
-    lower, subroots = levels_of(placed.select("tree", "place", F.struct("hash", "doc_id", "other").alias("node")), "leaf-blocks")
+    lower, subroots = levels_of(placed.select("tree", "place", F.struct("hash", "doc_id", "other").alias("node")), "leaf-blocks", height)
     top = numbered(subroots.select(F.lit("").alias("all"), "tree", "hash"), "all", ["tree"], "tree-order")
-    upper, root = levels_of(top.select(F.col("all").alias("tree"), "place", F.struct("hash", F.col("tree").alias("name")).alias("node")), "tree-blocks")
+    upper, root = levels_of(top.select(F.col("all").alias("tree"), "place", F.struct("hash", F.col("tree").alias("name")).alias("node")), "tree-blocks", height)
 
     block = F.col("place").alias("block")
     paths = root.select("tree", F.lit(0).cast("long").alias("block"), F.lit(None).cast("string").alias("subroot"), F.col("hash").alias("root"),
                         F.array().cast("array<string>").alias("above"))
     for blocks in reversed(upper):
-        nodes = passed_down(blocks, paths)
+        nodes = passed_down(blocks, paths, height)
         paths = nodes.select("tree", block, "subroot", "root", "above")
     # the node of a tree is the root of its topmost block
     paths = nodes.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("hash").alias("subroot"), "root", "above")
     for blocks in reversed(lower[1:]):
-        paths = passed_down(blocks, paths).select("tree", block, "subroot", "root", "above")
-    return proofs(lower[0].join(paths, ["tree", "block"]), docs.schema[id_col].dataType)
+        paths = passed_down(blocks, paths, height).select("tree", block, "subroot", "root", "above")
+    return proofs(lower[0].join(paths, ["tree", "block"]), docs.schema[id_col].dataType, height)
 
 
-def proofs(blocks: DataFrame, id_type) -> DataFrame:
+def proofs(blocks: DataFrame, id_type, height: int) -> DataFrame:
     """One row for each leaf of blocks that know the siblings ``above`` them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).select(["block", "hashes", "others", "subroot", "root", "above"]).to_pylist()[0]
-                tree, n = block_tree(row["hashes"], row["block"]), len(row["hashes"])
+                tree, n = block_tree(row["hashes"], row["block"], height), len(row["hashes"])
                 siblings, copies, folded = [], [], []
                 for at, (leaf, other) in enumerate(zip(row["hashes"], row["others"])):
                     siblings.append(tree.steps(at) + row["above"])
@@ -222,16 +222,20 @@ def proofs(blocks: DataFrame, id_type) -> DataFrame:
                                 "siblings array<string>, copies array<string>, folded_root string")
 
 
-def op11_path_copying(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS)
+def tampering(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
+    """The manifest of ``docs`` and what its proofs say of rows whose ``n_chars`` is one too large."""
     due = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     # beyond 64 bits the sum is a decimal, so the largest number overflows nothing
-    rows = manifest(docs, {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}, due)
+    rows = manifest(docs, {"n_chars": F.col("n_chars").cast("decimal(38,0)") + 1}, due, height=height)
     text = F.array_join(F.transform("siblings", lambda s: F.substring(s, 2, 64)), "")
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(text, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
                        F.size(F.coalesce("copies", F.array())).alias("n_copied"))
 
 
+def op11_path_copying(spark, sf_dir: str) -> DataFrame:
+    return tampering(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*FIELDS))
+
+
 #: checksum of an id's decimal text, bit by bit
 CRC32 = """
 list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(doc_id::varchar, '')]), lambda a, b:
