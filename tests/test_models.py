@@ -45,7 +45,7 @@ def test_logistic_gradient_is_zero(study):
 
 def test_doubly_robust_effect_recovers_the_truth(study):
     df, *_ = study
-    r = estimate_effects(df, df, "id", [("t", "y", "up")], ["x", "z"], runs=100).first()
+    r = estimate_effects(df, df, "id", [("t", "y", "up")], ["x", "z"], runs=2000).first()  # the bounds of 100 draws vary by 0.006
     assert r.naive > 4 and abs(r.effect - 3) < 0.1
     assert r.ci_lower < 3 < r.ci_upper and r.ci_upper - r.ci_lower < 0.4
     assert r.verdict == "correct"
