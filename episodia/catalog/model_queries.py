@@ -9,22 +9,28 @@ from episodia.catalog.roles import EV_SQL, LATE_SQL, PANEL_SQL, ev, panel, r6, w
 from episodia.functions import scalars as S
 from episodia.operators import effects as E
 from episodia.operators import models as M
-from episodia.operators.metrics import binary_metrics, regression_metrics
+from episodia.operators.forests import best_flags, fit_forests
+from episodia.operators.metrics import binary_metrics, feature_errors, regression_metrics
 from episodia.operators.sampling import hash_split
 from episodia.operators.sequences import next_state
 from episodia.session import durable
 
 STATES = ["hb", "bun", "cr"]
 ACTIONS = ["vaso", "fluid", "vent"]
+# with the two kinds of readings as orders of their own, five flags make 32 actions
+FLAGS = [*ACTIONS, "test_hb", "test_bun"]
+#: of the boosted trees registered here; README has the times of the sizes of a study
+TREES = {"trees": 20, "depth": 6}
 
 
 def steps(t):
     """One-step rows of the binned panel, written once because models reread them."""
-    rows = next_state(panel(t), ["user_id"], ["bin"], [*STATES, "vaso"])
+    rows = next_state(panel(t), ["user_id"], ["bin"], [*STATES, *ACTIONS])
     rows = rows.withColumns({
         "key": S.composite_key("user_id", "bin"), "a": S.encode_bits(ACTIONS), "r": F.coalesce(F.col("hb") / 100, F.lit(0.0)),
-        "bad_end": (F.col("user_id") % 5 == 0).cast("int"),
+        "bad_end": (F.col("user_id") % 5 == 0).cast("int"), "test_hb": F.col("hb").isNotNull().cast("int"), "test_bun": F.col("bun").isNotNull().cast("int"),
     })
+    rows = rows.withColumn("a5", S.encode_bits(FLAGS))
     return durable(hash_split(rows, "user_id"))
 
 
@@ -57,21 +63,21 @@ def effect_study(t):
 def next_state_models(t):
     rows = steps(t).withColumn("done_next", F.col("done"))
     train, test = rows.filter("split = 'train'"), rows.filter("split != 'train'")
-    fitted = M.fit_next_state(train, [*STATES, *ACTIONS], ["hb", "bun"], ["vaso"], trees=3, depth=3)
-    return regression_metrics(fitted.predict(test), "next_bun", "pred_bun")
+    scored = M.fit_next_state(train, [*STATES, *ACTIONS], STATES, ACTIONS, **TREES).predict(test)
+    return feature_errors(scored, [(f"next_{s}", f"pred_{s}") for s in [*STATES, *ACTIONS]])
 
 
 @query("risk_model", "M6 M8 A30")
 def risk_model(t):
     rows = steps(t)
-    model = M.fit_trees(rows.filter("split = 'train'"), [*STATES, *ACTIONS], "bad_end", classifier=True, balanced=True, trees=3, depth=3)
+    model = fit_forests(rows.filter("split = 'train'"), [*STATES, *ACTIONS], {"bad_end": True}, balanced=True, **TREES)["bad_end"]
     return binary_metrics(model.score(rows.filter("split != 'train'"), "p"), "bad_end", "p")
 
 
 @query("terminal_model", "M8 M10 P12")
 def terminal_model(t):
     ends = steps(t).filter("done = 1")
-    return M.variable_ranking(ends, [*STATES, *ACTIONS], "bad_end", trees=3, depth=3)
+    return M.variable_ranking(ends, [*STATES, *ACTIONS], "bad_end", **TREES)
 
 
 @query("severity_surrogate", "M7 A28 A29")
@@ -92,7 +98,6 @@ def masked_linear_model(t):
     rows = steps(t)
     model = masked(rows.filter("split = 'train'"))
     scored = model.predict(rows.filter("split != 'train'"))
-    from episodia.operators.metrics import feature_errors
     return feature_errors(scored, [(f"next_{s}", f"pred_{s}") for s in STATES])
 
 
@@ -101,7 +106,7 @@ def transition_responsiveness(t):
     from episodia.operators.aggregates import importance_share
     rows = steps(t)
     train = rows.filter("split = 'train'")
-    fits = {s: M.fit_trees(train, [*STATES, *ACTIONS], f"next_{s}", trees=3, depth=3) for s in ("hb", "bun")}
+    fits = fit_forests(train, [*STATES, *ACTIONS], {f"next_{s}": False for s in STATES}, **TREES)
     out = importance_share(M.importance_table(t.spark, fits), "target", "feature", "importance", ACTIONS)
     return out.withColumn("responsive", (F.col("group_share") >= 0.05).cast("int"))
 
@@ -112,11 +117,13 @@ def behaviour_policy(t):
     from episodia.operators.sequences import row_number_in
     rows = steps(t)
     train, test = rows.filter("split = 'train'"), rows.filter("split != 'train'")
-    policy = M.fit_action_policy(train, STATES, "a", 8)
-    reward = M.fit_trees(train, [*STATES, *ACTIONS], "r", trees=3, depth=3)
-    scored = reward.score(test.withColumn("pi", policy.of_action("a")), "rhat")
-    placed = row_number_in(scored.withColumns({"b": F.lit(0), "q": F.lit(0.0)}), ["user_id"], ["bin"], "t", 0)
-    return doubly_robust_summary(doubly_robust_values(placed, ["user_id"], "t", "a", "b", "r", "pi", "q", "rhat"))
+    policy = M.fit_action_policy(train, STATES, "a5", 32)
+    # by Q the best setting is followed; the reward model has the logged one
+    q = M.fitted_q_flags(train, STATES, FLAGS, "r", "done", iterations=3, trees=5, depth=4)
+    reward = fit_forests(train, [*STATES, *FLAGS], {"r": False}, **TREES)["r"]
+    scored = best_flags(test.withColumns({"pi": policy.of_action("a5"), "rhat": reward.column()}), q, FLAGS, "b", "q")
+    placed = row_number_in(scored, ["user_id"], ["bin"], "t", 0)
+    return doubly_robust_summary(doubly_robust_values(placed, ["user_id"], "t", "a5", "b", "r", "pi", "q", "rhat"))
 
 
 @query("action_sensitivity", "M14")
@@ -124,7 +131,7 @@ def action_sensitivity(t):
     rows = steps(t)
     train = rows.filter("split = 'train'")
     models = {s: M.fit_linear(train, [*STATES, *ACTIONS], f"next_{s}") for s in STATES}
-    models["trees_bun"] = M.fit_trees(train, [*STATES, *ACTIONS], "next_bun", trees=3, depth=3)
+    models |= {f"trees_{k}": m for k, m in fit_forests(train, [*STATES, *ACTIONS], {f"next_{s}": False for s in STATES}, **TREES).items()}
     return M.action_sensitivity(rows.filter("split = 'test'"), models, ACTIONS)
 
 
@@ -150,9 +157,9 @@ def row_effects(t):
 @query("fitted_q", "M17 T4 A45")
 def fitted_q(t):
     from episodia.operators.policy_value import action_agreement
-    rows = steps(t).withColumn("a", F.col("vaso"))
-    q = M.fitted_q(rows.filter("split = 'train'"), STATES, "a", "r", "done", 2, iterations=2, trees=2, depth=3)
-    return action_agreement(M.greedy_action(rows.filter("split = 'test'"), q, "a", 2), "a", "best_action")
+    rows = steps(t)
+    q = M.fitted_q_flags(rows.filter("split = 'train'"), STATES, FLAGS, "r", "done", iterations=10, trees=10, depth=4)
+    return action_agreement(best_flags(rows.filter("split = 'test'"), q, FLAGS, "best_action"), "a5", "best_action")
 
 
 @query("counterfactual_sweep", "M18 J23")
@@ -186,3 +193,35 @@ def least_squares_effect(t):
     rows = next_state(panel(t), ["user_id"], ["bin"], ["bun"]).select("vaso", "next_bun")
     model = M.fit_linear(durable(rows), ["vaso"], "next_bun")
     return M.potential_outcomes(rows.groupBy().agg(F.max("vaso").alias("vaso")), model, "vaso").select("mu0", "mu1")
+
+
+def _split_sql(source: str, nodes: str) -> str:
+    """The best split of every node of ``source`` (target, node, g, h, f0, f1, f2) as ``nodes``."""
+    return f"""{nodes}_values as (select target, node, feature, v, sum(g) as g, sum(h) as h, count(*) as n
+    from (select target, node, g, h, unnest([0, 1, 2]) as feature, unnest([f0, f1, f2]) as v from {source}) group by all),
+  {nodes}_sides as (select *, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl, sum(g) over p as ga, sum(h) over p as ha, sum(n) over p as na
+    from {nodes}_values window w as (partition by target, node, feature order by v), p as (partition by target, node, feature)),
+  {nodes} as (select target, node, feature, v as cut, -gl / hl as below, -(ga - gl) / (ha - hl) as above from {nodes}_sides where nl >= 20 and na - nl >= 20
+    qualify row_number() over (partition by target, node order by gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) desc, feature, v) = 1)"""
+
+
+@query("two_level_trees", "M4 M6", f"""
+with x as (select l_linenumber::double as f0, round(l_discount * 100) as f1, l_quantity::double as f2, l_extendedprice::double / 1000 as price,
+    case when l_linenumber < 7 then case when l_returnflag = 'R' then 1.0 else 0.0 end end as returned from lineitem),
+  m as (select avg(price) as mp, avg(returned) as mr from x),
+  root as (select 'price' as target, 0 as node, mp - price as g, 1.0::double as h, f0, f1, f2 from x, m where price is not null
+    union all select 'returned', 0, mr - returned, mr * (1 - mr), f0, f1, f2 from x, m where returned is not null),
+  {_split_sql('root', 'top')},
+  halves as (select r.target, case when (case feature when 0 then f0 when 1 then f1 else f2 end) <= cut then 1 else 2 end as node, g, h, f0, f1, f2 from root r join top using (target)),
+  {_split_sql('halves', 'low')}
+select target, node::bigint as node, feature::bigint as feature, {r6('cut', 'cut')}, {r6('below', 'below', 5)}, {r6('above', 'above', 5)} from (from top union all from low)""", digits=5)
+def two_level_trees(t):
+    rows = t.lineitem.select(
+        F.col("l_linenumber").cast("double").alias("f0"), F.round(F.col("l_discount") * 100).alias("f1"), F.col("l_quantity").cast("double").alias("f2"),
+        (F.col("l_extendedprice").cast("double") / 1000).alias("price"), F.when(F.col("l_linenumber") < 7, (F.col("l_returnflag") == "R").cast("double")).alias("returned"))
+    fits = fit_forests(rows, ["f0", "f1", "f2"], {"price": False, "returned": True}, trees=1, depth=2, rate=1.0)
+    out = []
+    for name, f in fits.items():
+        feature, cut, value = f.feature[0], f.cut[0], f.value[0]
+        out += [(name, n, int(feature[n]), float(f.cuts[feature[n]][cut[n] - 1]), float(value[2 * n + 1]), float(value[2 * n + 2])) for n in range(3) if feature[n] >= 0]
+    return t.spark.createDataFrame(out, "target string, node int, feature int, cut double, below double, above double")

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodia.functions.scalars import add_effects, clip, decode_bit, uniform
-from episodia.operators.aggregates import column_profile, exact_quantiles
+from episodia.operators.aggregates import column_profile
+from episodia.operators.forests import Forest, fit_forests, quantile_cuts
 from episodia.operators.joins import action_grid, with_action_grid
 from episodia.operators.sampling import best_action, rank_of
 
@@ -261,59 +262,50 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str, classifier: bo
 
 @dataclass
 class NextStateModels:
-    """One model per next-state column plus the end-of-episode model."""
+    """One forest per next-state column plus the end-of-episode model."""
 
-    continuous: dict[str, TreeScore] = field(default_factory=dict)
-    binary: dict[str, TreeScore] = field(default_factory=dict)
-    done: TreeScore | None = None
+    continuous: dict[str, Forest] = field(default_factory=dict)
+    binary: dict[str, Forest] = field(default_factory=dict)
+    done: Forest | None = None
 
     def predict(self, df: DataFrame, overrides: Mapping[str, Column] | None = None, prefix: str = "pred_") -> DataFrame:
         """Clipped values, binary flags at 0.5, and the probability of the end."""
-        out = df
-        for c, m in self.continuous.items():
-            out = m.score(out, f"{prefix}{c}", overrides)
-        for c, m in self.binary.items():
-            out = m.score(out, f"{prefix}{c}", overrides)
-            out = out.withColumn(f"{prefix}{c}", (F.col(f"{prefix}{c}") >= 0.5).cast("int"))
+        out = {f"{prefix}{c}": m.column(overrides) for c, m in self.continuous.items()}
+        out |= {f"{prefix}{c}": (m.column(overrides) >= 0.5).cast("int") for c, m in self.binary.items()}
         if self.done is not None:
-            out = self.done.score(out, f"{prefix}done", overrides)
-        return out
+            out[f"{prefix}done"] = self.done.column(overrides)
+        return df.withColumns(out)
 
 
 def fit_next_state(df: DataFrame, features: Sequence[str], continuous: Sequence[str], binary: Sequence[str],
                    done: str | None = "done_next", prefix: str = "next_", **options) -> NextStateModels:
-    """Fit every target; values are bounded by the 1st and 99th train percentile."""
-    out = NextStateModels()
-    for c in continuous:
-        cut = exact_quantiles(df, [], f"{prefix}{c}", {"low": 0.01, "high": 0.99}).first()
-        bounds = None if cut["low"] is None else (float(cut["low"]), float(cut["high"]))
-        out.continuous[c] = fit_trees(df, features, f"{prefix}{c}", bounds=bounds, **options)
-    for c in binary:
-        out.binary[c] = fit_trees(df, features, f"{prefix}{c}", classifier=True, **options)
-    if done:
-        out.done = fit_trees(df, features, done, classifier=True, **options)
-    return out
+    """Fit all targets together; values are bounded by the 1st and 99th train percentile."""
+    ends = df.agg(*[F.percentile(F.col(f"{prefix}{c}").cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in continuous]).first() if continuous else {}
+    bounds = {f"{prefix}{c}": (float(ends[c][0]), float(ends[c][1])) for c in continuous if ends[c]}
+    targets = {f"{prefix}{c}": False for c in continuous} | {f"{prefix}{c}": True for c in binary} | ({done: True} if done else {})
+    fits = fit_forests(df, features, targets, bounds=bounds, **options)
+    return NextStateModels({c: fits[f"{prefix}{c}"] for c in continuous}, {c: fits[f"{prefix}{c}"] for c in binary}, fits[done] if done else None)
 
 
-def action_sensitivity(df: DataFrame, models: Mapping[str, TreeScore | LinearScore], actions: Sequence[str]) -> DataFrame:
-    """Prediction with each flag forced on minus off, per output."""
-    parts = []
+def action_sensitivity(df: DataFrame, models: Mapping[str, TreeScore | LinearScore | Forest], actions: Sequence[str]) -> DataFrame:
+    """Prediction with each flag forced on minus off, per output; one pass over ``df`` for all of them."""
+    rows, diffs = df, {}
     for a in actions:
         on, off = {a: F.lit(1.0)}, {a: F.lit(0.0)}
         for name, m in models.items():
-            if isinstance(m, LinearScore):
-                diff = df.select((m.column(on) - m.column(off)).alias("d"))
+            d = f"_d{len(diffs)}"
+            if isinstance(m, TreeScore):
+                rows = m.score(m.score(rows, "_on", on), "_off", off).withColumn(d, F.col("_on") - F.col("_off")).drop("_on", "_off")
             else:
-                diff = m.score(m.score(df, "_on", on), "_off", off).select((F.col("_on") - F.col("_off")).alias("d"))
-            parts.append(diff.agg(
-                F.lit(a).alias("action"), F.lit(name).alias("output"),
-                F.avg("d").alias("mean_diff"), F.stddev_pop("d").alias("std_diff"),
-                F.avg((F.abs("d") > 1e-6).cast("double")).alias("share_affected"),
-            ))
-    return reduce(DataFrame.unionByName, parts)
+                rows = rows.withColumn(d, m.column(on) - m.column(off))
+            diffs[d] = (a, name)
+    cells = [
+        F.struct(F.lit(a).alias("action"), F.lit(name).alias("output"), F.avg(d).alias("mean_diff"), F.stddev_pop(d).alias("std_diff"),
+                 F.avg((F.abs(d) > 1e-6).cast("double")).alias("share_affected")) for d, (a, name) in diffs.items()]
+    return rows.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
 
 
-def importance_table(df_session, scores: Mapping[str, TreeScore]) -> DataFrame:
+def importance_table(df_session, scores: Mapping[str, TreeScore | Forest]) -> DataFrame:
     """(target, feature, importance) rows; one row per target and feature."""
     rows = [(t, f, v) for t, s in scores.items() for f, v in s.importances().items()]
     return df_session.createDataFrame(rows, "target string, feature string, importance double")
@@ -321,7 +313,7 @@ def importance_table(df_session, scores: Mapping[str, TreeScore]) -> DataFrame:
 
 def variable_ranking(df: DataFrame, features: Sequence[str], label: str, **options) -> DataFrame:
     """Normalised importance, percent missing, a flag above 20 % and the rank."""
-    table = importance_table(df.sparkSession, {label: fit_trees(df, features, label, classifier=True, balanced=True, **options)})
+    table = importance_table(df.sparkSession, fit_forests(df, features, {label: True}, balanced=True, **options))
     missing = column_profile(df, features).select(
         F.col("column_name").alias("feature"), ((1 - F.col("coverage")) * 100).alias("percent_missing")
     )
@@ -333,7 +325,7 @@ def variable_ranking(df: DataFrame, features: Sequence[str], label: str, **optio
 # --- policies -----------------------------------------------------------------------
 
 def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effects: Mapping[tuple[str, str], float],
-                      outcomes: Mapping[str, str], risk: LinearScore | TreeScore) -> DataFrame:
+                      outcomes: Mapping[str, str], risk: LinearScore | TreeScore | Forest) -> DataFrame:
     """Best of all drug combinations per row, with the two comparison strategies.
 
     ``outcomes`` maps an outcome to the column of its prediction without any
@@ -401,6 +393,30 @@ def q_backup(transitions: DataFrame, q: TreeScore | LinearScore | None, states:
     return rows.withColumn(name, target.cast("double")).drop(*[f"_q{a}" for a in range(n_actions)])
 
 
+def fitted_q_flags(transitions: DataFrame, states: Sequence[str], flags: Sequence[str], reward: str, done: str, iterations: int = 10,
+                   gamma: float = 0.99, next_prefix: str = "next_", bins: int = 64, **options) -> Forest:
+    """Fitted Q over all on/off settings of several flags.
+
+    Each round scores the next state under every setting inside the row and backs the best
+    one up, then grows a new forest on the states and flags.  Bins are cut once.
+    """
+    features = [*states, *flags]
+    cuts, q = quantile_cuts(transitions, features, bins), None
+    for _ in range(iterations):
+        rows = q_backup_flags(transitions, q, states, flags, reward, done, gamma, next_prefix)
+        q = fit_forests(rows, features, {"_target": False}, bins=bins, cuts=cuts, **options)["_target"]
+    return q
+
+
+def q_backup_flags(transitions: DataFrame, q: Forest | None, states: Sequence[str], flags: Sequence[str], reward: str, done: str,
+                   gamma: float, next_prefix: str = "next_", name: str = "_target") -> DataFrame:
+    """``r + gamma * max over settings of Q(s', setting)``, the reward alone at the end or without a Q."""
+    if q is None:
+        return transitions.withColumn(name, F.col(reward).cast("double"))
+    best = F.array_max(q.over_flags(flags, {s: F.col(f"{next_prefix}{s}") for s in states}))
+    return transitions.withColumn(name, (F.col(reward) + F.when(F.col(done) == 1, F.lit(0.0)).otherwise(gamma * best)).cast("double"))
+
+
 def greedy_action(df: DataFrame, q: TreeScore, action: str, n_actions: int, name: str = "best_action",
                   value: str = "best_value") -> DataFrame:
     """Action with the largest Q value; ties go to the lowest action."""
