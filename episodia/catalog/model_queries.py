@@ -147,6 +147,20 @@ def policy_search(t):
     return strategy_comparison(score_policies(test, ["user_id", "bin"], ACTIONS, base, risk, effects), "policy_risk", "nothing_risk", "observed_risk")
 
 
+@query("tree_policy_search", "M15 J23 F40 T4")
+def tree_policy_search(t):
+    """States and risk from forests; 32 combinations of five drugs in each row."""
+    from episodia.operators.policy_value import strategy_comparison
+    from episodia.plans.policies import score_policies
+    rows = steps(t)
+    train, test = rows.filter("split = 'train'"), rows.filter("split != 'train'")
+    fits = fit_forests(train, [*STATES, *FLAGS], {f"next_{s}": False for s in STATES}, **TREES)
+    risk = fit_forests(train, STATES, {"bad_end": True}, balanced=True, **TREES)["bad_end"]
+    effects = {("vaso", "bun"): 1.5, ("fluid", "hb"): -2.0, ("vent", "cr"): 0.75, ("test_hb", "hb"): 0.5, ("test_bun", "bun"): -1.0}
+    scored = score_policies(test, ["user_id", "bin"], FLAGS, {s: fits[f"next_{s}"] for s in STATES}, risk, effects)
+    return strategy_comparison(scored, "policy_risk", "nothing_risk", "observed_risk")
+
+
 @query("row_effects", "M16 J26")
 def row_effects(t):
     rows = steps(t)

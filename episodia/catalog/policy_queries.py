@@ -9,7 +9,7 @@ from episodia.catalog.roles import EV_SQL, ev, n8, r6, uniform_sql, with_
 from episodia.functions import scalars as S
 from episodia.operators import policy_value as V
 from episodia.operators import sampling as T
-from episodia.operators.joins import action_grid, with_action_grid
+from episodia.operators.joins import with_action_grid
 from episodia.operators.sequences import row_number_in
 
 # events as logged trajectories: action, other policy's action, reward, estimates
@@ -106,15 +106,17 @@ risk as (select o_orderkey, a, abs(y - (o_custkey % 5)) as risk from g)"""
 @query("exhaustive_policy", "J23 F40 F25 T4", with_(GRID_SQL, select=f"""
 select o_orderkey, {n8('arg_min(a, round(risk, 9) * 1000 + a)', 'action')}, {r6('min(round(risk, 9))', 'risk', 9)} from risk group by 1""").replace("arg_min(a, round(risk, 9) * 1000 + a)", "arg_min(a, (round(risk, 9), a))"), digits=9)
 def exhaustive_policy(t):
-    """All 32 combinations are compared inside the row; nothing is sent."""
-    rows = t.orders.select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000 - 2).alias("base"))
-
-    def scored(a):
-        y = S.add_effects("base", [(S.decode_bit(a, i), F.lit(e)) for i, e in enumerate(EFFECTS)])
-        return F.struct(F.round(F.abs(y - F.col("o_custkey") % 5), 9).alias("risk"), a.alias("action"))
+    """All 32 combinations are columns that are compared inside the row; nothing is sent.
 
-    best = F.array_min(F.transform(action_grid(len(EFFECTS)), scored))
-    return rows.select("o_orderkey", best.alias("best")).select("o_orderkey", "best.action", "best.risk")
+    Risks that agree to nine digits are ties, so they are compared as whole numbers.
+    """
+    rows = t.orders.select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 100000 - 2).alias("base"))
+    options = []
+    for a in range(1 << len(EFFECTS)):
+        y = F.col("base") + F.lit(sum(e for i, e in enumerate(EFFECTS) if a >> i & 1))
+        risk = F.abs(y - F.col("o_custkey") % 5)
+        options.append(F.struct(F.floor(risk * F.lit(1e9) + 0.5).alias("units"), F.lit(a).alias("action"), risk.alias("risk")))
+    return rows.select("o_orderkey", F.least(*options).alias("best")).select("o_orderkey", "best.action", "best.risk")
 
 
 @query("action_grid_rows", "J23 F25", """

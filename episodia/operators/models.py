@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from episodia.functions.scalars import add_effects, clip, decode_bit, uniform
 from episodia.operators.aggregates import column_profile
 from episodia.operators.forests import Forest, fit_forests, quantile_cuts
-from episodia.operators.joins import action_grid, with_action_grid
+from episodia.operators.joins import with_action_grid
 from episodia.operators.sampling import best_action, rank_of
 
 _X = "_features"
@@ -329,10 +329,10 @@ def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effe
     """Best of all drug combinations per row, with the two comparison strategies.
 
     ``outcomes`` maps an outcome to the column of its prediction without any
-    drug.  The baseline is predicted once per row.  A linear or logistic risk
-    is compared inside the row, without a shuffle; a tree risk needs the rows
-    repeated per combination and reduced per key again, which one task does for
-    all combinations of a row before anything is sent.
+    drug.  The baseline is predicted once per row.  A linear, logistic or forest risk
+    is compared inside the row: one column per combination, whose effects are
+    summed up beforehand.  A Spark ML risk needs the rows repeated per combination
+    and reduced per key again.
     Returns keys, action, policy_risk, nothing_risk, observed_risk and flags;
     equal risks go to the lowest action.
     """
@@ -345,13 +345,14 @@ def exhaustive_policy(df: DataFrame, keys: list[str], drugs: Sequence[str], effe
     place = {d: i for i, d in enumerate(drugs)}
     nothing = {o: F.col(b) for o, b in outcomes.items()}
     observed = corrected(lambda d: F.coalesce(F.col(d).cast("int"), F.lit(0)))
-    if isinstance(risk, LinearScore):
-        options = F.transform(
-            action_grid(len(drugs)),
-            lambda a: F.struct(risk.column(corrected(lambda d: decode_bit(a, place[d]))).alias("policy_risk"), a.alias("action")),
-        )
+    if not isinstance(risk, TreeScore):
+        options = []
+        for code in range(1 << len(drugs)):
+            active = [d for d, i in place.items() if code >> i & 1]
+            moved = {o: F.col(b) + F.lit(float(sum(effects.get((d, o), 0.0) for d in active))) for o, b in outcomes.items()}
+            options.append(F.struct(risk.column(moved).alias("policy_risk"), F.lit(code).alias("action")))
         best = df.select(
-            *keys, F.array_min(options).alias("_b"), risk.column(nothing).alias("nothing_risk"),
+            *keys, (F.least(*options) if len(options) > 1 else options[0]).alias("_b"), risk.column(nothing).alias("nothing_risk"),
             risk.column(observed).alias("observed_risk"),
         ).select(*keys, "_b.action", "_b.policy_risk", "nothing_risk", "observed_risk")
     else:

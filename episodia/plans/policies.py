@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from episodia.operators.forests import Forest
 from episodia.operators.models import LinearScore, TreeScore, exhaustive_policy
 
 
 def score_policies(rows: DataFrame, keys: list[str], drugs: Sequence[str],
-                   next_state: Mapping[str, LinearScore | TreeScore], risk: LinearScore | TreeScore,
+                   next_state: Mapping[str, LinearScore | TreeScore | Forest], risk: LinearScore | TreeScore | Forest,
                    effects: Mapping[tuple[str, str], float], actions: Sequence[str] | None = None) -> DataFrame:
     """Lowest-risk combination per row, with doing nothing and the observed drugs.
 
@@ -21,9 +22,6 @@ def score_policies(rows: DataFrame, keys: list[str], drugs: Sequence[str],
     none = {a: F.lit(0.0) for a in (actions or drugs)}
     out = rows
     for c, m in next_state.items():
-        if isinstance(m, LinearScore):
-            out = out.withColumn(f"_base_{c}", m.column(none))
-        else:
-            out = m.score(out, f"_base_{c}", none)
+        out = m.score(out, f"_base_{c}", none)
 
     return exhaustive_policy(out, keys, drugs, effects, {c: f"_base_{c}" for c in next_state}, risk)
