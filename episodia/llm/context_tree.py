@@ -47,19 +47,19 @@ def spelled(text: bytes | None) -> tuple[list[bytes], bytes]:
     return words, (b" ".join(words) + b" " if words else b"") + END
 
 
-def pieces(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Lists of text numbers and slices of about ``PART_BYTES``, each slice behind the ``depth`` bytes before it.
+def pieces(texts: list[bytes], most: int = PART_BYTES, depth: int = DEPTH) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Lists of text numbers and slices of about ``most`` bytes, each slice behind the ``depth`` bytes before it.
 
     Every text starts after line feeds.
     """
     owners, slices, held = [], [], 0
     for i, text in enumerate(texts):
         whole = END * depth + text
-        for at in range(0, len(text), PART_BYTES):
+        for at in range(0, len(text), most):
             owners.append(i)
-            slices.append(whole[at:at + PART_BYTES + depth])
+            slices.append(whole[at:at + most + depth])
             held += len(slices[-1])
-            if held >= PART_BYTES or len(slices) >= 1 << 15:
+            if held >= most or len(slices) >= 1 << 15:
                 yield owners, slices
                 owners, slices, held = [], [], 0
     if slices:
@@ -209,22 +209,22 @@ def unpacked(data: bytes, width: int = 8) -> np.ndarray:
     return out.reshape(-1).view("<i8").astype(np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def chunks(batches: Iterator[pa.RecordBatch], most: int, part_bytes: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Parts of a task's batches with the number of their chunk."""
     part, seq, held = TaskContext.get().partitionId(), 0, 0
     for whole in batches:
-        for batch in text_parts(whole, PART_BYTES):
+        for batch in text_parts(whole, part_bytes):
             yield part << 24 | seq, batch
             held += batch.column("text").nbytes
-            if held >= CHUNK_BYTES:
+            if held >= most:
                 seq, held = seq + 1, 0
 
 
 class Wanted:
     """The distinct strings and words of a chunk with their training counts, in the order of their buckets."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.grams, self.words = buckets, [], {}
+    def __init__(self, buckets: int, part_bytes: int = PART_BYTES):
+        self.buckets, self.part_bytes, self.grams, self.words = buckets, part_bytes, [], {}
 
     def add(self, texts: list[bytes | None], learn: list[bool]) -> None:
         for train in (True, False):
@@ -232,10 +232,10 @@ class Wanted:
             for words, _ in spelt:
                 for w in words:
                     self.words[w] = self.words.get(w, 0) + train
-            for _, slices in pieces([b for _, b in spelt]):
+            for _, slices in pieces([b for _, b in spelt], self.part_bytes):
                 keys, n = np.unique(gram_keys(slices), return_counts=True)
                 self.grams.append((keys, n if train else np.zeros(len(n), np.int64)))
-        if sum(len(k) for k, _ in self.grams) > 4 * PART_BYTES:
+        if sum(len(k) for k, _ in self.grams) > 4 * self.part_bytes:
             self.grams = [self.merged()]
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ ASKED_DDL, ANSWER_DDL = ("chunk long, kind int, bucket int, " + x for x in ("key
 GRAMS, WORDS = 0, 1
 
 
-def requests(docs: DataFrame, buckets: int) -> DataFrame:
+def requests(docs: DataFrame, buckets: int, chunk_bytes: int, part_bytes: int) -> DataFrame:
     """``chunk, kind, bucket, keys, counts`` of ``docs`` (``text`` binary, ``learn``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(chunk, wanted):
@@ -281,11 +281,11 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ASKED.types)], schema=ASKED)
 
         now, wanted = None, None
-        for chunk, batch in chunks(batches):
+        for chunk, batch in chunks(batches, chunk_bytes, part_bytes):
             if chunk != now:
                 if now is not None:
                     yield asked(now, wanted)
-                now, wanted = chunk, Wanted(buckets)
+                now, wanted = chunk, Wanted(buckets, part_bytes)
             wanted.add(batch.column("text").to_pylist(), batch.column("learn").to_pylist())
         if now is not None:
             yield asked(now, wanted)
@@ -391,7 +391,8 @@ class Answers:
 RESULT = ("doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
-def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str = "doc_id", chunk_bytes: int = CHUNK_BYTES,
+          part_bytes: int = PART_BYTES) -> DataFrame:
     """Score every text of ``docs`` by the model that the rows with ``learn`` train.
 
     Result for each row: ``doc_id, held_out`` (does not learn)``, n_tokens`` (words and one end)``, n_known`` (tokens
@@ -406,7 +407,7 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = written(requests(rows, buckets), "requests")
+    asked = written(requests(rows, buckets, chunk_bytes, part_bytes), "requests")
     words = written(word_answers(asked), "word-counts")
     totals = [unpacked(bytes(r["values"])) for r in words.filter(F.col("chunk").isNull()).select("values").collect()]  # one row a bucket
     ends = rows.filter("learn").count()
@@ -415,11 +416,11 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str =
     answers = words.filter(F.col("chunk").isNotNull()).unionByName(grams)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, batch in chunks(batches):
+        for chunk, batch in chunks(batches, chunk_bytes, part_bytes):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, chunk))], [*batch.schema.names, "chunk"])
 
     def judge(table: pa.Table, told: pa.Table) -> pa.Table:
-        answers, wanted = Answers(told), Wanted(buckets)
+        answers, wanted = Answers(told), Wanted(buckets, part_bytes)
         texts, learned = table.column("text").to_pylist(), table.column("learn").to_pylist()
         for at in range(0, len(texts), 1 << 10):
             wanted.add(texts[at:at + (1 << 10)], learned[at:at + (1 << 10)])
@@ -433,7 +434,7 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str =
         bits, size, tokens, seen, base = np.zeros(len(texts)), [], [], [], []
         for start in range(0, len(texts), 1 << 10):
             spelt = [spelled(t) for t in texts[start:start + (1 << 10)]]
-            for owner, slices in pieces([b for _, b in spelt]):
+            for owner, slices in pieces([b for _, b in spelt], part_bytes):
                 # sorted with the text's place in the low bits, each string is looked up once
                 numbers = np.repeat(np.arange(len(slices)), [len(s) - DEPTH for s in slices])
                 both = np.sort(gram_keys(slices).astype(np.uint64) << np.uint64(15) | numbers.astype(np.uint64))

@@ -54,7 +54,7 @@ def with_shared_starts(rows: DataFrame, most: int = 8, family: int = 5) -> DataF
     return joined.select("conv_id", F.concat(F.slice(F.coalesce("head", nothing), F.lit(1), h), own).alias("turns"))
 
 
-def shard_nodes(part: int, rows: list[tuple], first: bytes, following: bytes | None) -> list[tuple]:
+def shard_nodes(part: int, rows: list[tuple], first: bytes, following: bytes | None, piece: int = PIECE) -> list[tuple]:
     """The trie of one range's sorted (path, conv_id, bytes of each turn) as rows of ``SAID``.
 
     Nodes come in the order of their paths, so a node's children have larger
@@ -104,7 +104,7 @@ def shard_nodes(part: int, rows: list[tuple], first: bytes, following: bytes | N
         if skeleton[i]:
             name = md5(path[i]).hexdigest()
             out.append((PARTIAL, name, above, part, 0, depth, least[i], None, *numbers, None))
-            out += [(ENDS, name, None, part, k, depth, *[None] * 7, ids[at:at + PIECE]) for k, at in enumerate(range(0, len(ids), PIECE))]
+            out += [(ENDS, name, None, part, k, depth, *[None] * 7, ids[at:at + piece]) for k, at in enumerate(range(0, len(ids), piece))]
         else:
             out.append((LOCAL, None, above, part, 0, depth, least[i], None if above else least[p], *numbers, sha256(ids.encode()).hexdigest()))
     return out
@@ -150,7 +150,7 @@ def ends_digests(pieces: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "node string, ends_sha256 string")
 
 
-def prefix_trie(rows: DataFrame) -> DataFrame:
+def prefix_trie(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """The nodes of the trie of ``turns`` (arrays of digest, bytes) of ``conv_id`` (distinct, not null).
 
     One row for each distinct beginning, the empty one included if there is a row at
@@ -176,7 +176,7 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
         part = table.column("part")[0].as_py()
         ours = sorted(zip(*[table.column(c).to_pylist() for c in ("path", "conv_id", "sizes")]))
         starts_at, next_at = skeleton.value
-        said = shard_nodes(part, ours, starts_at[part], next_at.get(part))
+        said = shard_nodes(part, ours, starts_at[part], next_at.get(part), piece)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*said), schema.types)], schema=schema)
 
     said = written(dealt.groupBy("part").applyInArrow(shard, SAID), "shards")
@@ -191,14 +191,14 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
     return lower.unionByName(upper).select(*COLUMNS)
 
 
-def conversation_trie(conversations: DataFrame) -> DataFrame:
+def conversation_trie(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     """The trie of the rebuilt ``conversations`` (``conv_id, turn, role, text``).
 
     Turns are ordered by number, null first; equal numbers by the digest of role and text.
     Null roles and texts are empty; rows without an id belong to no conversation.  Repeated
     rows are turns of their own.  Other columns are ignored; an empty table gives an empty one.
     """
-    return prefix_trie(with_shared_starts(turns(conversations.select("conv_id", "turn", "role", "text"))))
+    return prefix_trie(with_shared_starts(turns(conversations.select("conv_id", "turn", "role", "text"))), piece)
 
 
 def op13_splitter_skeleton(spark, sf_dir: str) -> DataFrame:
