@@ -12,6 +12,7 @@ from episodia.operators import intervals as I
 from episodia.operators import joins as J
 from episodia.operators import sequences as W
 from episodia.operators.quality import require_columns
+from episodia.operators.scan import Following, ordered
 
 KINDS = ["1-URGENT", "2-HIGH"]
 
@@ -87,12 +88,14 @@ def weight_normalised_rate(t):
 
 @query("point_in_interval", "J7 P9", f"""
 with e as (select event_id, user_id, epoch_us(ts) // 1000000 as sec from events),
-i as (select event_id as interval_id, user_id, sec as begins, sec + 3 * 86400 as finishes from e where event_id % 10 = 0)
+i as (select event_id as interval_id, user_id, sec as begins, least(sec + 3 * 86400, lead(sec) over (partition by user_id order by sec, event_id) - 1) as finishes from e)
 select e.event_id, i.interval_id from e join i on i.user_id = e.user_id and e.sec between i.begins and i.finishes""")
 def point_in_interval(t):
+    """A stay lasts from an event to just before the user's next one, three days at most."""
     points = t.events.select("event_id", "user_id", S.epoch_seconds("ts").alias("sec"))
-    spans = points.filter("event_id % 10 = 0").select(
-        F.col("event_id").alias("interval_id"), "user_id", F.col("sec").alias("begins"), (F.col("sec") + 3 * 86400).alias("finishes"))
+    following = ordered(points, ["user_id"], ["sec", "event_id"], {"following": Following("sec")})
+    spans = following.select(F.col("event_id").alias("interval_id"), "user_id", F.col("sec").alias("begins"),
+                             F.least(F.col("sec") + 3 * 86400, F.col("following") - 1).alias("finishes"))
     return I.points_in_intervals(points, spans, ["user_id"], "sec", "begins", "finishes", 86400).select("event_id", "interval_id")
 
 

@@ -12,7 +12,7 @@ from episodia.operators import intervals as I
 from episodia.operators import joins as J
 from episodia.operators import sequences as W
 from episodia.operators.sampling import hash_split
-from episodia.operators.scan import panel_window
+from episodia.operators.scan import Following, ordered, panel_window
 
 SPINE_SQL = """spine as (
     select user_id, d, date_diff('day', first_day, d) as day_of_stay, case when d = last_day then 1 else 0 end as is_last_day
@@ -111,15 +111,15 @@ def daily_flags_latched(t):
     return out.select("user_id", "day_of_stay", "ordered_today", "positive_ever", "blood_ever")
 
 
-# care units: every third event starts a stretch in a unit of one to four days
+# care units: every event starts a stretch in a unit, until the user's next event
 UNITS = {"click": "Medical Intensive Care Unit (MICU)", "view": "Emergency Department", "purchase": "Med/Surg",
          "signup": "Vascular", "error": "Coronary Care Unit (CCU)"}
 UNIT_SQL = """units as (
     select user_id, event_id, ts as intime, cast(ts as date) as indate,
-      case when event_id % 4 = 0 then null else ts + to_days(cast(event_id % 4 as integer)) end as outtime,
+      lead(ts) over (partition by user_id order by ts, event_id) as outtime,
       case event_type when 'click' then 'Medical Intensive Care Unit (MICU)' when 'view' then 'Emergency Department'
            when 'purchase' then 'Med/Surg' when 'signup' then 'Vascular' else 'Coronary Care Unit (CCU)' end as unit
-    from events where event_id % 3 = 0)"""
+    from events)"""
 GROUP_SQL = """case when unit = 'Coronary Care Unit (CCU)' or unit like '%Intensive Care%' then 'icu'
     when unit like '%Emergency Department%' then 'ed' when unit like '%Med/Surg%' or unit like '%Medicine%' then 'medicine'
     when unit like '%Surgery%' or unit like '%Vascular%' or unit like '%Transplant%' then 'surgery' else 'other' end"""
@@ -127,11 +127,8 @@ GROUP_SQL = """case when unit = 'Coronary Care Unit (CCU)' or unit like '%Intens
 
 def unit_stretches(t):
     pairs = [F.lit(x) for kv in UNITS.items() for x in kv]
-    return t.events.filter("event_id % 3 = 0").select(
-        "user_id", "event_id", F.col("ts").alias("intime"),
-        F.when(F.col("event_id") % 4 != 0, F.expr("ts + make_dt_interval(cast(event_id % 4 as int))")).alias("outtime"),
-        F.element_at(F.create_map(*pairs), F.col("event_type")).alias("unit"),
-    )
+    stretches = t.events.select("user_id", "event_id", F.col("ts").alias("intime"), F.element_at(F.create_map(*pairs), F.col("event_type")).alias("unit"))
+    return ordered(stretches, ["user_id"], ["intime", "event_id"], {"outtime": Following("intime")})
 
 
 @query("unit_by_day", "J13 F8 F41", with_(STAY_SQL, SPINE_SQL, UNIT_SQL, select=f"""
@@ -154,7 +151,7 @@ def unit_by_day(t):
 @query("service_by_day", "J12 F9", with_(STAY_SQL, SPINE_SQL, select=f"""
 , svc as (select user_id, cast(ts as date) as svc_date, ts, event_id,
     case event_type when 'click' then 'MED' when 'view' then 'CSURG' when 'purchase' then 'TRAUM' when 'signup' then 'CCU' else 'XYZ' end as service
-  from events where event_id % 4 = 1),
+  from events),
 c as (select s.user_id, s.d, s.day_of_stay, v.service,
     row_number() over (partition by s.user_id, s.d order by v.ts desc, v.event_id desc) as rn
   from spine s left join svc v on v.user_id = s.user_id and v.svc_date <= s.d)
@@ -164,7 +161,7 @@ from c where rn = 1"""))
 def service_by_day(t):
     codes = {"click": "MED", "view": "CSURG", "purchase": "TRAUM", "signup": "CCU", "error": "XYZ"}
     pairs = [F.lit(x) for kv in codes.items() for x in kv]
-    services = t.events.filter("event_id % 4 = 1").select(
+    services = t.events.select(
         "user_id", "ts", "event_id", F.to_date("ts").alias("svc_date"),
         F.element_at(F.create_map(*pairs), F.col("event_type")).alias("service"),
     )

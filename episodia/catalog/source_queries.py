@@ -101,3 +101,18 @@ def column_pruned_read(t):
 @query("json_rows", "IO13", """select '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' as report from region""")
 def json_rows(t):
     return IO.as_json(t.region.select("r_regionkey", "r_name"))
+
+
+@query("configured_extract", "IO14 IO8", f"""
+select l_returnflag, {n8('count(*)', 'n')}, {r6('avg(l_quantity)', 'mean_quantity')} from lineitem where l_quantity >= 5 and l_linenumber <= 4 group by 1""")
+def configured_extract(t):
+    """Parameters, columns and a path relative to the configuration's own folder, all read by Spark."""
+    import json
+    folder = scratch(t)
+    t.lineitem.select("l_returnflag", "l_quantity", "l_linenumber", "l_tax").write.parquet(f"{folder}/tables/lines")
+    text = json.dumps({"input": {"lines_path": "tables/lines"}, "columns": ["l_returnflag", "l_quantity", "l_linenumber"], "least_quantity": 5, "most_lines": 4})
+    t.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/settings")
+    config = IO.read_config(f"{folder}/settings", t.spark)
+    rows = IO.read_columns(t.spark, config["input"]["lines_path"], config["columns"])
+    kept = rows.filter((F.col("l_quantity") >= config["least_quantity"]) & (F.col("l_linenumber") <= config["most_lines"]))
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean_quantity"))

@@ -128,11 +128,35 @@ def repair_nonfinite(t):
 
 
 @query("transition_contract", "Q6", with_(EV_SQL, LATE_SQL, PANEL_SQL, select="""
-select 'duplicate_keys' as "check", 0::bigint as violations union all select 'episodes_without_one_end', 0 union all select 'end_not_last', 0"""))
+, b as (select user_id, bin, row_number() over w as rn, case when lead(bin) over w is null then 1 else 0 end as done from panel window w as (partition by user_id order by bin)),
+p as (select user_id, bin, case when user_id % 11 = 0 then 0 when user_id % 13 = 0 then case when rn = 1 then 1 else 0 end else done end as done from b
+  union all select user_id, bin, 0 from b where user_id % 7 = 1 and rn = 1),
+k as (select user_id, bin, count(*) as n, max(done) as d from p group by 1, 2),
+e as (select user_id, sum(n - 1) as dup, sum(d) as ends, arg_max(d, bin) as last from k group by 1)
+select unnest(['duplicate_keys', 'episodes_without_one_end', 'end_not_last']) as "check",
+  unnest([sum(dup), sum(case when ends <> 1 then 1 else 0 end), sum(case when last <> 1 then 1 else 0 end)])::bigint as violations from e"""))
 def transition_contract(t):
+    """Planted faults: a repeated first step, an end that is missing, an end at the first step."""
     from episodia.operators.sequences import next_state
     moved = next_state(panel(t).select("user_id", "bin", "hb"), K, ["bin"], ["hb"])
-    return Q.transition_checks(moved, "user_id", "bin")
+    firsts = panel(t).groupBy("user_id").agg(F.min("bin").alias("_first"))
+    rows = moved.join(firsts, "user_id").withColumn("_starts", F.col("bin") == F.col("_first"))
+    wrong = F.when(F.col("user_id") % 11 == 0, F.lit(0)).when(F.col("user_id") % 13 == 0, F.col("_starts").cast("int")).otherwise(F.col("done"))
+    again = rows.filter((F.col("user_id") % 7 == 1) & F.col("_starts")).withColumn("done", F.lit(0))
+    return Q.transition_checks(rows.withColumn("done", wrong).unionByName(again), "user_id", "bin")
+
+
+@query("schema_coverage", "Q7", """
+with have as (select column_name from (describe events)), want as (select unnest(['event_id', 'user_id', 'ts', 'value', 'unit', 'schema_version']) as column_name)
+select 'absent' as kind, column_name, null::bigint as n_known from want where column_name not in (from have)
+union all select 'extra', column_name, case column_name when 'event_type' then (select count(event_type) from events) when 'props' then (select count(props) from events) end
+  from have where column_name not in (from want)""")
+def schema_coverage(t):
+    """Columns of a declared schema that the events lack, and those it does not name with their known values."""
+    report = Q.coverage_report(t.events, ["event_id", "user_id", "ts", "value", "unit", "schema_version"])
+    known = t.events.agg(*[F.count(c).alias(c) for c in report["extra"]]).unpivot([], report["extra"], "column_name", "n_known")
+    absent = t.spark.createDataFrame([(c,) for c in report["absent"]], "column_name string").withColumn("n_known", F.lit(None).cast("long"))
+    return known.select(F.lit("extra").alias("kind"), "*").unionByName(absent.select(F.lit("absent").alias("kind"), "*"))
 
 
 @query("conformed_rows", "P1 P2 Q1 Q5 Q7 P15", """

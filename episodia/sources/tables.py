@@ -140,9 +140,12 @@ def read_effects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("treatment string, outcome string, effect double").json(path)
 
 
-def effect_lookup(effects: DataFrame) -> dict[tuple[str, str], float]:
-    """Effects as a dictionary; the table has one row per studied pair."""
-    return {(r.treatment, r.outcome): r.effect for r in effects.collect()}
+def effect_lookup(effects: DataFrame, most: int = 10_000) -> dict[tuple[str, str], float]:
+    """Effects as a dictionary; a table of more than ``most`` rows is refused."""
+    rows = effects.select("treatment", "outcome", "effect").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} effects; a table of studied pairs is expected")
+    return {(r.treatment, r.outcome): r.effect for r in rows}
 
 
 # --- configuration and plans --------------------------------------------------------
