@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,8 +38,8 @@ FILE_DOCS, FILE_IDS = 200_000, 1 << 27
 LEVEL = 3
 READ_BYTES = 4 << 20
 
-#: a full stop or comma between a Latin-1 letter and white space is a piece of its own
-LONE_MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff0-9])([.,])(?=[ \n]|$)")
+#: a full stop or comma that ends a word after a Latin-1 letter or digit is a piece of its own
+LONE_MARK = re.compile(rb".*[a-z\xdf-\xf6\xf8-\xff0-9][.,]", re.DOTALL)
 LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
 
 
@@ -68,7 +69,7 @@ class Encoder:
     The vocabulary's rules drop white space and never join across it, so the ids
     of a text are those of its words one after another.  In Latin-1 texts lower
     case and composition act letter by letter, so there words are first put into
-    lower case and freed of lone marks, which leaves fewer distinct ones.  The
+    lower case, and a word with a lone mark at its end has the ids of both parts.  The
     caches are emptied between batches when they hold more than ``limit`` words.
     """
 
@@ -86,7 +87,8 @@ class Encoder:
 
     def reset(self) -> None:
         # key bytes differ by encoding, so each has its own cache
-        self.caches = {code: (Pieces(), np.empty(1 << 12, np.uint32), np.zeros(1, np.int64)) for code in ("latin-1", "utf-8")}
+        none = np.empty(0, np.int64)
+        self.caches = {code: (Pieces(), np.empty(0, np.uint32), none, none) for code in ("latin-1", "utf-8")}
 
     def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has."""
@@ -106,51 +108,76 @@ class Encoder:
         return flat, np.diff(last, prepend=-1)
 
     def _learn(self, code: str) -> None:
-        rows, flat, ends = self.caches[code]
+        """Append the ids of new words; a row of the cache is a place in them and a length."""
+        rows, flat, starts, lens = self.caches[code]
         if not rows.fresh:
             return
-        words = [w.decode(code, "replace") for w in rows.fresh]
+        old = len(starts)
+        marked = [(rows[w], rows[w[:-1]], rows[w[-1:]]) for w in tuple(rows.fresh) if code == "latin-1" and LONE_MARK.fullmatch(w)]
+        whole, stem, mark = (np.array(x, np.int64) for x in (zip(*marked) if marked else ((), (), ())))
+        starts, lens = (np.concatenate([x, np.zeros(len(rows.fresh), np.int64)]) for x in (starts, lens))
+        alone = np.ones(len(rows.fresh), bool)
+        alone[whole - old] = False
+        words = [w.decode(code, "replace") if a else "" for w, a in zip(rows.fresh, alone)]
         plain = np.fromiter((code == "latin-1" and LETTERS.fullmatch(w) is not None for w in words), bool, len(words))
-        lens = np.zeros(len(words), np.int64)
-        new = []
-        for some, encode in ((np.flatnonzero(plain), self._plain), (np.flatnonzero(~plain), self._library)):
+        size, new = len(flat), [flat]
+        for some, encode in ((np.flatnonzero(plain), self._plain), (np.flatnonzero(~plain & alone), self._library)):
             ids, n = encode([words[i] for i in some])
-            lens[some] = n
+            starts[old + some], lens[old + some] = size + np.cumsum(n) - n, n
+            size += len(ids)
             new.append(ids)
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        joined = np.empty(starts[-1], np.uint32)
-        for some, ids in zip((plain, ~plain), new):
-            joined[np.repeat(some, lens)] = ids
-        self.caches[code] = rows, np.concatenate([flat[:ends[-1]], joined]), np.concatenate([ends, ends[-1] + starts[1:]])
+        flat = np.concatenate(new)
+        n = lens[stem] + lens[mark]
+        starts[whole], lens[whole] = size + np.cumsum(n) - n, n
+        both = np.stack([stem, mark], 1).ravel()
+        flat = np.concatenate([flat, self._gathered(flat, starts[both], lens[both])])
+        self.caches[code] = rows, flat, starts, lens
         rows.fresh = []
 
+    @staticmethod
+    def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Runs of ``flat`` one after another."""
+        ends = np.cumsum(lens)
+        return flat[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if sum(len(rows) for rows, *_ in self.caches.values()) > self.limit:
             self.reset()
-        found = []
-        for t in texts:
+        found = {code: ([], []) for code in self.caches}
+        for i, t in enumerate(texts):
             code, words = "utf-8", []
             if t:
                 try:
                     # special tokens are found in their own case only
                     if b"<|" in t:
                         raise UnicodeError
-                    words = LONE_MARK.sub(r" \1", t.decode("utf-8").lower()).encode("latin-1").split()
+                    words = t.decode("utf-8").lower().encode("latin-1").split()
                     code = "latin-1"
                 except UnicodeError:
                     words = t.split()
-            found.append((code, np.fromiter(map(self.caches[code][0].__getitem__, words), np.int64, len(words))))
-        for code in self.caches:
+            places, row = found[code]
+            places.append(i)
+            row.append(np.fromiter(map(self.caches[code][0].__getitem__, words), np.int64, len(words)))
+        out = [np.empty(0, np.uint32)] * len(texts)
+        for code, (places, row) in found.items():
+            if not places:
+                continue
             self._learn(code)
-        out = []
-        for code, row in found:
-            _, flat, ends = self.caches[code]
-            starts, lens = ends[row], ends[row + 1] - ends[row]
-            at = np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum()) if len(row) else np.empty(0, np.int64)
-            out.append(flat[at])
+            _, flat, starts, lens = self.caches[code]
+            every = np.concatenate(row)
+            ids, upto = self._gathered(flat, starts[every], lens[every]), np.concatenate([[0], np.cumsum(lens[every])])
+            edges = upto[np.concatenate([[0], np.cumsum([len(r) for r in row])])]
+            for i, begin, end in zip(places, edges, edges[1:]):
+                out[i] = ids[begin:end]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """One for all tasks of a worker, which meet mostly the same words."""
+    return Encoder(vocabulary)
+
+
 def skippable(magic: int, payload: bytes) -> bytes:
     return struct.pack("<II", magic, len(payload)) + payload
 
@@ -242,13 +269,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        encoder, context, writer, seq, done = Encoder(vocabulary), TaskContext.get(), None, 0, []
+        tokens, context, writer, seq, done = encoder(vocabulary), TaskContext.get(), None, 0, []
         end = np.array([end_id], np.uint32)
         for whole in batches:
             for batch in text_parts(whole):
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text").to_pylist())):
                     if writer is None:
-                        writer = FrameWriter(store, f"{base}/ids-{context.partitionId():06d}-{seq:04d}-{context.taskAttemptId()}.zst", encoder.width, end_id)
+                        writer = FrameWriter(store, f"{base}/ids-{context.partitionId():06d}-{seq:04d}-{context.taskAttemptId()}.zst", tokens.width, end_id)
                     writer.add(doc_id, np.concatenate([ids, end]))
                     if len(writer.table) >= FILE_DOCS or writer.n_ids >= FILE_IDS:
                         done.append((context.partitionId(), seq, *writer.close()))
