@@ -199,6 +199,14 @@ def similar_row_fill(t):
     return fill_gain(rows, M.imputed_from_similar(rows, STATES), STATES)
 
 
+@query("nearest_row_fill", "M20 A56")
+def nearest_row_fill(t):
+    from episodia.operators.aggregates import fill_gain
+    from episodia.operators.neighbours import filled_from_nearest
+    rows = durable(panel(t).select("user_id", "bin", *STATES, *ACTIONS))
+    return fill_gain(rows, filled_from_nearest(rows, [*STATES, *ACTIONS]), STATES)
+
+
 @query("least_squares_effect", "M3 A39", with_(EV_SQL, LATE_SQL, PANEL_SQL, select=f"""
 , s as (select *, lead(bun) over (partition by user_id order by bin) as y from panel),
 k as (select regr_slope(y, vaso) as b, regr_intercept(y, vaso) as a, corr(y, vaso) as c from s where y is not null)
