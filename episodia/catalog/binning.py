@@ -11,6 +11,7 @@ from episodia.catalog.roles import (
 from episodia.functions import scalars as S
 from episodia.operators import aggregates as A
 from episodia.operators import intervals as I
+from episodia.operators import sweeps as W
 from episodia.operators.joins import enrich
 
 KEY = ["user_id"]
@@ -54,6 +55,42 @@ def active_rate_median_max(t):
     return A.exact_quantiles(rates, ["user_id", "bin"], "rate", {"median_rate": 0.5, "max_rate": 1.0})
 
 
+# intervals of up to thirty days, which touch up to 180 bins each
+LONG_SQL = """li as (select * replace (begins + (event_id % 31) * 86400 as finishes) from iv),
+lh as (select b.user_id, b.bin, i.*exclude(user_id), least(i.finishes, b.t1) - greatest(i.begins, b.t0) as overlap
+    from bins b join li i on i.user_id = b.user_id and i.begins < b.t1 and i.finishes > b.t0 and i.finishes > i.begins),
+la as (select b.user_id, b.bin, i.rate, i.event_type from bins b join li i on i.user_id = b.user_id
+    and ((i.begins < b.t1 and i.finishes > b.t0) or (i.begins >= b.t0 and i.begins < b.t1)))"""
+
+
+def long_intervals(t):
+    return intervals(t).withColumn("finishes", F.col("begins") + (F.col("event_id") % 31) * 86400)
+
+
+def spine_bins(t):
+    return I.bin_spine(late_stays(t), *FRAME).select("user_id", "bin")
+
+
+@query("swept_volume", "J8 A12", with_(EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, LONG_SQL, select=f"""
+select user_id, {n8('bin', 'bin')}, {r6('sum(rate * overlap / 3600.0)', 'volume', 4)} from lh group by 1, bin"""), digits=4)
+def swept_volume(t):
+    return W.volume_at(long_intervals(t), spine_bins(t), late_stays(t), KEY, "begins", "finishes", "rate", "start_sec", WIDTH)
+
+
+@query("swept_flags", "J10", with_(EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, LONG_SQL, select=f"""
+select user_id, {n8('bin', 'bin')}, {n8("max(case when event_type = 'click' then 1 else 0 end)", 'click_active')}, {n8("max(case when event_type = 'error' then 1 else 0 end)", 'error_active')}
+from la where event_type in ('click', 'error') group by 1, bin"""))
+def swept_flags(t):
+    names = {"click": "click_active", "error": "error_active"}
+    return W.flags_at(long_intervals(t), spine_bins(t), late_stays(t), KEY, "begins", "finishes", "event_type", names, "start_sec", WIDTH)
+
+
+@query("swept_rates", "J9 A14 A21", with_(EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, LONG_SQL, select=f"""
+select user_id, {n8('bin', 'bin')}, {r6('median(rate::double)', 'median_rate')}, {r6('max(rate)', 'max_rate')} from la where rate is not null group by 1, bin"""))
+def swept_rates(t):
+    return W.rates_at(long_intervals(t), spine_bins(t), late_stays(t), KEY, "begins", "finishes", "rate", "start_sec", WIDTH, "median_rate", "max_rate")
+
+
 @query("point_sums", "A13", with_(EV_SQL, IV_SQL, LATE_SQL, select=f"""
 select e.user_id, {n8('(e.begins - l.start_sec) // 14400', 'bin')}, {r6('sum(e.amount)', 'bolus')}
 from iv e join late l using (user_id) where e.rate is null and e.begins >= l.start_sec

@@ -167,3 +167,33 @@ def test_backward_fold_has_no_longest_run(spark, monkeypatch):
     df = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("t"))
     got = backward_fold(df, ["k"], "t", F.lit(1.0), F.lit(0.5)).first()["value"]
     assert abs(got - 2.0) < 1e-9
+
+
+def test_sweeps_equal_expanded_intervals_with_large_keys(spark):
+    import random
+
+    from episodia.operators import intervals as I
+    from episodia.operators import sweeps as W
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), rng.randrange(-500, 2500), rng.choice([0, 5, 90, 700, 3000]), rng.choice([None, 1.0, 2.5, 7.0]), rng.choice("ab")) for _ in range(400)]
+    iv = spark.createDataFrame([(k, b, b + n, r, c) for k, b, n, r, c in rows], "k int, b long, f long, r double, c string").repartition(4)
+    stays = spark.createDataFrame([(1, 0, 2400), (2, 100, 1000), (4, 0, 50)], "k int, s long, e long")
+    bins = I.bin_spine(stays, "s", "e", 100).select("k", "bin")
+
+    def same(a, b):
+        a, b = (sorted(map(tuple, x.collect())) for x in (a, b))
+        assert len(a) == len(b) and all(x[:2] == y[:2] and x[2:] == pytest.approx(y[2:]) for x, y in zip(a, b))
+
+    for most in (None, 20):
+        same(W.volume_at(iv, bins, stays, ["k"], "b", "f", "r", "s", 100, rows_per_task=most), I.volume_per_bin(iv, stays, ["k"], "b", "f", "r", "s", "e", 100))
+        same(W.flags_at(iv, bins, stays, ["k"], "b", "f", "c", {"a": "fa", "b": "fb"}, "s", 100, rows_per_task=most),
+             I.active_flags_per_bin(iv, stays, ["k"], "b", "f", "c", {"a": "fa", "b": "fb"}, "s", "e", 100))
+    active = I.active_rates_per_bin(iv, stays, ["k"], "b", "f", "r", "s", "e", 100)
+    want = active.groupBy("k", "bin").agg(F.percentile("r", F.lit(0.5)).alias("median"), F.max("r").alias("max"))
+    for stretch in (1024, 2):
+        same(W.rates_at(iv, bins, stays, ["k"], "b", "f", "r", "s", 100, stretch=stretch), want)
+    # a panel's own bins are enough, and an interval is not repeated for the bins it spans
+    few = bins.filter("bin % 5 = 0")
+    same(W.volume_at(iv, few, stays, ["k"], "b", "f", "r", "s", 100), I.volume_per_bin(iv, stays, ["k"], "b", "f", "r", "s", "e", 100).filter("bin % 5 = 0"))
+    assert W.volume_at(iv.filter("1 = 0"), bins, stays, ["k"], "b", "f", "r", "s", 100).count() == 0
