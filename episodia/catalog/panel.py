@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from episodia.catalog.registry import query
+from episodia.catalog.registry import Tables, query
 from episodia.catalog.roles import ADM_SQL, EV_SQL, ITEMS, STAY_SQL, admissions, ev, n8, r6, split_sql, stays, with_
 from episodia.functions import scalars as S
 from episodia.operators import aggregates as A
@@ -13,6 +14,7 @@ from episodia.operators import joins as J
 from episodia.operators import sequences as W
 from episodia.operators.sampling import hash_split
 from episodia.operators.scan import Following, ordered, panel_window
+from episodia.sources.tables import bucketed, co_located
 
 SPINE_SQL = """spine as (
     select user_id, d, date_diff('day', first_day, d) as day_of_stay, case when d = last_day then 1 else 0 end as is_last_day
@@ -111,6 +113,29 @@ def daily_flags_latched(t):
     return out.select("user_id", "day_of_stay", "ordered_today", "positive_ever", "blood_ever")
 
 
+@query("co_located_panel", "IO7 IO11 W8 W2 A10 J19", with_(EV_SQL, STAY_SQL, SPINE_SQL, WIDE_SQL, select=f"""
+, micro as (select user_id, day as d, max(case when value > 100 then 1 else 0 end) as pos from ev group by 1, 2)
+select user_id, {n8('day_of_stay', 'day_of_stay')}, {r6('click', 'click')}, {n8('max(coalesce(pos, 0)) over w', 'positive_ever')}, {r6('lead(click) over w2', 'next_click')}
+from spine left join micro using (user_id, d) left join wide using (user_id, d)
+window w as (partition by user_id order by day_of_stay rows unbounded preceding), w2 as (partition by user_id order by day_of_stay)"""))
+def co_located_panel(t):
+    return bucketed_panel(t)
+
+
+def bucketed_panel(t):
+    """Spine, daily means and flags bucketed by user: they meet and are windowed without another exchange."""
+    here = Tables(co_located(t.spark), t.folder)
+    days = {"user_id": F.col("user_id"), "calendar_date": F.col("day")}
+    means = A.mean_wide(ev(here).filter(F.col("value").isNotNull()), ["user_id", "day"], "event_type", "value", {i: i for i in ITEMS})
+    hits = A.flags_by_group(ev(here), ["user_id", "day"], {"positive": F.col("value") > 100})
+    parts = [bucketed(x.select(*[c.alias(n) for n, c in days.items()], *kept), ["user_id"], ["calendar_date"]) for x, kept in ((means, ["click"]), (hits, ["positive"]))]
+    spine = bucketed(user_spine(here), ["user_id"], ["calendar_date"])
+    joined = J.enrich(spine, [(p, ["user_id", "calendar_date"], fill) for p, fill in zip(parts, ({}, {"positive": 0}))])
+    w = panel_window(["user_id"], ["day_of_stay"])
+    latched = F.max("positive").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return joined.select("user_id", "day_of_stay", "click", latched.alias("positive_ever"), F.lead("click").over(w).alias("next_click"))
+
+
 # care units: every event starts a stretch in a unit, until the user's next event
 UNITS = {"click": "Medical Intensive Care Unit (MICU)", "view": "Emergency Department", "purchase": "Med/Surg",
          "signup": "Vascular", "error": "Coronary Care Unit (CCU)"}

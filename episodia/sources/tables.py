@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path, PurePosixPath
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from episodia.functions.scalars import number_or_null
 from episodia.operators.quality import require_columns
-from episodia.session import durable
+from episodia.session import durable, fresh_folder, prepared, written
 
 
 # --- databases ------------------------------------------------------------------
@@ -125,6 +126,38 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def co_located(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` that joins on more columns where both sides are dealt by one of them.
+
+    Tables bucketed by an episode then meet on (episode, step) and keep the layout
+    for windows over the episode.  It shares tables and cluster with ``spark``.
+    """
+    session = prepared(spark.newSession())
+    for name in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if spark.conf.get(name, None) is not None and session.conf.isModifiable(name):
+            session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return session
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int | None = None, label: str = "bucketed") -> DataFrame:
+    """``df`` as a table of one sorted file for each bucket of ``keys``, in the shared folder.
+
+    A key that holds more than four buckets' fair share would sit in one task of
+    every later step; such a table is written without buckets, and later steps shuffle.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    flat = written(df, label)
+    largest, total = flat.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if largest is not None and n > 4 and largest * n > 4 * total:
+        return flat
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    dealt = flat.repartition(n, *keys)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys, *order).option("path", fresh_folder(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A report table as JSON lines."""
     df.write.mode(mode).json(path)

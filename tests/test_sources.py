@@ -153,3 +153,27 @@ def test_large_episode_is_split_across_tasks(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, small):
+    from episodia.catalog.panel import bucketed_panel
+    from episodia.catalog.registry import Tables
+
+    panel = bucketed_panel(Tables(spark, small))
+    session = panel.sparkSession
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Window" in plan and "Exchange" not in plan
+    assert session is not spark and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert panel.count() > 0
+
+
+def test_a_large_key_is_not_bucketed(spark):
+    from episodia.sources.tables import bucketed, co_located
+
+    session = co_located(spark)
+    rows = session.range(1000).withColumn("k", F.when(F.col("id") < 700, 0).otherwise(F.col("id")))
+    even = bucketed(rows, ["id"], buckets=8).groupBy("id").count()
+    hot = bucketed(rows, ["k"], buckets=8).groupBy("k").count()
+    exchanges = ["Exchange hash" in x._jdf.queryExecution().executedPlan().toString() for x in (even, hot)]
+    assert exchanges == [False, True] and hot.filter("k = 0").first()["count"] == 700
