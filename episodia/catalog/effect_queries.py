@@ -112,7 +112,7 @@ def _boot_sql(rows: str, runs: int, seed: int) -> str:
 
 
 # one confounder beside the treatment: the two coefficients have a closed form
-FIT_SQL = """fit as (select event_id, coalesce(c2, (select median(c2) from pc where drug is not null and next_y is not null)) as x, drug as t, next_y as y, q
+FIT_SQL = """fit as (select event_id, coalesce(c2, (select quantile_disc(c2, 0.5) from pc where drug is not null and next_y is not null)) as x, drug as t, next_y as y, q
   from pc where drug is not null and next_y is not null)"""
 REFIT_SQL = """sums as (select draw, sum(w) as n, sum(w * x) / sum(w) as mx, sum(w * t) / sum(w) as mt, sum(w * y) / sum(w) as my from ws group by 1),
 moments as (select draw, sum(w * (x - mx) * (x - mx)) as xx, sum(w * (t - mt) * (t - mt)) as tt, sum(w * (x - mx) * (t - mt)) as xt, sum(w * (x - mx) * (y - my)) as xy, sum(w * (t - mt) * (y - my)) as ty

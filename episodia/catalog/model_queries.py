@@ -11,6 +11,7 @@ from episodia.operators import effects as E
 from episodia.operators import models as M
 from episodia.operators.forests import best_flags, fit_forests
 from episodia.operators.metrics import binary_metrics, feature_errors, regression_metrics
+from episodia.operators.moments import moments, ridge_left_out
 from episodia.operators.sampling import hash_split
 from episodia.operators.sequences import next_state
 from episodia.session import durable
@@ -83,8 +84,7 @@ def terminal_model(t):
 @query("severity_surrogate", "M7 A28 A29")
 def severity_surrogate(t):
     rows = steps(t).withColumn("severity", F.coalesce("hb", F.lit(0.0)) * 0.3 + F.coalesce("bun", F.lit(0.0)) * 0.2 + F.col("vaso"))
-    train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
-    model, alpha = M.ridge_by_validation(train, valid, [*STATES, *ACTIONS], "severity", [0.1, 1.0, 10.0])
+    model, alpha = ridge_left_out(rows.filter("split = 'train'"), [*STATES, *ACTIONS], "severity", [0.01, 0.1, 1.0, 10.0, 100.0])
     return regression_metrics(rows.filter("split = 'test'").withColumn("p", model.column()), "severity", "p").withColumn("alpha", F.lit(alpha))
 
 
@@ -247,3 +247,15 @@ def two_level_trees(t):
         feature, cut, value = f.feature[0], f.cut[0], f.value[0]
         out += [(name, n, int(feature[n]), float(f.cuts[feature[n]][cut[n] - 1]), float(value[2 * n + 1]), float(value[2 * n + 2])) for n in range(3) if feature[n] >= 0]
     return t.spark.createDataFrame(out, "target string, node int, feature int, cut double, below double, above double")
+
+
+@query("ridge_path", "M7 M9", f"""
+with x as (select l_quantity as q, l_extendedprice as y, case when l_orderkey % 5 = 0 then 'v' else 't' end as part from lineitem),
+  t as (select any_value(mq) as mq, any_value(my) as my, sum((q - mq) * (q - mq)) as xx, sum((q - mq) * (y - my)) as xy from (select q, y, avg(q) over () as mq, avg(y) over () as my from x where part = 't')),
+  w as (select a, xy / (xx + a) as slope, my - xy / (xx + a) * mq as intercept from t, (select unnest([1000.0, 1000000.0, 1000000000.0])::double as a)),
+  e as (select a, any_value(slope) as slope, any_value(intercept) as intercept, avg((y - intercept - slope * q) * (y - intercept - slope * q)) as error from w, x where part = 'v' group by a)
+select a as alpha, {r6('slope', 'slope', 3)}, {r6('intercept', 'intercept', 3)}, {r6('sqrt(error)', 'error', 3)} from e""", digits=3)
+def ridge_path(t):
+    m = moments(t.lineitem.select("*", F.when(F.col("l_orderkey") % 5 == 0, "v").otherwise("t").alias("part")), ["l_quantity"], ["l_extendedprice"], F.col("part"), ["t"])
+    path = m.path("l_extendedprice", [1e3, 1e6, 1e9], ["t"], ["v"])
+    return t.spark.createDataFrame([(a, f.weights[0], f.intercept, e ** 0.5) for a, f, e in path], "alpha double, slope double, intercept double, error double")

@@ -218,7 +218,7 @@ def refitted_draws(df: DataFrame, key: str, treatment: str, outcome: str, p: str
     """
     rows = _valid(df, treatment, outcome).filter(F.col(p).isNotNull())
     k = len(confounders)
-    fill = rows.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(confounders)]).first() if k else []
+    fill = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), F.lit(0.5), F.lit(100_000)).alias(f"m{i}") for i, c in enumerate(confounders)]).first() if k else []
     centre = [float(m or 0.0) for m in fill]
     features = [F.coalesce(F.col(c).cast("double") - F.lit(m), F.lit(0.0)) for c, m in zip(confounders, centre)]
     upper = np.triu_indices(k + 2)

@@ -139,12 +139,13 @@ def potential_outcomes(df: DataFrame, model: LinearScore, treatment: str, mu1: s
 
 def ridge_by_validation(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str,
                         alphas: Sequence[float]) -> tuple[LinearScore, float]:
-    """Penalty with the smallest validation error."""
-    fits = [(a, fit_linear(train, features, label, a)) for a in alphas]
-    y = F.col(label)
-    errors = valid.agg(*[F.avg(F.pow(m.column() - y, 2)).alias(f"e{i}") for i, (_, m) in enumerate(fits)]).first()
-    best = min(range(len(fits)), key=lambda i: errors[f"e{i}"])
-    return fits[best][1], fits[best][0]
+    """Penalty with the smallest validation error; one pass serves the whole path."""
+    from episodia.operators.moments import moments
+
+    tagged = train.select(*features, label, F.lit("t").alias("_part")).unionByName(valid.select(*features, label, F.lit("v").alias("_part")))
+    path = moments(tagged, features, [label], F.col("_part"), ["t"]).path(label, alphas, ["t"], ["v"])
+    alpha, model, _ = min(path, key=lambda p: p[2])
+    return model, alpha
 
 
 @dataclass
@@ -164,13 +165,14 @@ class MaskedLinearModel:
 def fit_masked_linear(df: DataFrame, states: Sequence[str], actions: Sequence[str],
                       allowed: Mapping[str, Sequence[str]], next_prefix: str = "next_", done: str = "done",
                       alpha: float = 1.0) -> MaskedLinearModel:
-    """Ridge per dynamic state on states and its allowed actions; balanced end model."""
-    scores = {s: fit_linear(df, [*states, *acts], f"{next_prefix}{s}", alpha, True) for s, acts in allowed.items()}
-    spread = df.agg(*[
-        F.stddev_pop(F.col(f"{next_prefix}{s}") - m.column()).alias(s) for s, m in scores.items()
-    ]).first()
+    """Ridge per dynamic state on states and its allowed actions, all from one pass; balanced end model."""
+    from episodia.operators.moments import moments
+
+    sums = moments(df, [*states, *actions], [f"{next_prefix}{s}" for s in allowed])
+    scores = {s: sums.fit(f"{next_prefix}{s}", [*states, *acts], alpha, True) for s, acts in allowed.items()}
+    spread = {s: sums.squared_error(m, f"{next_prefix}{s}") ** 0.5 for s, m in scores.items()}  # residuals have mean 0
     end = fit_logistic(df, [*states, *actions], done, balanced=True)
-    return MaskedLinearModel(scores, {s: float(spread[s] or 0.0) for s in scores}, end)
+    return MaskedLinearModel(scores, {s: 0.0 if v != v else v for s, v in spread.items()}, end)
 
 
 @dataclass
@@ -280,7 +282,8 @@ class NextStateModels:
 def fit_next_state(df: DataFrame, features: Sequence[str], continuous: Sequence[str], binary: Sequence[str],
                    done: str | None = "done_next", prefix: str = "next_", **options) -> NextStateModels:
     """Fit all targets together; values are bounded by the 1st and 99th train percentile."""
-    ends = df.agg(*[F.percentile(F.col(f"{prefix}{c}").cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in continuous]).first() if continuous else {}
+    shares = F.array(F.lit(0.01), F.lit(0.99))
+    ends = df.agg(*[F.percentile_approx(F.col(f"{prefix}{c}").cast("double"), shares, F.lit(100_000)).alias(c) for c in continuous]).first() if continuous else {}
     bounds = {f"{prefix}{c}": (float(ends[c][0]), float(ends[c][1])) for c in continuous if ends[c]}
     targets = {f"{prefix}{c}": False for c in continuous} | {f"{prefix}{c}": True for c in binary} | ({done: True} if done else {})
     fits = fit_forests(df, features, targets, bounds=bounds, **options)
@@ -448,10 +451,13 @@ def row_effects(df: DataFrame, key: str, treatment: str, outcome: str, confounde
     """
     rows = df.filter(F.col(treatment).isNotNull() & F.col(outcome).isNotNull())
     rows = rows.withColumn("_fold", F.floor(uniform(F.lit("fold"), F.lit(seed), key) * folds))
+    from episodia.operators.moments import moments
+
+    sums = moments(rows, confounders, [outcome], F.col("_fold"))  # a fold's model comes from the others' sums
     y_hat, t_hat = F.lit(None).cast("double"), F.lit(None).cast("double")
     for k in range(folds):
         others = rows.filter(F.col("_fold") != k)
-        my, mt = fit_linear(others, confounders, outcome), fit_logistic(others, confounders, treatment)
+        my, mt = sums.fit(outcome, groups=[str(g) for g in range(folds) if g != k]), fit_logistic(others, confounders, treatment)
         y_hat = F.when(F.col("_fold") == k, my.column()).otherwise(y_hat)
         t_hat = F.when(F.col("_fold") == k, mt.column()).otherwise(t_hat)
     fill = medians(rows, confounders)

@@ -82,7 +82,8 @@ def test_refitted_draws_equal_a_fit_for_each_resample(spark):
     numbers = {r["id"]: (r["_lo"], r["_hi"]) for r in df.select("id", *E.row_seed("id", 9)).collect()}
     lo, hi = np.array([numbers[i] for i in range(n)]).T
     weights = E.poisson_weights(lo, hi, 20)
-    zf, q = np.where(np.isnan(z), np.nanmedian(z), z), np.clip(p, 0.01, 0.99)
+    middle = np.sort(z[~np.isnan(z)])[(np.sum(~np.isnan(z)) - 1) // 2]
+    zf, q = np.where(np.isnan(z), middle, z), np.clip(p, 0.01, 0.99)
     design = np.column_stack([np.ones(n), x, zf, 2 * x, t])
     for b, w in enumerate(weights):
         root = np.sqrt(w)
@@ -206,3 +207,43 @@ def test_registered_runs_and_groups_are_full(spark, small, monkeypatch):
     queries["similar_row_fill"].run(spark, small)
     assert "groups" not in seen  # the operator's own default
     assert max(r["n_runs_included"] for r in queries["stability_selection"].run(spark, small).collect()) > 30
+
+
+def test_fits_from_sums_equal_spark_ml(study):
+    from episodia.operators.moments import moments, ridge_left_out
+
+    df, x, z, t, y = study
+    df = df.withColumn("w", F.when(F.col("id") % 3 != 0, F.col("x") * F.col("t")))
+    m = moments(df, ["x", "z", "t"], ["next_y", "w"], F.col("id") % 2)
+    for label in ("next_y", "w"):
+        for some in (["x", "z", "t"], ["x"], ["t", "z"]):
+            for alpha, standardised in ((0.0, False), (50.0, False), (50.0, True)):
+                a, b = m.fit(label, some, alpha, standardised), M.fit_linear(df, some, label, alpha, standardised)
+                # the penalised fit of Spark ML scales the label by another spread, which shows in the fifth digit
+                assert np.allclose([a.intercept, *a.weights], [b.intercept, *b.weights], atol=1e-4 if alpha else 1e-6)
+    X = np.column_stack([x, z, t]) - np.column_stack([x, z, t]).mean(0)
+    assert np.allclose(m.fit("next_y", alpha=50.0).weights, np.linalg.solve(X.T @ X + 50 * np.eye(3), X.T @ (y - y.mean())), atol=1e-9)
+    scaled = np.diag(X.var(0, ddof=1))
+    assert np.allclose(m.fit("next_y", alpha=50.0, standardised=True).weights, np.linalg.solve(X.T @ X + 50 * scaled, X.T @ (y - y.mean())), atol=1e-9)
+    one = M.fit_linear(df.filter("id % 2 = 1"), ["x", "z", "t"], "next_y")
+    assert np.allclose(m.fit("next_y", groups=["1"]).weights, one.weights, atol=1e-6)
+    other = df.filter("id % 2 = 0").select(F.avg(F.pow(one.column() - F.col("next_y"), 2))).first()[0]
+    path = m.path("next_y", [0.0, 10.0], ["1"], ["0"])
+    assert np.isclose(path[0][2], other) and path[1][2] > path[0][2]
+    # leaving a row out, by leaving each row out
+    few = df.filter("id < 25").withColumn("z", F.when(F.col("id") != 4, F.col("z"))).cache()
+    fill = np.sort(np.delete(z[:25], 4))[11]
+    design = np.column_stack([x[:25], np.where(np.arange(25) == 4, fill, z[:25])])
+    errors = []
+    for alpha in (0.1, 5.0, 500.0):
+        total = 0.0
+        for i in range(25):
+            rest = np.arange(25) != i
+            c, b = design[rest].mean(0), y[:25][rest].mean()
+            w = np.linalg.solve((design[rest] - c).T @ (design[rest] - c) + alpha * np.eye(2), (design[rest] - c).T @ (y[:25][rest] - b))
+            total += (y[i] - b - (design[i] - c) @ w) ** 2
+        errors.append(total / 25)
+    from episodia.operators.moments import left_out_errors
+
+    assert np.allclose(left_out_errors(few, moments(few, ["x", "z"], ["next_y"]), "next_y", [0.1, 5.0, 500.0]), errors)
+    assert ridge_left_out(few, ["x", "z"], "next_y", [0.1, 5.0, 500.0])[1] == [0.1, 5.0, 500.0][int(np.argmin(errors))]
