@@ -10,7 +10,7 @@ from episodia.catalog.roles import n8, r6, split_sql
 from episodia.operators.sampling import hash_split
 from episodia.session import fresh_folder
 from episodia.sources import tables as IO
-from episodia.streaming import resume
+from episodia.streaming import key_index, resume
 
 
 def scratch(t) -> str:
@@ -116,3 +116,13 @@ def configured_extract(t):
     rows = IO.read_columns(t.spark, config["input"]["lines_path"], config["columns"])
     kept = rows.filter((F.col("l_quantity") >= config["least_quantity"]) & (F.col("l_linenumber") <= config["most_lines"]))
     return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean_quantity"))
+
+
+@query("indexed_append", "IO12 U4", f"select user_id, {n8('count(*)', 'n')} from events group by 1")
+def indexed_append(t):
+    """Loads that overlap: the filters of earlier batches tell which parts to compare with."""
+    folder = scratch(t)
+    counts = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    for part in ("user_id % 3 = 0", "user_id % 2 = 0", "true", "true"):
+        key_index.append_indexed(counts.filter(part), folder, ["user_id"], 8)
+    return key_index.read_indexed(t.spark, folder, counts.schema)
