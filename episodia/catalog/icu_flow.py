@@ -8,6 +8,7 @@ from episodia.catalog.registry import query
 from episodia.catalog.roles import EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, ev, intervals, late_stays, n8, r6, with_
 from episodia.functions import fixed_values as fixed
 from episodia.plans import icu
+from episodia.session import durable
 
 ITEMS = [("click", "sysbp"), ("view", "meanbp"), ("purchase", "creatinine"), ("signup", "hr"), ("error", "hb")]
 FIELDS = ["sysbp", "meanbp", "diabp", "creatinine", "hr", "hb"]
@@ -54,6 +55,11 @@ select user_id as stay, {n8('bin', 'bin')}, {", ".join(r6(c, c, 4) for c in FIEL
   {n8('case when top >= v3 then 4 when top >= v2 then 3 when top >= v1 then 2 when top > 0 then 1 else 0 end', 'vasopressor_dose')},
   {n8('case when round(istep, 6) >= f3 then 4 when round(istep, 6) >= f2 then 3 when round(istep, 6) >= f1 then 2 when istep > 0 then 1 else 0 end', 'ivfluid_dose')} from kept, q"""), digits=4)
 def icu_panel(t):
+    return dosed_panel(t).select("stay", "bin", *FIELDS, "input_step", "output_step", "input_total", "output_total", "cumulated_balance",
+                                 "median_dose_vaso", "signup_active", "view_active", "vasopressor_dose", "ivfluid_dose")
+
+
+def dosed_panel(t):
     iv = intervals(t).select(F.col("user_id").alias("stay"), "event_type", F.col("begins").alias("starttime"), F.col("finishes").alias("endtime"), "amount", F.col("rate").cast("double").alias("rate"))
     stays = late_stays(t).select(F.col("user_id").alias("stay"), F.col("start_sec").alias("intime"), F.col("end_sec").alias("outtime"))
     events = ev(t).select(F.col("user_id").alias("stay"), F.col("sec").alias("at"), F.col("event_type").alias("item"), "value", F.lit(0).alias("priority"), F.col("event_id").alias("seq"))
@@ -66,6 +72,30 @@ def icu_panel(t):
         iv.filter("event_type in ('signup', 'view')").withColumnRenamed("event_type", "drug_class"),
         iv.filter("event_type = 'error'").select("stay", F.col("starttime").alias("at"), F.col("amount").alias("value")), ["signup", "view"])
     # sums of many fractions differ in the last digit by order; the doses compare values
-    out = icu.dataset(panel.withColumn("input_step", F.round("input_step", 6)))
-    return out.select("stay", "bin", *FIELDS, "input_step", "output_step", "input_total", "output_total", "cumulated_balance",
-                      "median_dose_vaso", "signup_active", "view_active", "vasopressor_dose", "ivfluid_dose")
+    return icu.dataset(panel.withColumn("input_step", F.round("input_step", 6)))
+
+
+def icu_replay(t):
+    """From events to the replay table: panel, doses, filled features and scores, scaled states and rewards.
+
+    Measures that the events do not have stay unknown, which the scores count as normal.
+    """
+    from episodia.plans.replay import replay_table
+    absent = ["pao2", "fio2_1", "mechvent", "platelets", "total_bili", "gcs", "temp_c", "rr", "paco2", "wbc"]
+    rows = dosed_panel(t).withColumns({c: F.lit(None).cast("double") for c in absent}).withColumn("readmit_30d", (F.col("stay") % 5 == 0).cast("int"))
+    final = durable(icu.final_features(durable(rows), FIELDS))
+    return replay_table(final, entity="stay", step="bin", dynamic={c: fixed.BOUNDS[c] for c in FIELDS if c != "diabp"}, static={}, logged=[], actions=["vaso", "fluid"],
+                        sources={"vaso": "vasopressor_dose", "fluid": "ivfluid_dose"}, keep=["sofa", "sirs"])
+
+
+@query("icu_replay_flow", "P9 P15 M20 F43 W5 T8 F24", with_(EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, WIDE_SQL, CLEAN_SQL, DOSE_SQL, select=f"""
+, ids as (select user_id, row_number() over (order by user_id) - 1 as i, count(*) over () as n from (select distinct user_id from kept))
+select kept.user_id as stay, {n8('bin', 'bin')}, case when i < floor(n * 0.7) then 'train' when i < floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as split,
+  {n8('case when lead(bin) over (partition by kept.user_id order by bin) is null then 1 else 0 end', 'done')},
+  {n8('case when top > 0 then 1 else 0 end + case when istep > 0 then 2 else 0 end', 'a')}, 0::bigint as n_unknown from kept join ids using (user_id)"""))
+def icu_replay_flow(t):
+    """What does not follow from the filled values, which have no SQL, and how many of these are still unknown."""
+    rows = icu_replay(t)
+    states = [c for c in rows.columns if c.startswith("s_")]
+    unknown = sum((F.col(c).isNull() | F.isnan(c)).cast("int") for c in [*states, "r"])
+    return rows.select("stay", "bin", "split", "done", "a", unknown.alias("n_unknown"))

@@ -134,15 +134,19 @@ def dataset(panel: DataFrame) -> DataFrame:
     return out
 
 
-def final_features(panel: DataFrame, fields: Sequence[str], groups: int = 20, hours: int = 4) -> DataFrame:
-    """Gap interpolation for columns with few gaps, similar-row fill, ratios and scores."""
+def final_features(panel: DataFrame, fields: Sequence[str], groups: int | None = None, hours: int = 4, nearest: int = 5) -> DataFrame:
+    """Gap interpolation for columns with few gaps, fill from the nearest rows, ratios and scores.
+
+    With ``groups``, means of so many clusters take the place of the nearest rows.
+    """
     from episodia.operators.models import imputed_from_similar
+    from episodia.operators.neighbours import filled_from_nearest
 
     rows = panel.count()
     nulls = {r["column_name"]: r["n_null"] for r in A.null_counts(panel, fields).collect()}
     few = [c for c in fields if 0 < nulls[c] < 0.05 * rows]
     out = W.interpolated(panel, KEY, "bin", few) if few else panel
-    out = imputed_from_similar(out, fields, groups)
+    out = imputed_from_similar(out, fields, groups) if groups else filled_from_nearest(out, fields, nearest)
     w = W.panel_window(KEY, ["bin"]).rowsBetween(-(24 // hours - 1), 0)
     out = out.withColumn("_urine_day", F.sum("output_step").over(w))
     out = out.withColumns({"pao2_fio2": S.oxygen_ratio("pao2", "fio2_1"), "shock_index": S.shock_index("hr", "sysbp")})

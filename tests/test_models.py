@@ -197,6 +197,16 @@ def test_final_features_fill_and_score(spark):
     assert out.filter("bin = 0").first().sofa == 3
 
 
+def test_the_flow_from_events_to_replay_rows(spark, small):
+    from episodia.catalog.icu_flow import icu_replay
+    from episodia.catalog.registry import Tables
+
+    rows = icu_replay(Tables(spark, small)).toPandas()
+    assert len(rows) > 50 and (rows.groupby("stay").done.sum() == 1).all() and set(rows.a) <= {0, 1, 2, 3}
+    states = [c for c in rows if c.startswith("s_")]
+    assert not rows[states].isna().any().any() and rows[states].abs().max().max() <= 5 and rows.r[rows.done == 1].isin([15, -15]).all()
+
+
 def test_registered_runs_and_groups_are_full(spark, small, monkeypatch):
     from episodia.catalog import load_queries, model_queries
 
