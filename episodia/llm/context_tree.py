@@ -34,7 +34,7 @@ from episodia.session import written
 
 DEPTH = 5
 #: text bytes that one look-up of strings and words serves
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: text bytes handled at a time
 PART_BYTES = 2 << 20
 END = b"\n"
@@ -235,7 +235,7 @@ class Wanted:
             for _, slices in pieces([b for _, b in spelt], self.part_bytes):
                 keys, n = np.unique(gram_keys(slices), return_counts=True)
                 self.grams.append((keys, n if train else np.zeros(len(n), np.int64)))
-        if sum(len(k) for k, _ in self.grams) > 4 * self.part_bytes:
+        if sum(len(k) for k, _ in self.grams) > self.part_bytes:
             self.grams = [self.merged()]
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -427,8 +427,10 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str =
         known: dict[bytes, int] = {}
         for b, keys, _ in wanted.word_buckets():
             known.update(zip(keys, unpacked(answers.to(WORDS, b, b" ".join(keys))).tolist()))
+        wanted.words.clear()
         some = [(keys, np.frombuffer(answers.to(GRAMS, b, packed(keys, WIDTH)))) for b, keys, _ in wanted.gram_buckets()]
         keys, log2 = (np.concatenate(x) for x in zip(*some))
+        del answers, wanted, some
         order = np.argsort(keys)
         keys, log2 = keys[order], log2[order]
         bits, size, tokens, seen, base = np.zeros(len(texts)), [], [], [], []
