@@ -121,6 +121,23 @@ select p.user_id, {n8('p.bin', 'bin')}, {r6('sum(coalesce(v, 0)) over w', 'gain_
 from panel p left join vol on vol.user_id = p.user_id and vol.bin = p.bin left join uo on uo.user_id = p.user_id and uo.bin = p.bin
 join op on op.user_id = p.user_id window w as (partition by p.user_id order by p.bin rows unbounded preceding)"""), digits=4)
 def running_balance(t):
+    return balance(t, False)
+
+
+@query("running_balance_carried", "W9 J8 A12 A13 A15", with_(EV_SQL, IV_SQL, LATE_SQL, BINS_SQL, HITS_SQL, PANEL_SQL, select=f"""
+, vol as (select user_id, bin, sum(rate * overlap / 3600.0) as v, 0 as u, 0 as p from hits group by 1, 2),
+uo as (select e.user_id, (e.begins - l.start_sec) // 14400 as bin, 0 as v, sum(e.amount) as u, 0 as p from iv e join late l using (user_id)
+   where e.rate is null and e.begins >= l.start_sec and (e.begins - l.start_sec) // 14400 < cast(ceil((l.end_sec - l.start_sec) / 14400.0) as bigint) group by 1, 2),
+op as (select l.user_id, coalesce(sum(case when rate is null and begins < l.start_sec then amount end), 0) as o from late l left join iv using (user_id) group by 1),
+every as (select user_id, bin, sum(coalesce(v, 0)) as v, sum(coalesce(u, 0)) as u, max(p) as p from (from vol union all from uo union all select user_id, bin, 0, 0, 1 from panel) group by 1, 2),
+tot as (select user_id, bin, p, sum(v) over w as g, sum(u) over w as l from every window w as (partition by user_id order by bin rows unbounded preceding))
+select user_id, {n8('bin', 'bin')}, {r6('g', 'gain_total', 4)}, {r6('o + l', 'loss_total', 4)}, {r6('g - (o + l)', 'balance', 4)} from tot join op using (user_id) where p = 1"""), digits=4)
+def running_balance_carried(t):
+    """Volumes in bins without a reading are carried to the next bin that has one."""
+    return balance(t, True)
+
+
+def balance(t, carried):
     stays, iv = late_stays(t), intervals(t)
     volume = I.volume_per_bin(iv, stays, KEY, "begins", "finishes", "rate", *FRAME)
     points = I.points_to_bins(iv.filter("rate is null"), stays, KEY, "begins", *FRAME)
@@ -128,7 +145,7 @@ def running_balance(t):
     opening = I.totals_before(iv.filter("rate is null"), stays, KEY, "begins", "amount", "start_sec", "opening").select("user_id", "opening")
     bins = enrich(panel(t).select("user_id", "bin"), [
         (volume, ["user_id", "bin"], {"volume": 0.0}), (loss, ["user_id", "bin"], {"loss": 0.0}), (opening, ["user_id"], {"opening": 0.0})])
-    out = I.running_balance(bins.withColumn("zero", F.lit(0.0)), KEY, "bin", "volume", "loss", "zero", "opening")
+    out = I.running_balance(bins.withColumn("zero", F.lit(0.0)), KEY, "bin", "volume", "loss", "zero", "opening", [volume, loss] if carried else [])
     return out.select("user_id", "bin", "gain_total", "loss_total", "balance")
 
 

@@ -44,6 +44,31 @@ def earliest_return(t):
     return out.select("episode", "next_start", "readmit_30d")
 
 
+@query("return_another_day", "J4 F4", with_(ADM_SQL, select=f"""
+select a.episode, {n8("max(case when b.starts <= a.ends + interval 30 day then 1 else 0 end)", 'readmit_30d')}
+from (select episode, subject, ends from adm) a left join adm b on a.subject = b.subject and b.kind <> '5-LOW' and b.starts > a.ends and cast(b.starts as date) > cast(a.ends as date)
+group by a.episode"""))
+def return_another_day(t):
+    """Starts on the day of the end and episodes of the lowest kind do not count."""
+    rows = admissions(t).select("episode", "subject", "starts", "ends", "kind")
+    out = J.returned_within(rows, "subject", "episode", "starts", "ends", 30, exclude_same_day=True, counted=F.col("kind") != "5-LOW")
+    return out.select("episode", "readmit_30d")
+
+
+@query("prior_visits_without_current", "J6 A7 F4", with_(ADM_SQL, select=f"""
+select a.episode, {n8("least(count(distinct b.episode), 4)", 'prior_visits')}
+from adm a left join adm b on a.subject = b.subject and b.kind in ('1-URGENT', '2-HIGH') and b.episode <> a.episode
+  and b.starts < a.starts + interval 1 day and b.starts >= a.starts + interval 1 day - interval 6 month
+group by a.episode"""))
+def prior_visits_without_current(t):
+    """Before the second day of an episode, which itself does not count."""
+    adm = admissions(t).withColumn("second", F.col("starts") + F.expr("interval 1 day")).withColumn("listed", F.col("kind").isin(KINDS))
+    probes = adm.select("episode", "subject", "starts", "listed", "second", S.months_before("second", 6).cast("timestamp_ntz").alias("since"))
+    visits = adm.filter("listed").select("subject", "starts")
+    out = J.prior_count(probes, visits, ["subject"], "second", "since", "starts", "prior_visits", 4, exclude_current=("starts", "listed"))
+    return out.select("episode", "prior_visits")
+
+
 @query("prior_visits_6m_capped", "J6 A7 F4 F6", with_(ADM_SQL, select=f"""
 select a.episode, {n8("least(count(distinct b.episode), 4)", 'prior_visits')}
 from adm a left join adm b on a.subject = b.subject and b.kind in ('1-URGENT', '2-HIGH')

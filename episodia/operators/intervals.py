@@ -145,8 +145,22 @@ def volume_before(intervals: DataFrame, episodes: DataFrame, keys: list[str], be
 
 
 def running_balance(panel: DataFrame, keys: list[str], index: str, gain: str, loss: str,
-                    opening_gain: str, opening_loss: str) -> DataFrame:
-    """Running totals over the panel's bins on top of the opening totals."""
+                    opening_gain: str, opening_loss: str, carry_unoccupied: Sequence[DataFrame] = ()) -> DataFrame:
+    """Running totals over the panel's bins on top of the opening totals.
+
+    What falls into bins that the panel lacks is lost, unless tables with the gains and
+    losses of all bins (keys, ``index`` and ``gain`` or ``loss``) are given: then it
+    is carried to the next bin of the panel.
+    """
+    if carry_unoccupied:
+        known = [t.select(*keys, index, *[(F.col(c) if c in t.columns else F.lit(None)).cast("double").alias(c) for c in (gain, loss)]) for t in carry_unoccupied]
+        parts = known[0]
+        for t in known[1:]:
+            parts = parts.unionByName(t)
+        empty = parts.groupBy(*keys, index).agg(F.sum(gain).alias(gain), F.sum(loss).alias(loss)).join(panel.select(*keys, index), [*keys, index], "left_anti")
+        # openings belong to the panel's rows, which alone stay
+        out = running_balance(panel.withColumn("_occupied", F.lit(1)).unionByName(empty, allowMissingColumns=True), keys, index, gain, loss, opening_gain, opening_loss)
+        return out.filter("_occupied = 1").drop("_occupied")
     w = panel_window(keys, [index]).rowsBetween(Window.unboundedPreceding, 0)
     out = panel.withColumns({
         "gain_total": F.col(opening_gain) + F.sum(F.coalesce(gain, F.lit(0.0))).over(w),

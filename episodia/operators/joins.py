@@ -182,27 +182,39 @@ def next_start(
 
 def returned_within(
     episodes: DataFrame, subject: str, episode: str, start: str, end: str, days: int,
-    name: str = "readmit_30d", rows_per_task: int | None = None,
+    name: str = "readmit_30d", rows_per_task: int | None = None, exclude_same_day: bool = False, counted: Column | None = None,
 ) -> DataFrame:
     """1 if the subject starts another episode at most ``days`` after the end.
 
-    The earliest later start decides, so no pair of episodes is formed.
+    The earliest later start decides, so no pair of episodes is formed.  Starts on the
+    day of the end may be left out, and so may episodes that are not ``counted``
+    (say, observation); both count by default.
     """
-    nxt = next_start(episodes, subject, episode, start, end, rows_per_task)
+    if exclude_same_day or counted is not None:
+        starts = (episodes if counted is None else episodes.filter(counted)).select(subject, F.col(start).alias("next_start"))
+        after = F.col(end)
+        if exclude_same_day:
+            # nothing before the next midnight
+            after = F.greatest(after, F.date_trunc("day", end).cast(episodes.schema[end].dataType) + F.expr("interval '23:59:59.999999' hour to second"))
+        nxt = as_of(episodes.withColumn("_after", after), starts, [subject], "_after", "next_start", ["next_start"], direction="forward", allow_equal=False,
+                    rows_per_task=rows_per_task).drop("_after")
+    else:
+        nxt = next_start(episodes, subject, episode, start, end, rows_per_task)
     gap = F.unix_micros(F.col("next_start").cast("timestamp")) - F.unix_micros(F.col(end).cast("timestamp"))
     return nxt.withColumn(name, F.coalesce((gap <= days * 86400 * 1_000_000).cast("int"), F.lit(0)))
 
 
 def prior_count(
     probes: DataFrame, visits: DataFrame, keys: list[str], at: str, since: str, visit_time: str,
-    name: str, cap: int | None = None, rows_per_task: int | None = None,
+    name: str, cap: int | None = None, rows_per_task: int | None = None, exclude_current: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Visits of the key with ``since <= time < at``, optionally capped.
 
     Two running counts (visits before ``at`` and before ``since``) and their
     difference, once for each distinct (key, at, since) and joined back, so equal
     probes stay apart.  ``visits`` must hold one row per visit.  A null key or
-    time counts nothing.
+    time counts nothing.  ``exclude_current`` names two columns of ``probes``, the time of
+    the probe's own visit and whether it is in ``visits``; then that one does not count.
     """
     asked = list(dict.fromkeys([*keys, at, since]))
     points = probes.select(*asked).dropna().distinct()
@@ -219,7 +231,11 @@ def prior_count(
     counted = ordered(both, [f"_k{i}" for i in range(len(keys))], ["_at", "_side"], {"_n": RunningSum("_one")}, rows_per_task=rows_per_task)
     per_point = counted.filter(F.col("_sign") != 0).groupBy("_point").agg(F.sum(F.col("_sign") * F.col("_n")).alias("_count"))
     out = probes.join(per_point.select("_point.*", "_count"), asked, "left").select(*[probes[c] for c in probes.columns], F.coalesce("_count", F.lit(0)).alias("_count"))
-    count = F.col("_count") if cap is None else F.least(F.col("_count"), F.lit(cap))
+    count = F.col("_count")
+    if exclude_current is not None:
+        time, listed = map(F.col, exclude_current)
+        count = count - F.coalesce(((listed.cast("int") == 1) & (time >= F.col(since)) & (time < F.col(at))).cast("int"), F.lit(0))
+    count = count if cap is None else F.least(count, F.lit(cap))
     return out.select(*probes.columns, count.alias(name))
 
 
