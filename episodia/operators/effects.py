@@ -46,20 +46,24 @@ def overlap_summary(df: DataFrame, treatment: str, p: str) -> DataFrame:
 
 
 def balance_table(df: DataFrame, treatment: str, p: str, confounders: Sequence[str]) -> DataFrame:
-    """Raw and weighted standardised mean difference per confounder.
+    """Raw and weighted standardised mean difference per confounder."""
+    return balance_tables(df, {treatment: p}, confounders)
 
-    Rows are turned into (confounder, value) pairs and reduced on the map side;
-    each task sends one row per confounder.
+
+def balance_tables(df: DataFrame, scores: dict[str, str], confounders: Sequence[str]) -> DataFrame:
+    """Balance of every treatment in ``scores`` (treatment to propensity column) from one pass.
+
+    Rows are turned into (treatment, confounder, value) triples and reduced on the map
+    side; each task sends one row per treatment and confounder.  A treatment is no confounder of its own.
     """
-    t = _treated(treatment)
-    pc = clipped(p)
-    w = F.when(t == 1, 1 / pc).otherwise(1 / (1 - pc))
-    long = df.select(
-        t.alias("t"), w.alias("w"),
-        F.inline(F.array(*[
-            F.struct(F.lit(c).alias("confounder"), F.col(c).cast("double").alias("x")) for c in confounders
-        ])),
-    ).filter(F.col("x").isNotNull())
+    triples = []
+    for treatment, p in scores.items():
+        t, pc = _treated(treatment), clipped(p)
+        w = F.when(t == 1, 1 / pc).otherwise(1 / (1 - pc))
+        triples += [
+            F.struct(F.lit(treatment).alias("treatment"), F.lit(c).alias("confounder"), t.alias("t"), w.alias("w"), F.col(c).cast("double").alias("x"))
+            for c in confounders if c != treatment]
+    long = df.select(F.inline(F.array(*triples))).filter(F.col("x").isNotNull())
     arm = {a: (F.col("t") == a) for a in (1, 0)}
     cells = []
     for a, is_arm in arm.items():
@@ -69,25 +73,16 @@ def balance_table(df: DataFrame, treatment: str, p: str, confounders: Sequence[s
             F.sum(wx).alias(f"sw{a}"), F.sum(wx * F.col("x")).alias(f"swx{a}"),
             F.sum(wx * F.col("x") * F.col("x")).alias(f"swxx{a}"),
         ]
-    s = long.groupBy("confounder").agg(*cells)
+    s = long.groupBy("treatment", "confounder").agg(*cells)
     enough = (F.col("n1") >= 2) & (F.col("n0") >= 2)
     raw = (F.col("m1") - F.col("m0")) / F.nullif(F.sqrt((F.col("v1") + F.col("v0")) / 2), F.lit(0.0))
     mu = {a: F.col(f"swx{a}") / F.col(f"sw{a}") for a in (1, 0)}
     var = {a: F.greatest(F.col(f"swxx{a}") / F.col(f"sw{a}") - mu[a] * mu[a], F.lit(0.0)) for a in (1, 0)}
     weighted = (mu[1] - mu[0]) / F.nullif(F.sqrt((var[1] + var[0]) / 2), F.lit(0.0))
-    out = s.select(
-        F.lit(treatment).alias("treatment"), "confounder",
-        F.when(enough, raw).alias("raw_smd"), F.when(enough, weighted).alias("weighted_smd"),
-    )
+    out = s.select("treatment", "confounder", F.when(enough, raw).alias("raw_smd"), F.when(enough, weighted).alias("weighted_smd"))
     return out.withColumn("well_balanced", (F.abs("weighted_smd") < 0.1).cast("int"))
 
 
-def balance_tables(df: DataFrame, scores: dict[str, str], confounders: Sequence[str]) -> DataFrame:
-    """Balance of every treatment in ``scores`` (treatment to propensity column)."""
-    parts = [balance_table(df, t, p, [c for c in confounders if c != t]) for t, p in scores.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def balance_summary(table: DataFrame, bad_above: float = 0.2) -> DataFrame:
     """Mean absolute difference before and after weighting, per treatment."""
     return table.groupBy("treatment").agg(
