@@ -1,7 +1,9 @@
 """Boosted trees for many targets at once, and forests as flat arrays that score inside the row.
 
-Features are turned into bin numbers once.  A level of all targets' trees costs one
-pass: each task adds up gradients by (target, node, feature, bin) and sends its
+Features are turned into bin numbers once.  A score depends on the bins alone, so rows of
+equal bins become one row with counts and sums of their targets, which give the same
+gradients.  A level of all targets' trees costs one pass over these: each task adds up
+gradients by (target, node, feature, bin) and sends its
 sums, Spark adds them up, and the driver picks the splits from a table whose size
 depends on the model alone.  Every ``KEEP`` rounds the scores so far are written, so a pass
 walks a bounded number of trees.
@@ -22,7 +24,7 @@ from episodia.functions.scalars import decode_bit
 from episodia.session import durable
 
 #: rounds between two written states of the scores
-KEEP = 25
+KEEP = 5
 #: sums that the tasks of a pass may send to the driver without being added up by a shuffle
 DIRECT_CELLS = 1 << 20
 
@@ -68,7 +70,10 @@ class Forest:
         return total
 
     def predicted(self, bins: np.ndarray) -> np.ndarray:
-        out = self.base + self.margins(bins)
+        return self._outcome(self.margins(bins))
+
+    def _outcome(self, margins: np.ndarray) -> np.ndarray:
+        out = self.base + margins
         out = 1 / (1 + np.exp(-out)) if self.logistic else out
         return np.clip(out, *self.bounds) if self.bounds else out
 
@@ -87,25 +92,61 @@ class Forest:
     def score(self, df: DataFrame, name: str, overrides: Mapping[str, Column] | None = None) -> DataFrame:
         return df.withColumn(name, self.column(overrides))
 
-    def over_flags(self, flags: Sequence[str], overrides: Mapping[str, Column] | None = None) -> Column:
-        """Predictions under all on/off settings of ``flags``, as an array indexed by their bit code.
+    def flag_margins(self, bins: np.ndarray, at: Sequence[int], off: Sequence[int], on: Sequence[int]) -> np.ndarray:
+        """Margins (row, setting) under all settings of the features ``at``, each tree passed once for all of them.
 
-        Rows are not repeated: a batch is binned once and only the flags' bins change.
+        A leaf is reached by rows and by settings; of a tree each pair reaches one leaf, so the product
+        of both adds nothing but zeros to its value.
         """
+        codes, place = np.arange(1 << len(at)), {i: k for k, i in enumerate(at)}
+        total = np.zeros((len(bins), len(codes)))
+        for f, c, v in zip(self.feature, self.cut, self.value):
+            todo, ends = [(0, np.ones(len(bins), bool), np.ones(len(codes), bool))], []
+            while todo:
+                node, rows, settings = todo.pop()
+                j = f[node]
+                if j < 0:
+                    ends.append((rows, settings * v[node]))
+                elif j in place:
+                    k = place[j]
+                    high = np.where(codes >> k & 1, on[k], off[k]) > c[node]
+                    todo += [(2 * node + 1 + i, rows, settings & s) for i, s in enumerate((~high, high)) if (settings & s).any()]
+                else:
+                    high = bins[:, j] > c[node]
+                    todo += [(2 * node + 1, rows & ~high, settings), (2 * node + 2, rows & high, settings)]
+            total += np.stack([r for r, _ in ends], 1).astype(np.float64) @ np.stack([s for _, s in ends])
+        return total
+
+    def _all_settings(self, flags: Sequence[str]):
         at = [self.features.index(c) for c in flags]
         off, on = ([int(self.binned([np.array([v])] * len(self.features))[0, i]) for i in at] for v in (0.0, 1.0))
+        return lambda xs: self._outcome(self.flag_margins(self.binned(xs), at, off, on))
+
+    def over_flags(self, flags: Sequence[str], overrides: Mapping[str, Column] | None = None) -> Column:
+        """Predictions under all on/off settings of ``flags``, as an array indexed by their bit code.
+
+        Rows are not repeated: a batch is binned once and each tree is passed once.
+        """
+        predicted = self._all_settings(flags)
 
         def score(*xs: pd.Series) -> pd.Series:
-            bins, out = self.binned(xs), []
-            for code in range(1 << len(at)):
-                for k, i in enumerate(at):
-                    bins[:, i] = on[k] if code >> k & 1 else off[k]
-                out.append(self.predicted(bins))
-            return pd.Series(list(np.stack(out, 1)) if len(bins) else [], dtype=object)
+            return pd.Series(list(predicted(xs)), dtype=object)
 
         score.__annotations__ = {"xs": pd.Series, "return": pd.Series}
         return F.pandas_udf(score, "array<double>")(*self._inputs(overrides))
 
+    def best_over_flags(self, flags: Sequence[str], overrides: Mapping[str, Column] | None = None, largest: bool = True) -> Column:
+        """Best prediction over all settings of ``flags`` and the lowest bit code that has it, as (value, code)."""
+        predicted = self._all_settings(flags)
+
+        def score(*xs: pd.Series) -> pd.DataFrame:
+            values = predicted(xs)
+            code = values.argmax(1) if largest else values.argmin(1)
+            return pd.DataFrame({"value": values[np.arange(len(values)), code], "code": code.astype(np.int32)})
+
+        score.__annotations__ = {"xs": pd.Series, "return": pd.DataFrame}
+        return F.pandas_udf(score, "value double, code int")(*self._inputs(overrides))
+
     def importances(self) -> dict[str, float]:
         """Share of the gain that splits on each feature brought."""
         total = float(self.gains.sum()) or 1.0
@@ -130,33 +171,42 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
     """
     names, flags = list(targets), [bool(v) for v in targets.values()]
     cuts = cuts or quantile_cuts(df, features, bins)
-    means = df.agg(*[F.avg(F.col(t).cast("double")).alias(f"t{i}") for i, t in enumerate(names)]).first()
-    forests, weights = [], []
-    for name, logistic, mean in zip(names, flags, means):
-        m = float(mean or 0.0)
-        share = min(max(m, 1e-9), 1 - 1e-9)
-        weights.append((0.5 / (1 - share), 0.5 / share) if logistic and balanced else (1.0, 1.0))
-        base = (0.0 if balanced else float(np.log(share / (1 - share)))) if logistic else m
-        forests.append(Forest(list(features), cuts, base, depth, logistic, (bounds or {}).get(name), gains=np.zeros(len(features))))
     n_t, n_f, n_b = len(names), len(features), max(len(c) for c in cuts) + 2
+    # one pair of count and sum for a number, one for each class of a label
+    pairs = [(i, side) for i, logistic in enumerate(flags) for side in ((False, True) if logistic else (None,))]
+    of = [[p for p, (t, _) in enumerate(pairs) if t == i] for i in range(n_t)]
+    unfitted = Forest(list(features), cuts, 0.0, depth)
 
     def prepare(batches):
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_f)]
-            rows = forests[0].binned(columns).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in rows], pa.binary()), *[batch.column(n_f + i) for i in range(n_t)],
-                 *[pa.array(np.full(len(rows), f.base)) for f in forests]], ["bins", *[f"y{i}" for i in range(n_t)], *[f"s{i}" for i in range(n_t)]])
-
-    kept = ", ".join(f"{c}{i} double" for c in "ys" for i in range(n_t))
-    start = df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)], *[F.col(t).cast("double").alias(f"y{i}") for i, t in enumerate(names)])
-    state, first = durable(start.mapInArrow(prepare, f"bins binary, {kept}")), 0
-    tasks = state.select(F.spark_partition_id().alias("p")).distinct().count()
+            rows = unfitted.binned(columns).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *[batch.column(n_f + i) for i in range(n_t)]],
+                                             ["bins", *[f"y{i}" for i in range(n_t)]])
+
+    start = df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)],
+                      *[F.nanvl(F.col(t).cast("double"), F.lit(None).cast("double")).alias(f"y{i}") for i, t in enumerate(names)])
+    binned = start.mapInArrow(prepare, "bins binary" + "".join(f", y{i} double" for i in range(n_t)))
+    known = [F.col(f"y{i}") if side is None else F.when((F.col(f"y{i}") > 0.5) == side, F.col(f"y{i}")) for i, side in pairs]
+    state = durable(binned.groupBy("bins").agg(
+        *[F.count(y).cast("double").alias(f"n{p}") for p, y in enumerate(known)], *[F.coalesce(F.sum(y), F.lit(0.0)).alias(f"t{p}") for p, y in enumerate(known)]
+    ).select("*", *[F.lit(0.0).alias(f"s{i}") for i in range(n_t)]))
+    kept = ", ".join(["bins binary", *[f"{c}{p} double" for c in "nt" for p in range(len(pairs))], *[f"s{i} double" for i in range(n_t)]])
+    first, tasks = 0, state.select(F.spark_partition_id().alias("p")).distinct().count()
+    whole = state.agg(*[F.sum(f"{c}{p}").alias(f"{c}{p}") for c in "nt" for p in range(len(pairs))]).first()
+    forests, weights = [], []
+    for i, (name, logistic) in enumerate(zip(names, flags)):
+        rows, total = (sum(whole[f"{c}{p}"] or 0.0 for p in of[i]) for c in "nt")
+        m = total / rows if rows else 0.0
+        share = min(max(m, 1e-9), 1 - 1e-9)
+        weights.append((0.5 / (1 - share), 0.5 / share) if logistic and balanced else (1.0, 1.0))
+        base = (0.0 if balanced else float(np.log(share / (1 - share)))) if logistic else m
+        forests.append(Forest(list(features), cuts, base, depth, logistic, (bounds or {}).get(name), gains=np.zeros(len(features))))
 
     def parts(batch):
         rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, n_f)
-        cells = [batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(2 * n_t)]
-        return rows, cells[:n_t], cells[n_t:]
+        cells = [batch.column(i + 1).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(2 * len(pairs) + n_t)]
+        return rows, cells[:len(pairs)], cells[len(pairs):2 * len(pairs)], cells[2 * len(pairs):]
 
     for k in range(trees):
         size = (1 << (depth + 1)) - 1
@@ -168,27 +218,28 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
             low = (1 << level) - 1
             if level and not any((f.feature[-1][(low - 1) // 2:low] >= 0).any() for f in forests):
                 break
-            grown = [(f.logistic, [t[first:] for t in (f.feature, f.cut, f.value)]) for f in forests]
+            grown = [(f.logistic, f.base, [t[first:] for t in (f.feature, f.cut, f.value)]) for f in forests]
 
             def run(batches, level=level, low=low, grown=grown):
                 width = (1 << level) * n_f * n_b
                 sums = np.zeros((n_t, 3, width))
                 for batch in batches:
-                    rows, ys, scores = parts(batch)
-                    for i, (logistic, (feature, cut, value)) in enumerate(grown):
+                    rows, counts, totals, scores = parts(batch)
+                    for i, (logistic, base, (feature, cut, value)) in enumerate(grown):
+                        n = sum(counts[p] for p in of[i])
                         here = walk(rows, feature[-1], cut[-1], level) - low
-                        some = np.flatnonzero((here >= 0) & ~np.isnan(ys[i]))
-                        y, s, node = ys[i][some], scores[i][some], here[some]
-                        s = s + sum(v[walk(rows[some], a, c, depth)] for a, c, v in zip(feature[:-1], cut[:-1], value[:-1]))
+                        some = np.flatnonzero((here >= 0) & (n > 0))
+                        here_rows, node, n = rows[some], here[some], n[some]
+                        s = base + scores[i][some] + sum(v[walk(here_rows, a, c, depth)] for a, c, v in zip(feature[:-1], cut[:-1], value[:-1]))
                         if logistic:
                             p = 1 / (1 + np.exp(-s))
-                            w = np.where(y > 0.5, weights[i][1], weights[i][0])
-                            g, h = w * (p - y), w * p * (1 - p)
+                            g = sum(w * (p * counts[k][some] - totals[k][some]) for w, k in zip(weights[i], of[i]))
+                            h = p * (1 - p) * sum(w * counts[k][some] for w, k in zip(weights[i], of[i]))
                         else:
-                            g, h = s - y, np.ones(len(y))
+                            g, h = n * s - totals[of[i][0]][some], n
                         for j in range(n_f):
-                            cell = (node * n_f + j) * n_b + rows[some, j]
-                            for m, v in enumerate((g, h, None)):
+                            cell = (node * n_f + j) * n_b + here_rows[:, j]
+                            for m, v in enumerate((g, h, n)):
                                 sums[i, m] += np.bincount(cell, v, width)
                 target, cell = np.nonzero(sums[:, 2])
                 yield pa.RecordBatch.from_arrays([pa.array(target * width + cell), *[pa.array(sums[target, m, cell]) for m in range(3)]], ["cell", "g", "h", "n"])
@@ -204,11 +255,11 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
         if (k + 1 - first) >= KEEP and k + 1 < trees:
             def settle(batches, begin=first):
                 for batch in batches:
-                    rows, _, scores = parts(batch)
+                    rows, _, _, scores = parts(batch)
                     new = [pa.array(s + f.margins(rows, begin)) for s, f in zip(scores, forests)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:1 + n_t], *new], batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:1 + 2 * len(pairs)], *new], batch.schema.names)
 
-            state, first = durable(state.mapInArrow(settle, f"bins binary, {kept}")), k + 1
+            state, first = durable(state.mapInArrow(settle, kept)), k + 1
     return dict(zip(names, forests))
 
 
@@ -246,8 +297,6 @@ def _split(table: np.ndarray, forests: Sequence[Forest], level: int, rate: float
 
 def best_flags(df: DataFrame, forest: Forest, flags: Sequence[str], action: str = "action", value: str = "value", largest: bool = True) -> DataFrame:
     """The flag setting with the best prediction in each row; ties go to the lowest code."""
-    values = forest.over_flags(flags)
-    out = df.withColumn("_values", values)
-    best = F.array_max("_values") if largest else F.array_min("_values")
-    out = out.withColumn(value, best).withColumn(action, F.array_position("_values", F.col(value)).cast("int") - 1).drop("_values")
+    out = df.withColumn("_best", forest.best_over_flags(flags, largest=largest))
+    out = out.withColumn(value, F.col("_best.value")).withColumn(action, F.col("_best.code")).drop("_best")
     return out.withColumns({f"best_{c}": decode_bit(action, i) for i, c in enumerate(flags)})
