@@ -44,3 +44,9 @@ def test_settings_of_flags_are_scored_together():
     for code in range(4):
         bins[:, 1], bins[:, 2] = 1 + (code & 1), 1 + (code >> 1)
         assert (got[:, code] == f.margins(bins)).all()
+
+
+def test_nearest_rows_come_as_arrays():
+    z = np.array([[0.0, 1.0], [1.0, 2.0], [5.0, np.nan], [0.9, np.nan], [np.nan, np.nan]])
+    (rows, j, d, found), = N.nearest_known(z, np.array([0, 1]), np.array([2, 3]), 1)
+    assert list(rows) == [2, 3] and j == 1 and found.tolist() == [[1], [1]] and np.allclose(d, [[16.0], [0.01]])
