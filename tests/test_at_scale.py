@@ -46,6 +46,15 @@ def test_settings_of_flags_are_scored_together():
         assert (got[:, code] == f.margins(bins)).all()
 
 
+def test_prefixes_are_looked_up_per_code(spark):
+    dim = spark.createDataFrame([("abc", "x", 1), ("abcd", "y", 2), ("q12", "x", 5)], "prefix string, category string, weight int")
+    codes = spark.createDataFrame([(1, "abcde"), (1, "abcde"), (1, "abc9"), (1, "q123"), (2, "zzz"), (3, None), (None, "abcde")], "h int, code string")
+    out = A.prefix_score(codes, dim, ["h"], "code", shortest=3)
+    assert {r.h: r.score for r in out.collect()} == {1: 7, 2: 0, 3: 0, None: 0}
+    # structs make Spark sort what it groups, which must not be the groups' rows
+    assert not [x for x in plan(out).splitlines() if "SortAggregate(key=[h" in x]
+
+
 def test_nearest_rows_come_as_arrays():
     z = np.array([[0.0, 1.0], [1.0, 2.0], [5.0, np.nan], [0.9, np.nan], [np.nan, np.nan]])
     (rows, j, d, found), = N.nearest_known(z, np.array([0, 1]), np.array([2, 3]), 1)
