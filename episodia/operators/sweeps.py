@@ -24,9 +24,16 @@ STRETCH = 1024
 
 
 def edged(bins: DataFrame, episodes: DataFrame, keys: list[str], start: str, width: int) -> DataFrame:
-    """``bins`` (keys and ``bin``) with ``_t0`` and ``_t1``, seconds since the episode's start."""
+    """``bins`` (keys and ``bin``) of ``episodes`` with ``_t0`` and ``_t1``, seconds since the episode's start.
+
+    Bins are often expanded from few episodes in one task, which must not gather them; so they are dealt anew.
+    """
+    return edges_of(bins.select(*keys, "bin").repartition(*keys, "bin").join(episodes.select(*keys), keys), keys, width)
+
+
+def edges_of(bins: DataFrame, keys: list[str], width: int) -> DataFrame:
     t0 = F.col("bin") * width
-    return bins.select(*keys, "bin").distinct().join(episodes.select(*keys), keys).select(*keys, "bin", t0.alias("_t0"), (t0 + width).alias("_t1"))
+    return bins.select(*keys, "bin", t0.alias("_t0"), (t0 + width).alias("_t1"))
 
 
 def swept(intervals: DataFrame, bins: DataFrame, episodes: DataFrame, keys: list[str], begin: str, finish: str, start: str, width: int,
@@ -105,25 +112,29 @@ def rates_at(intervals: DataFrame, bins: DataFrame, episodes: DataFrame, keys: l
     stretches = F.sequence(F.floor(F.col("_b") / seconds), F.floor((F.col("_f") - 1) / seconds))
     cut = cut.withColumn("_s", F.explode(stretches)).select(*keys, "_s", F.inline(F.array(
         F.struct(F.col("_b").alias("_t"), F.lit(1).alias("_o"), "_f", "_v", F.lit(None).cast("long").alias("bin")))))
-    asked = edged(bins, episodes, keys, start, width).select(
+    # bins without an episode meet no interval, and repeated ones are skipped in the pass
+    asked = edges_of(bins, keys, width).select(
         *keys, F.floor(F.col("_t0") / seconds).alias("_s"), F.col("_t1").alias("_t"), F.lit(0).alias("_o"), F.col("_t0").alias("_f"), F.lit(None).cast("double").alias("_v"),
         F.col("bin").cast("long").alias("bin"))
     stacked = cut.unionByName(asked)
     key_types = [stacked.schema[k].dataType.simpleString() for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rates, ends = None, [], []
+        now, rates, ends, last = None, [], [], None
         for batch in batches:
             out: list[tuple] = []
             columns = [batch.column(k).to_pylist() for k in keys]
             rows = zip(*columns, *[batch.column(c).to_pylist() for c in ("_s", "_o", "_f", "_v", "bin")])
             for *key, _s, is_start, f, v, index in rows:
                 if now != (*key, _s):
-                    now, rates, ends = (*key, _s), [], []
+                    now, rates, ends, last = (*key, _s), [], [], None
                 if is_start:
                     insort(rates, v)
                     insort(ends, (f, v))
                     continue
+                if index == last:
+                    continue
+                last = index
                 # what ended by the bin's start is over for all later bins
                 over = bisect_left(ends, (f + 1,))
                 for _, old in ends[:over]:

@@ -55,6 +55,15 @@ def test_prefixes_are_looked_up_per_code(spark):
     assert not [x for x in plan(out).splitlines() if "SortAggregate(key=[h" in x]
 
 
+def test_bins_of_rates_are_not_gathered(spark):
+    stays = spark.createDataFrame([(1, 0), (2, 0)], "u long, s long")
+    iv = spark.createDataFrame([(1, 0, 15, 2.0), (1, 5, 8, 6.0), (3, 0, 9, 1.0)], "u long, b long, f long, r double")
+    bins = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0), (None, 0)], "u long, bin long")
+    out = W.rates_at(iv, bins, stays, ["u"], "b", "f", "r", "s", 10)
+    assert "Aggregate" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 4.0, 6.0), (1, 1, 2.0, 2.0)]
+
+
 def test_nearest_rows_come_as_arrays():
     z = np.array([[0.0, 1.0], [1.0, 2.0], [5.0, np.nan], [0.9, np.nan], [np.nan, np.nan]])
     (rows, j, d, found), = N.nearest_known(z, np.array([0, 1]), np.array([2, 3]), 1)
