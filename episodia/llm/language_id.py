@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from episodia.llm.letters import affixes, by_width, grams, letter_words, whole
 from episodia.llm.splitters import unit_hash
 from episodia.llm.words import U64, WordTable, text_parts
+from episodia.session import written
 
 BITS = 17
 ORDERS, AFFIX = (1, 2, 3), 3
@@ -241,11 +242,13 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     A text spread evenly over four or more languages is none of them; one that
     switches between two or three stays.  The decision is one for each id and
     text, so rows that share an id alone do not fall together.  Rows that stay
-    come back as they are.
+    come back as they are.  The few keys that fall are written first, so texts are neither
+    sent while the model runs nor, with few keys, at all.
     """
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
     rows = predict(keyed, fit(training_pieces(docs)), "_key")
     rejected = rows.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc").alias("_out")).distinct()
+    rejected = written(rejected, "rejected")
     return docs.join(rejected, F.xxhash64(docs["doc_id"], docs["text"]) == rejected["_out"], "left_anti")
 
 

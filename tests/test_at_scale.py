@@ -68,3 +68,12 @@ def test_nearest_rows_come_as_arrays():
     z = np.array([[0.0, 1.0], [1.0, 2.0], [5.0, np.nan], [0.9, np.nan], [np.nan, np.nan]])
     (rows, j, d, found), = N.nearest_known(z, np.array([0, 1]), np.array([2, 3]), 1)
     assert list(rows) == [2, 3] and j == 1 and found.tolist() == [[1], [1]] and np.allclose(d, [[16.0], [0.01]])
+
+
+def test_texts_that_stay_are_not_sent(spark):
+    from episodia.llm.language_id import keep_identified
+
+    docs = spark.createDataFrame([(i, "a", "en" if i % 2 else "de", ["the cat and the dog", "der Hund und die Katze"][1 - i % 2] * 3) for i in range(40)] + [(99, "a", None, "12 34")],
+                                 "doc_id long, source string, lang string, text string")
+    kept = keep_identified(docs)
+    assert "SortMergeJoin" not in plan(kept) and kept.filter("doc_id = 99").count() == 0
