@@ -1,14 +1,13 @@
 """Daily hospital panel: one row per admission and calendar day.
 
 Inputs are DataFrames.  The plan has three parts, so that wide rows are shuffled
-only twice:
+only once:
 
-1. every source is reduced to one row per (admission, day); those tables come
-   out of their aggregation already laid out by (admission, day), and the spine
-   is left-joined to all of them in one go;
-2. one layout by admission serves every window: forward fills, latches and the
-   last unit and service;
-3. admission-level columns join on the layout the windows left behind.
+1. admission-level columns join before an admission is spread over its days;
+2. every source is reduced to one row per (admission, day);
+3. the days and the rows of all sources are stacked and read in order of date, so
+   one layout by admission serves what a day has, forward fills, latches and the
+   last unit and service.
 
 A very busy admission costs no more than its days.
 
@@ -29,6 +28,7 @@ Expected columns
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,8 @@ from episodia.operators.scan import panel_window
 DAY = ["hadm_id", "calendar_date"]
 SCHEMA_VERSION = "daily_v1"
 CLASSES = list(fixed.DRUG_PATTERNS)
+# day columns that are numbers, not flags
+COUNTS = ["n_labs_today"]
 # Output order (fixed values).
 COLUMNS = [
     "hadm_id", "subject_id", "day_of_stay", "calendar_date", "is_last_day",
@@ -90,7 +92,7 @@ def daily_locations(transfers: DataFrame, frame: DataFrame) -> DataFrame:
     ).join(frame, "hadm_id").filter("_in <= _last")
     begun = F.greatest("_in", "_first")
     stop = F.least("_out", F.date_add("_last", 1))
-    unit = F.struct("_in", "careunit")
+    unit = F.struct("_in", S.care_unit_group("careunit").alias("careunit_group"))
     spread = rows.select("hadm_id", "_rank", unit.alias("_unit"), F.inline(F.concat(
         F.array(F.struct(begun.alias("calendar_date"), F.lit(False).alias("_in_it"))),
         F.transform(F.when(stop > begun, F.sequence(begun, F.date_sub(stop, 1))).otherwise(F.array().cast("array<date>")),
@@ -102,11 +104,10 @@ def daily_locations(transfers: DataFrame, frame: DataFrame) -> DataFrame:
     )
 
 
-def daily_services(services: DataFrame, frame: DataFrame) -> DataFrame:
-    """Last service that began on the day; earlier ones count on the first day."""
-    rows = services.join(frame, "hadm_id").withColumn("_on", F.to_date("transfertime")).filter("_on <= _last")
-    return rows.groupBy("hadm_id", F.greatest("_on", "_first").alias("calendar_date")).agg(
-        F.max_by(F.struct("curr_service"), F.struct("transfertime", "service_id")).alias("_service"))
+def daily_services(services: DataFrame) -> DataFrame:
+    """Last service that began on the day."""
+    rows = services.withColumn("calendar_date", F.to_date("transfertime"))
+    return rows.groupBy(*DAY).agg(F.max_by(F.struct(S.code_group("curr_service", fixed.SERVICE_GROUPS).alias("curr_service_group")), F.struct("transfertime", "service_id")).alias("_service"))
 
 
 def daily_labs(labs: DataFrame, items: Mapping[int, str] = fixed.DAILY_LAB_ITEMS) -> DataFrame:
@@ -165,37 +166,60 @@ def daily_care_changes(transfers: DataFrame, rows_per_task: int | None = None) -
 
 # --- windows -------------------------------------------------------------------------
 
-def with_windows(days: DataFrame, limits: Mapping[str, int] = fixed.FILL_LIMITS) -> DataFrame:
-    """All ordered columns of the panel over one layout by admission."""
-    w = panel_window(["hadm_id"], ["day_of_stay"])
+def with_windows(days: DataFrame, facts: Mapping[str, tuple[DataFrame, Mapping[str, object]]],
+                 limits: Mapping[str, int] = fixed.FILL_LIMITS) -> DataFrame:
+    """All columns that depend on the day, over one layout by admission.
+
+    ``facts`` holds for each source its rows per (admission, day) and the defaults
+    of days without.  They are not joined: a day's row comes after the facts up to
+    its date, and a running frame remembers the last fact of each kind with its date.
+    """
+    w = panel_window(["hadm_id"], ["calendar_date", "_asked"])
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    fills = {c: limits[tier] for tier, cols in fixed.DAILY_TIERS.items() for c in cols if c in days.columns}
-    # days are dense, so the day number counts rows; every column shares one running frame
-    out = days.withColumns({
-        **{f"_seen_{c}": W.last_known(c, "day_of_stay").over(so_far) for c in fills},
-        "positive_culture_cumulative": F.max("_pos").over(so_far), "blood_culture_positive_cumulative": F.max("_blood").over(so_far),
-        "_unit": F.coalesce("_inside", F.last("_began", ignorenulls=True).over(so_far)),
-        "_service": F.last("_service", ignorenulls=True).over(so_far),
-    })
-    out = out.withColumns({c: W.within_rows(f"_seen_{c}", "day_of_stay", n) for c, n in fills.items()})
-    out = out.drop(*[f"_seen_{c}" for c in fills])
-    group = F.when(F.col("_unit.careunit").isNull(), "other").otherwise(S.care_unit_group("_unit.careunit"))
-    return out.withColumns({
-        "careunit_group": group, "is_icu": (group == "icu").cast("int"),
-        "days_in_current_unit": F.coalesce(S.day_count("_unit._in", "calendar_date"), F.lit(0)),
-        "curr_service_group": S.code_group("_service.curr_service", fixed.SERVICE_GROUPS),
-    }).drop("_pos", "_blood", "_inside", "_began", "_unit", "_service")
+    rows = J.stacked(days, {name: table for name, (table, _) in facts.items()}, DAY, "_stay", "_asked").withColumn("day_of_stay", F.col("_stay.day_of_stay"))
+    fills = {c: limits[tier] for tier, cols in fixed.DAILY_TIERS.items() for c in cols if c in facts["_labs"][0].columns}
+    day = F.col("calendar_date")
+    last = lambda value: F.last(value, ignorenulls=True).over(so_far)
+    # rows are in order of date, so the last date is the largest
+    last_day = lambda test: F.max(F.when(test, day)).over(so_far)
+    # few single values, since a frame writes all it remembers with every row: the 0/1 columns of a source are bits of one
+    flags = {name: [c for c in defaults if c not in COUNTS] for name, (_, defaults) in facts.items()}
+    bits = lambda name: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.coalesce(f"{name}.{c}", F.lit(0)), i) for i, c in enumerate(flags[name])])
+    rows = rows.withColumns({
+        **{f"_at{name}": last_day(F.col(name).isNotNull()) for name in facts},
+        **{f"_bits{name}": last(F.when(F.col(name).isNotNull(), bits(name))) for name in facts if flags[name]},
+        **{c: last(F.col(f"{name}.{c}")) for name, (_, defaults) in facts.items() for c in defaults if c in COUNTS},
+        **{c: last(F.col(f"_labs.{c}")) for c in fills}, **{f"_at_{c}": last_day(F.col(f"_labs.{c}").isNotNull()) for c in fills},
+        **{f"_at{c}": last_day(F.col(f"_cultures.{c}") == 1) for c in ("_pos", "_blood")},
+        "_inside": last(F.col("_locations._inside")), "_at_inside": last_day(F.col("_locations._inside").isNotNull()),
+        "_began": last(F.col("_locations._began")), "_service": last(F.col("_services._service")),
+    }).filter("_asked")
+    # days are dense, so dates count rows; values from before the first day are not the stay's
+    since = lambda at: F.datediff(day, at)
+    group = lambda c: F.coalesce(c, F.lit("other"))
+    out = rows.withColumn("_unit", F.when(F.col("_at_inside") == day, F.col("_inside")).otherwise(F.col("_began")))
+    return out.select(
+        *DAY, "_stay.*",
+        *[F.when(F.col(f"_at{name}") == day, F.col(c) if c in COUNTS else F.getbit(f"_bits{name}", F.lit(flags[name].index(c))).cast("int")).otherwise(v).alias(c)
+          for name, (_, defaults) in facts.items() for c, v in defaults.items()],
+        *[F.when(since(f"_at_{c}") <= F.least(F.lit(n), "day_of_stay"), F.col(c)).alias(c) for c, n in fills.items()],
+        *[F.coalesce((since(f"_at{c}") <= F.col("day_of_stay")).cast("int"), F.lit(0)).alias(name)
+          for c, name in (("_pos", "positive_culture_cumulative"), ("_blood", "blood_culture_positive_cumulative"))],
+        group("_unit.careunit_group").alias("careunit_group"), (group("_unit.careunit_group") == "icu").cast("int").alias("is_icu"),
+        F.coalesce(S.day_count("_unit._in", "calendar_date"), F.lit(0)).alias("days_in_current_unit"),
+        # a service that began before the stay still holds
+        group("_service.curr_service_group").alias("curr_service_group"))
 
 
 # --- admissions ------------------------------------------------------------------------
 
-def with_admission_columns(days: DataFrame, severity: DataFrame, comorbidity: DataFrame, admissions: DataFrame, drg_type: str = "APR") -> DataFrame:
+def with_admission_columns(stays: DataFrame, severity: DataFrame, comorbidity: DataFrame, admissions: DataFrame, drg_type: str = "APR") -> DataFrame:
     """Severity, comorbidity and the 30-day return of the subject."""
     top = severity.filter(F.col("drg_type") == drg_type).groupBy("hadm_id").agg(
         F.max("drg_severity").alias("drg_severity"), F.max("drg_mortality").alias("drg_mortality"))
     known = admissions.select("hadm_id", "subject_id", "admittime", "dischtime").filter("dischtime is not null")
     label = J.returned_within(known, "subject_id", "hadm_id", "admittime", "dischtime", 30).select("hadm_id", "readmit_30d")
-    return J.enrich(days, [
+    return J.enrich(stays, [
         (top, ["hadm_id"], {}), (comorbidity.select("hadm_id", "charlson_score"), ["hadm_id"], {}), (label, ["hadm_id"], {"readmit_30d": 0}),
     ])
 
@@ -206,20 +230,18 @@ def build_daily_panel(t: Mapping[str, DataFrame], built_at: str, min_age: int =
     kept = cohort(t["admissions"], t["patients"], min_age)
     if sample:
         kept = early_sample(kept, "subject_id", "hadm_id", *sample)
-    frame = frames(kept)
-    days = I.day_spine(kept, "admittime", "dischtime")
+    stays = with_admission_columns(kept, t["severity"], t["comorbidity"], t["admissions"])
+    stays = hash_split(stays, "subject_id", seed=seed)
+    days = I.day_spine(stays, "admittime", "dischtime")
     active = [f"{c}_active" for c in CLASSES]
     zero = lambda *names: dict.fromkeys(names, 0)
-    days = J.enrich(days, [
-        (daily_labs(t["labs"]), DAY, zero("lactate_elevated", "n_labs_today")),
-        (daily_cultures(t["cultures"]), DAY, zero("_pos", "_blood", "culture_ordered_today")),
-        (daily_prescriptions(t["prescriptions"]), DAY, zero(*active, "antibiotic_started", "antibiotic_stopped")),
-        (daily_care_changes(t["transfers"]), DAY, zero("icu_escalation", "icu_stepdown", "discharged")),
-        (daily_locations(t["transfers"], frame), DAY, {}), (daily_services(t["services"], frame), DAY, {}),
-    ])
-    days = with_windows(days)
-    days = with_admission_columns(days, t["severity"], t["comorbidity"], t["admissions"])
-    days = hash_split(days, "subject_id", seed=seed)
+    days = with_windows(days, {
+        "_labs": (daily_labs(t["labs"]), zero("lactate_elevated", "n_labs_today")),
+        "_cultures": (daily_cultures(t["cultures"]), zero("culture_ordered_today")),
+        "_prescriptions": (daily_prescriptions(t["prescriptions"]), zero(*active, "antibiotic_started", "antibiotic_stopped")),
+        "_changes": (daily_care_changes(t["transfers"]), zero("icu_escalation", "icu_stepdown", "discharged")),
+        "_locations": (daily_locations(t["transfers"], frames(kept)), {}), "_services": (daily_services(t["services"]), {}),
+    })
     days = days.withColumn("n_active_drug_classes", S.active_count(active))
     days = with_provenance(days, {"schema_version": SCHEMA_VERSION, "build_timestamp_utc": built_at})
     absent = coverage_report(days, COLUMNS)["absent"]

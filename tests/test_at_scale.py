@@ -77,3 +77,40 @@ def test_texts_that_stay_are_not_sent(spark):
                                  "doc_id long, source string, lang string, text string")
     kept = keep_identified(docs)
     assert "SortMergeJoin" not in plan(kept) and kept.filter("doc_id = 99").count() == 0
+
+
+def test_days_meet_all_sources_in_one_layout(spark):
+    from datetime import date, datetime
+
+    from episodia.operators import intervals as I
+    from episodia.plans import daily
+
+    at = lambda d, h=8: datetime(2024, 1, d, h)
+    stays = spark.createDataFrame([(1, at(2), at(5)), (1, at(2), at(5)), (2, at(2), at(3)), (None, at(2), at(3))], "hadm_id long, admittime timestamp, dischtime timestamp")
+    labs = spark.createDataFrame([(1, 50912, at(1), 9.0), (1, 50912, at(2), 4.0), (1, 51006, at(5), 7.0), (None, 50912, at(2), 5.0), (2, 50912, None, 5.0)], "hadm_id long, itemid int, charttime timestamp, valuenum double")
+    cultures = spark.createDataFrame([(1, at(1), at(1), "ORG", "BLOOD CULTURE"), (1, at(3), at(3), "ORG", "URINE")], "hadm_id long, charttime timestamp, chartdate timestamp, org_name string, spec_type_desc string")
+    drugs = spark.createDataFrame([(1, "Vancomycin", "MAIN", at(3), at(4))], "hadm_id long, drug string, drug_type string, starttime timestamp, stoptime timestamp")
+    units = spark.createDataFrame([(1, 1, "Vascular", "transfer", at(1), at(3)), (1, 2, "Medical Intensive Care Unit (MICU)", "transfer", at(4), None)],
+                                  "hadm_id long, transfer_id int, careunit string, eventtype string, intime timestamp, outtime timestamp")
+    services = spark.createDataFrame([(1, 1, "MED", at(1)), (1, 2, "CSURG", at(4)), (2, 3, "TRAUM", at(9))], "hadm_id long, service_id int, curr_service string, transfertime timestamp")
+    zero = lambda *names: dict.fromkeys(names, 0)
+    out = daily.with_windows(I.day_spine(stays, "admittime", "dischtime"), {
+        "_labs": (daily.daily_labs(labs), zero("lactate_elevated", "n_labs_today")), "_cultures": (daily.daily_cultures(cultures), zero("culture_ordered_today")),
+        "_prescriptions": (daily.daily_prescriptions(drugs), zero(*[f"{c}_active" for c in daily.CLASSES], "antibiotic_started", "antibiotic_stopped")),
+        "_changes": (daily.daily_care_changes(units), zero("icu_escalation", "icu_stepdown", "discharged")),
+        "_locations": (daily.daily_locations(units, daily.frames(stays)), {}), "_services": (daily.daily_services(services), {}),
+    })
+    shown = ["creatinine", "bun", "n_labs_today", "culture_ordered_today", "positive_culture_cumulative", "blood_culture_positive_cumulative",
+             "antibiotic_active", "antibiotic_started", "antibiotic_stopped", "icu_escalation", "careunit_group", "days_in_current_unit", "curr_service_group"]
+    # days are looked up without a join by day: the only joins are those of drug names and of stays with transfers
+    assert plan(out).count("Join") == 2
+    rows = {}
+    for r in out.collect():
+        rows.setdefault((r.hadm_id, r.calendar_date.day), []).append(tuple(r[c] for c in shown))
+    blank = (None, None, 0, 0, 0, 0, 0, 0, 0, 0, "other", 0, "other")
+    # values from before the stay do not fill; unit and service do
+    want = {
+        2: (4.0, None, 1, 0, 0, 0, 0, 0, 0, 0, "surgery", 1, "medicine"), 3: (4.0, None, 0, 1, 1, 0, 1, 1, 0, 0, "surgery", 2, "medicine"),
+        4: (4.0, None, 0, 0, 1, 0, 0, 0, 1, 1, "icu", 0, "surgery"), 5: (None, 7.0, 1, 0, 1, 0, 0, 0, 0, 0, "icu", 1, "surgery"),
+    }
+    assert rows == {**{(1, d): [v, v] for d, v in want.items()}, **{(h, d): [blank] for h in (2, None) for d in (2, 3)}}
