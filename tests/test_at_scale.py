@@ -114,3 +114,19 @@ def test_days_meet_all_sources_in_one_layout(spark):
         4: (4.0, None, 0, 0, 1, 0, 0, 0, 1, 1, "icu", 0, "surgery"), 5: (None, 7.0, 1, 0, 1, 0, 0, 0, 0, 0, "icu", 1, "surgery"),
     }
     assert rows == {**{(1, d): [v, v] for d, v in want.items()}, **{(h, d): [blank] for h in (2, None) for d in (2, 3)}}
+
+
+def test_nearest_rows_open_few_boxes(monkeypatch):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(6000, 3))
+    z[rng.uniform(size=z.shape) < 0.4] = np.nan
+    z[:1500] = np.round(z[:1500])  # many equal distances
+    merged, keep = [], N.keep_nearest
+    monkeypatch.setattr(N, "keep_nearest", lambda distance, giver, rows, d, found: merged.append(len(rows)) or keep(distance, giver, rows, d, found))
+    every, lacking = np.arange(len(z)), np.isnan(z).any(1)
+    asked = 0
+    for rows, j, d, found in N.nearest_by_boxes(z, every, every[lacking], 2):
+        asked += len(rows)
+        assert (np.diff(d[np.isfinite(d).all(1)]) >= 0).all() and not np.isnan(z[found[np.isfinite(d)], j]).any()
+    # about a third of 6000 rows could give to each
+    assert asked > 5000 and sum(merged) < 20 * asked

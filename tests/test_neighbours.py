@@ -62,3 +62,15 @@ def test_nothing_known_nothing_given(spark):
     got = {r.id: r for r in N.filled_from_nearest(df, ["a", "b"]).collect()}
     assert (got[3].a, got[3].b, got[1].a, got[1].z) == (5.0, 1.0, 5.0, "mine")
     assert N.filled_from_nearest(df.filter("1 = 0"), ["a", "b"]).count() == 0
+
+
+def test_boxes_find_what_all_pairs_find(table, monkeypatch):
+    df, x = table
+    monkeypatch.setattr(N, "FULL_ROWS", 0)
+    monkeypatch.setattr(N, "RUN", 8)
+    # leaves of 60 rows would miss some; with one cell nothing is missed
+    assert np.allclose(filled(df, k=3, trees=8, leaf=60), all_pairs(x, 3))
+    monkeypatch.setattr(N, "CELL_VALUES", 600)
+    want, lacking = all_pairs(x, 1), np.isnan(x)
+    got = filled(df, k=1, trees=8, leaf=60)
+    assert np.allclose(got[~lacking], x[~lacking]) and np.isclose(got[lacking], want[lacking]).mean() >= 0.9
