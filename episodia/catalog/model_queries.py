@@ -119,7 +119,7 @@ def behaviour_policy(t):
     train, test = rows.filter("split = 'train'"), rows.filter("split != 'train'")
     policy = M.fit_action_policy(train, STATES, "a5", 32)
     # by Q the best setting is followed; the reward model has the logged one
-    q = M.fitted_q_flags(train, STATES, FLAGS, "r", "done", iterations=3, trees=5, depth=4)
+    q = M.fitted_q_flags(train, STATES, FLAGS, "r", "done", iterations=10, trees=300, depth=6)
     reward = fit_forests(train, [*STATES, *FLAGS], {"r": False}, **TREES)["r"]
     scored = best_flags(test.withColumns({"pi": policy.of_action("a5"), "rhat": reward.column()}), q, FLAGS, "b", "q")
     placed = row_number_in(scored, ["user_id"], ["bin"], "t", 0)

@@ -7,6 +7,9 @@ gradients by (target, node, feature, bin) and sends its
 sums, Spark adds them up, and the driver picks the splits from a table whose size
 depends on the model alone.  Every ``KEEP`` rounds the scores so far are written, so a pass
 walks a bounded number of trees.
+
+Fitted Q grows a forest a round, thousands of trees that depend on each other.  Up to
+``WHOLE_ROWS`` different rows one task holds them and grows a whole forest; more take the passes.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from episodia.session import durable
 KEEP = 5
 #: sums that the tasks of a pass may send to the driver without being added up by a shuffle
 DIRECT_CELLS = 1 << 20
+#: different rows of bins that one task may hold while it grows a forest
+WHOLE_ROWS = 1 << 20
 
 
 def walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
@@ -118,9 +123,20 @@ class Forest:
         return total
 
     def _all_settings(self, flags: Sequence[str]):
+        at, off, on = self.flag_bins(flags)
+        return lambda xs: self.under_settings(self.binned(xs), at, off, on)
+
+    def under_settings(self, bins: np.ndarray, at: Sequence[int], off: Sequence[int], on: Sequence[int]) -> np.ndarray:
+        """Predictions (row, setting); rows that differ in the features ``at`` alone are scored once."""
+        bins = bins.copy()
+        bins[:, at] = 0
+        once, of = np.unique(bins, axis=0, return_inverse=True)
+        return self._outcome(self.flag_margins(once, at, off, on))[of.reshape(-1)]
+
+    def flag_bins(self, flags: Sequence[str]) -> tuple[list[int], list[int], list[int]]:
+        """Places of ``flags`` among the features and the bins of 0 and of 1 there."""
         at = [self.features.index(c) for c in flags]
-        off, on = ([int(self.binned([np.array([v])] * len(self.features))[0, i]) for i in at] for v in (0.0, 1.0))
-        return lambda xs: self._outcome(self.flag_margins(self.binned(xs), at, off, on))
+        return at, *([int(self.binned([np.array([v])] * len(self.features))[0, i]) for i in at] for v in (0.0, 1.0))
 
     def over_flags(self, flags: Sequence[str], overrides: Mapping[str, Column] | None = None) -> Column:
         """Predictions under all on/off settings of ``flags``, as an array indexed by their bit code.
@@ -169,12 +185,10 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
     logistic loss, with equal total weight of both classes if ``balanced``; numbers the squared
     loss.  A split needs ``least_rows`` on each side and a positive gain.
     """
-    names, flags = list(targets), [bool(v) for v in targets.values()]
+    names = list(targets)
     cuts = cuts or quantile_cuts(df, features, bins)
-    n_t, n_f, n_b = len(names), len(features), max(len(c) for c in cuts) + 2
-    # one pair of count and sum for a number, one for each class of a label
-    pairs = [(i, side) for i, logistic in enumerate(flags) for side in ((False, True) if logistic else (None,))]
-    of = [[p for p, (t, _) in enumerate(pairs) if t == i] for i in range(n_t)]
+    n_t, n_f = len(names), len(features)
+    pairs = _pairs(targets)
     unfitted = Forest(list(features), cuts, 0.0, depth)
 
     def prepare(batches):
@@ -191,6 +205,21 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
     state = durable(binned.groupBy("bins").agg(
         *[F.count(y).cast("double").alias(f"n{p}") for p, y in enumerate(known)], *[F.coalesce(F.sum(y), F.lit(0.0)).alias(f"t{p}") for p, y in enumerate(known)]
     ).select("*", *[F.lit(0.0).alias(f"s{i}") for i in range(n_t)]))
+    return grown(state, features, cuts, targets, trees, depth, rate, least_rows, balanced, ridge, bounds)
+
+
+def _pairs(targets: Mapping[str, bool]) -> list[tuple]:
+    """One pair of count and sum for a number, one for each class of a label."""
+    return [(i, side) for i, logistic in enumerate(targets.values()) for side in ((False, True) if logistic else (None,))]
+
+
+def grown(state: DataFrame, features: Sequence[str], cuts: list[np.ndarray], targets: Mapping[str, bool], trees: int = 300, depth: int = 6, rate: float = 0.05,
+          least_rows: int = 20, balanced: bool = False, ridge: float = 0.0, bounds: Mapping[str, tuple[float, float]] | None = None) -> dict[str, Forest]:
+    """Forests from ``state``: different rows of bins, counts and sums of each pair, scores so far."""
+    names, flags = list(targets), [bool(v) for v in targets.values()]
+    n_t, n_f, n_b = len(names), len(features), max(len(c) for c in cuts) + 2
+    pairs = _pairs(targets)
+    of = [[p for p, (t, _) in enumerate(pairs) if t == i] for i in range(n_t)]
     kept = ", ".join(["bins binary", *[f"{c}{p} double" for c in "nt" for p in range(len(pairs))], *[f"s{i} double" for i in range(n_t)]])
     first, tasks = 0, state.select(F.spark_partition_id().alias("p")).distinct().count()
     whole = state.agg(*[F.sum(f"{c}{p}").alias(f"{c}{p}") for c in "nt" for p in range(len(pairs))]).first()
@@ -263,6 +292,84 @@ def fit_forests(df: DataFrame, features: Sequence[str], targets: Mapping[str, bo
     return dict(zip(names, forests))
 
 
+def fit_whole(state: DataFrame, features: Sequence[str], cuts: list[np.ndarray], target: str, trees: int = 300, depth: int = 6, rate: float = 0.05,
+              least_rows: int = 20, balanced: bool = False, ridge: float = 0.0, bounds: Mapping[str, tuple[float, float]] | None = None) -> Forest:
+    """The forest of one number from ``bins, n0, t0`` (different rows of bins, counts and sums), grown in one task if it can hold them."""
+    if state.count() > WHOLE_ROWS:
+        return grown(state.withColumn("s0", F.lit(0.0)), features, cuts, {target: False}, trees, depth, rate, least_rows, balanced, ridge, bounds)[target]
+    n_f = len(features)
+
+    def run(batches):
+        held = [(b.column(0).to_pylist(), *[b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]) for b in batches]
+        keys = np.array([k for b in held for k in b[0]], dtype=object)
+        rows = np.frombuffer(b"".join(keys), np.uint16).reshape(-1, n_f)
+        n, total = (np.concatenate([b[i] for b in held] or [np.zeros(0)]) for i in (1, 2))
+        order = np.lexsort(rows.T)  # sums do not depend on the order of arrival
+        f = grow_whole(rows[order], n[order], total[order], Forest(list(features), cuts, 0.0, depth, gains=np.zeros(n_f)), trees, rate, least_rows, ridge)
+        trees_of = [pa.array([x.tolist() for x in part], kind) for part, kind in ((f.feature, pa.list_(pa.int32())), (f.cut, pa.list_(pa.int32())), (f.value, pa.list_(pa.float64())))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(trees), pa.int32()), *trees_of, pa.array([f.base] * trees, pa.float64()), pa.array([f.gains.tolist()] * trees, pa.list_(pa.float64()))],
+                                         ["tree", "feature", "cut", "value", "base", "gains"])
+
+    said = state.select("bins", "n0", "t0").coalesce(1).mapInArrow(run, "tree int, feature array<int>, cut array<int>, value array<double>, base double, gains array<double>").collect()
+    said = sorted(said, key=lambda r: r["tree"])
+    out = Forest(list(features), cuts, said[0]["base"] if said else 0.0, depth, False, (bounds or {}).get(target), gains=np.array(said[0]["gains"]) if said else np.zeros(n_f))
+    out.feature, out.cut, out.value = ([np.array(r[c]) for r in said] for c in ("feature", "cut", "value"))
+    return out
+
+
+def grow_whole(rows: np.ndarray, n: np.ndarray, total: np.ndarray, forest: Forest, trees: int, rate: float, least_rows: int, ridge: float) -> Forest:
+    """Grow ``forest`` on rows of bins with counts and sums of the target.
+
+    A level adds up the rows of the smaller half of each node; the other half is the node without these.
+    """
+    n_f, n_b, depth = rows.shape[1], max(len(c) for c in forest.cuts) + 2, forest.depth
+    width, size, every = n_f * n_b, (1 << (depth + 1)) - 1, np.arange(len(rows))
+    columns = [rows[:, j].astype(np.int64) + j * n_b for j in range(n_f)]
+    forest.base = float(total.sum() / n.sum()) if n.sum() else 0.0
+    margin = np.zeros(len(rows))
+
+    def added(some, at, nodes):
+        out = np.zeros((2, nodes * width))
+        for column in columns:
+            cell = at * width + (column if some is None else column[some])
+            for m, v in enumerate((g, n)):
+                out[m] += np.bincount(cell, v if some is None else v[some], nodes * width)
+        return out.reshape(2, nodes, width)
+
+    for _ in range(trees):
+        feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+        forest.feature.append(feature)
+        forest.cut.append(cut)
+        forest.value.append(value)
+        g, node = n * (forest.base + margin) - total, np.zeros(len(rows), np.int64)
+        sums = added(None, node, 1)
+        for level in range(depth):
+            nodes, low = 1 << level, (1 << level) - 1
+            cells = sums.reshape(2, 1, nodes, n_f, n_b)
+            _split(cells[[0, 1, 1]], [forest], level, rate, least_rows, ridge)
+            split = feature[low:low + nodes] >= 0
+            if not split.any():
+                break
+            # rows of nodes that end here stay where they are
+            here = np.flatnonzero((node >= low) & (feature[node] >= 0)) if not (split.all() and level == 0) else every
+            at = node[here]
+            node[here] = 2 * at + 1 + (rows[here, feature[at]] > cut[at])
+            if level + 1 == depth:
+                break
+            child = node[here] - (2 * low + 1)
+            sizes = np.bincount(child, minlength=2 * nodes).reshape(nodes, 2)
+            small = (sizes[:, 1] < sizes[:, 0]).astype(np.int64)
+            few = (child & 1) == small[child >> 1]
+            lesser = added(here[few], child[few] >> 1, nodes)
+            rest = np.where(split[:, None], sums - lesser, 0.0)
+            rest[0][rest[1] == 0] = 0.0
+            sums = np.empty((2, nodes, 2, width))
+            sums[:, np.arange(nodes), small], sums[:, np.arange(nodes), 1 - small] = lesser, rest
+            sums = sums.reshape(2, 2 * nodes, width)
+        margin += value[node]
+    return forest
+
+
 def _split(table: np.ndarray, forests: Sequence[Forest], level: int, rate: float, least_rows: int, ridge: float) -> None:
     """Split the nodes of a level where that helps most; ties go to the first feature and the lowest bin."""
     low, deepest = (1 << level) - 1, level + 1 == forests[0].depth

@@ -117,3 +117,49 @@ def test_policy_with_a_forest_risk_equals_every_combination(table):
     for i, key in enumerate(data.id):
         values = [m[i] for m in moved]
         assert got[key].action == int(np.argmin(values)) and np.isclose(got[key].policy_risk, min(values))
+
+
+def test_fitted_q_equals_rounds_over_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 700
+    s, u, v = np.round(rng.normal(size=n), 1), rng.integers(0, 2, n), rng.integers(0, 2, n)
+    rows = [(None if i % 11 == 0 else float(s[i]), int(u[i]), int(v[i]), None if i % 50 == 1 else float(np.nan if i % 50 == 2 else s[i] * (u[i] - v[i]) + rng.normal(scale=0.1)),
+             None if i % 40 == 3 else int(i % 9 == 0), None if i % 13 == 0 else float(s[(i + 1) % n])) for i in range(n)]
+    rows += rows[:60]
+    df = spark.createDataFrame(rows, "s double, u int, v int, r double, done int, next_s double").repartition(3).cache()
+    options = dict(trees=6, depth=3, rate=0.3, least_rows=10)
+    want, cuts = None, R.quantile_cuts(df, ["s", "u", "v"], 64)
+    for _ in range(3):
+        backed = M.q_backup_flags(df, want, ["s"], ["u", "v"], "r", "done", 0.9, name="y")
+        want = R.fit_forests(backed, ["s", "u", "v"], {"y": False}, cuts=cuts, **options)["y"]
+    bins = rng.integers(0, 20, (200, 3)).astype(np.int16)
+    for rows_at_once in (R.WHOLE_ROWS, 0):
+        monkeypatch.setattr(R, "WHOLE_ROWS", rows_at_once)
+        got = M.fitted_q_flags(df, ["s"], ["u", "v"], "r", "done", iterations=3, gamma=0.9, **options)
+        assert len(got.value) == 6 and np.allclose(got.predicted(bins), want.predicted(bins)) and np.allclose(got.gains, want.gains)
+    monkeypatch.undo()
+    assert M.fitted_q_flags(df.filter("1 = 0"), ["s"], ["u", "v"], "r", "done", iterations=2, trees=2, depth=2).predicted(bins).tolist() == [0.0] * 200
+
+
+def test_behaviour_policy_has_all_rounds_and_trees(spark, monkeypatch):
+    from episodia.catalog import model_queries as Q
+
+    class Enough(Exception):
+        pass
+
+    def grown(state, features, cuts, target, **options):
+        size.update(options)
+        rounds.append(state.count())
+        if len(rounds) == 10:
+            raise Enough
+        return R.Forest(list(features), cuts, 0.0, 1, feature=[np.array([-1, -1, -1])], cut=[np.zeros(3, int)], value=[np.zeros(3)])
+
+    rounds, size = [], {}
+    rows = [(i, i % 4, float(i % 3), float(i % 5), None, i % 2, 0, 0, 1, 1, i % 4, 0.5, int(i == 9), "train", 1.0, 2.0, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "user_id int, bin int, hb double, bun double, cr double, vaso int, fluid int, vent int, test_hb int, test_bun int, a5 int, r double, done int, split string, next_hb double, next_bun double, next_cr double")
+    monkeypatch.setattr(Q, "steps", lambda t: df)
+    monkeypatch.setattr(M, "fit_action_policy", lambda *a, **o: None)
+    monkeypatch.setattr(M, "fit_whole", grown)
+    with pytest.raises(Enough):
+        Q.behaviour_policy(None)
+    assert size == {"trees": 300, "depth": 6} and rounds == [rounds[0]] * 10
